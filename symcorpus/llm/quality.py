@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -42,17 +43,22 @@ RULES = (
 )
 
 
-def failure(rule: Rule) -> Column:
-    """The rule as a boolean column; ratios are compared as products, so nothing is divided."""
-    value, per = F.col(rule.measure), F.col(rule.per) if rule.per else F.lit(1)
+def failure(rule: Rule, measured: Column) -> Column:
+    """The rule over a struct of measures; ratios are compared as products, so nothing is divided."""
+    value, per = measured[rule.measure], measured[rule.per] if rule.per else F.lit(1)
     tests = [100 * value < round(100 * rule.low) * per] if rule.low is not None else []
     tests += [100 * value > round(100 * rule.high) * per] if rule.high is not None else []
     return tests[0] if len(tests) == 1 else tests[0] | tests[1]
 
 
-def compile_rules(rules: tuple[Rule, ...]) -> Column:
-    """An array of the names of the rules that a row fails."""
-    return F.filter(F.array(*[F.when(failure(r), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
+def compile_rules(rules: tuple[Rule, ...], measured: Column) -> Column:
+    """An array of the names of the rules that a struct of measures fails."""
+    return F.filter(F.array(*[F.when(failure(r, measured), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once a row, whatever the optimizer moves where."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -65,48 +71,60 @@ def _spellings() -> list[str]:
     return sorted({w for s in STOP_WORDS for w in (s, s.capitalize(), s.upper())})
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with its text measures, each a long; existing columns of these names are replaced.
+def _repeated_words(words: Column) -> Column:
+    """Words inside windows that occur twice or more.
 
-    The word array, the window hashes and the sorted windows are columns of their own, so
-    that no lambda evaluates them again. Windows are sorted only where a window's hash
-    occurs twice, and then by the window's own text, so hash collisions do not count.
+    Windows are sorted only where a window's hash occurs twice, and then by the window's own
+    words, so hash collisions do not count.
     """
-    whole = F.col("__text")
-    staged = docs.withColumn("__text", text_of(text)).withColumn("__words", words_of(whole))
-    n = F.size("__words")
-    word = lambda i: F.get("__words", i)
-    hashes = F.when(
-        n > WINDOW,
-        F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[word(i + k) for k in range(WINDOW)])),
-    )
-    lines = F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    staged = staged.withColumn("__hashes", hashes).withColumn("__lines", lines)
-    repeated = F.size(F.array_distinct("__hashes")) < F.size("__hashes")
-    windows = F.transform(
-        F.sequence(F.lit(0), n - WINDOW),
-        lambda i: F.struct(F.array_join(F.slice("__words", i + 1, WINDOW), " ").alias("g"), i.alias("i")),
-    )
-    staged = staged.withColumn("__sorted", F.when(repeated, F.sort_array(windows)))
-    gram = lambda k: F.get("__sorted", k)["g"]
-    twice = F.filter("__sorted", lambda x, k: x["g"].eqNullSafe(gram(k - 1)) | x["g"].eqNullSafe(gram(k + 1)))
-    staged = staged.withColumn("__twice", F.sort_array(F.transform(twice, lambda x: x["i"])))
-    covered = F.aggregate(
-        "__twice",
-        F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("at")),
-        lambda a, x: F.struct((a["n"] + F.least(F.lit(WINDOW), x - a["at"])).alias("n"), x.alias("at")),
-    )["n"]
-    bare = _without(whole, SYMBOLS)
-    out = {
-        "n_words": n,
-        "word_chars": F.length(_without(whole, BLANKS)),
-        "n_symbols": F.length(whole) - F.length(bare),
-        "n_lines": F.size("__lines"),
-        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
-        "n_repeat_words": F.coalesce(covered, F.lit(0)),
-        "n_stop_words": F.size(F.filter("__words", lambda w: w.isin(_spellings()))),
-    }
-    return staged.select(*[c for c in docs.columns if c not in out], *[v.cast("long").alias(k) for k, v in out.items()])
+    places = F.sequence(F.lit(0), F.size(words) - WINDOW)
+    hashes = F.transform(places, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
+    windows = F.transform(places, lambda i: F.struct(F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("g"), i.alias("i")))
+
+    def twice(ordered: Column) -> Column:
+        gram = lambda k: F.get(ordered, k)["g"]
+        same = F.filter(ordered, lambda x, k: x["g"].eqNullSafe(gram(k - 1)) | x["g"].eqNullSafe(gram(k + 1)))
+        return F.sort_array(F.transform(same, lambda x: x["i"]))
+
+    def covered(at: Column) -> Column:
+        start = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("at"))
+        step = lambda a, x: F.struct((a["n"] + F.least(F.lit(WINDOW), x - a["at"])).alias("n"), x.alias("at"))
+        return F.aggregate(at, start, step)["n"]
+
+    repeats = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
+    return F.when((F.size(words) > WINDOW) & repeats, let(F.sort_array(windows), lambda s: let(twice(s), covered))).otherwise(0)
+
+
+def measures(text: Column) -> Column:
+    """A struct of the text's measures, each a long, as one expression."""
+
+    def of(whole: Column, words: Column, lines: Column) -> Column:
+        out = {
+            "n_words": F.size(words),
+            "word_chars": F.length(_without(whole, BLANKS)),
+            "n_symbols": F.length(whole) - F.length(_without(whole, SYMBOLS)),
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": _repeated_words(words),
+            "n_stop_words": F.size(F.filter(words, lambda w: w.isin(_spellings()))),
+        }
+        return F.struct(*[v.cast("long").alias(k) for k, v in out.items()])
+
+    lines = lambda t: F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+    return let(text, lambda t: let(words_of(t), lambda w: let(lines(t), lambda x: of(t, w, x))))
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
+
+
+def verdict(text: Column, base: tuple[Rule, ...] = BASE_RULES, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of the measures, the names of failed rules, base_failed and kept, as one expression."""
+
+    def judged(m: Column) -> Column:
+        failed = lambda b, r: F.struct(*[m[k].alias(k) for k in MEASURES], b.alias("failed_base"), r.alias("failed_rules"), (F.size(b) > 0).alias("base_failed"), ((F.size(b) == 0) & (F.size(r) == 0)).alias("kept"))
+        return let(compile_rules(base, m), lambda b: let(compile_rules(rules, m), lambda r: failed(b, r)))
+
+    return let(measures(text), judged)
 
 
 def quality(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE_RULES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -115,5 +133,11 @@ def quality(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE_R
     Null and empty texts have no words and fail the base rules. Repeated rows are judged
     alike. A column of docs that has the name of an output column is replaced.
     """
-    failed = measures(docs, text).withColumn("failed_base", compile_rules(base)).withColumn("failed_rules", compile_rules(rules))
-    return failed.withColumn("base_failed", F.size("failed_base") > 0).withColumn("kept", (F.size("failed_base") == 0) & (F.size("failed_rules") == 0))
+    out = (*MEASURES, "failed_base", "failed_rules", "base_failed", "kept")
+    judged = docs.withColumn("__verdict", verdict(text_of(text), base, rules))
+    return judged.select(*[c for c in docs.columns if c not in out], *[F.col("__verdict")[c].alias(c) for c in out])
+
+
+def kept(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE_RULES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs that pass every rule, with their own columns."""
+    return docs.filter(verdict(text_of(text), base, rules)["kept"])
