@@ -13,7 +13,7 @@ END_ID = 2
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a quality rule go."""
-    return quality.quality(docs).filter("kept").select(*docs.columns)
+    return quality.kept(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
