@@ -103,9 +103,9 @@ def _rules_sql() -> str:
     tests = []
     for r in quality.RULES:
         if r.low is not None:
-            tests.append(f"100 * {r.measure} < {round(100 * r.low)} * {r.per or 1}")
+            tests.append(f"n_words >= {r.words} AND 100 * {r.measure} < {round(100 * r.low)} * {r.per or 1}")
         if r.high is not None:
-            tests.append(f"100 * {r.measure} > {round(100 * r.high)} * {r.per or 1}")
+            tests.append(f"n_words >= {r.words} AND 100 * {r.measure} > {round(100 * r.high)} * {r.per or 1}")
     return " OR ".join(tests)
 
 

@@ -22,13 +22,14 @@ WINDOW = 5
 
 
 class Rule(NamedTuple):
-    """A row fails when the measure, or measure / per, lies outside [low, high]."""
+    """A text of at least `words` words fails when the measure, or measure / per, lies outside [low, high]."""
 
     name: str
     measure: str
     per: str | None
     low: float | None
     high: float | None
+    words: int = 0
 
 
 BASE_RULES = (
@@ -38,8 +39,8 @@ BASE_RULES = (
 RULES = (
     Rule("word_length", "word_chars", "n_words", 2, 14),
     Rule("symbols", "n_symbols", "n_words", None, 0.1),
-    Rule("stop_words", "n_stop_words", "n_words", 0.02, None),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 0.3),
+    Rule("stop_words", "n_stop_words", "n_words", 0.02, None, 50),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 0.5),
 )
 
 
@@ -48,7 +49,8 @@ def failure(rule: Rule, measured: Column) -> Column:
     value, per = measured[rule.measure], measured[rule.per] if rule.per else F.lit(1)
     tests = [100 * value < round(100 * rule.low) * per] if rule.low is not None else []
     tests += [100 * value > round(100 * rule.high) * per] if rule.high is not None else []
-    return tests[0] if len(tests) == 1 else tests[0] | tests[1]
+    failed = tests[0] if len(tests) == 1 else tests[0] | tests[1]
+    return failed & (measured["n_words"] >= rule.words) if rule.words else failed
 
 
 def compile_rules(rules: tuple[Rule, ...], measured: Column) -> Column:
