@@ -190,12 +190,13 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 CUTS = "k1 long, k2 long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def cut_repeats(docs: DataFrame, text: str = "text", span: int = SPAN, block: int = BLOCK) -> DataFrame:
+def cut_repeats(docs: DataFrame, text: str = "text", span: int = SPAN, block: int = BLOCK, whole_characters: bool = False) -> DataFrame:
     """(k1, k2, n_removed, spans, kept) of each distinct text that loses bytes.
 
     k1 and k2 are content_keys of the text. A text that several rows hold is repeated whole
     if it has span bytes; texts shorter than span, null and empty ones never lose any. Spans
-    are maximal removed runs, judged on the input; kept holds the other bytes in order.
+    are maximal removed runs, judged on the input; kept holds the other bytes in order, with
+    whole_characters less those of characters that a cut leaves in part.
     Each distinct text is written once, bucketed by its keys, so later joins don't move texts.
     """
     spark = docs.sparkSession
@@ -216,7 +217,8 @@ def cut_repeats(docs: DataFrame, text: str = "text", span: int = SPAN, block: in
                 keep = [raw[a:z] for a, z in zip([0, *(z for _, z in spans)], [*(a for a, _ in spans), len(raw)], strict=True)]
                 out[0].append(sum(z - a for a, z in spans))
                 out[1].append([{"start": a, "end": z} for a, z in spans])
-                out[2].append(b"".join(keep))
+                left = b"".join(keep)
+                out[2].append(left.decode(errors="ignore").encode() if whole_characters else left)
             kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], ["k1", "k2", "n_removed", "spans", "kept"])
 
@@ -245,9 +247,8 @@ def without_repeats(docs: DataFrame, text: str = "text", span: int = SPAN, block
 
     Rows and all other columns stay; a null text stays null.
     """
-    cuts = cut_repeats(docs, text, span, block).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("kept").alias("__kept"))
+    cuts = cut_repeats(docs, text, span, block, True).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.decode("kept", "UTF-8").alias("__kept"))
     k1, k2 = content_keys(text_of(text))
     keyed = docs.withColumn("__k1", k1).withColumn("__k2", k2)
-    kept = F.replace(F.try_validate_utf8(F.decode("__kept", "UTF-8")), F.lit("�"))
     joined = keyed.join(cuts, ["__k1", "__k2"], "left")
-    return joined.withColumn(text, F.when(F.col("__kept").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    return joined.withColumn(text, F.when(F.col(text).isNotNull(), F.coalesce("__kept", text))).select(*docs.columns)

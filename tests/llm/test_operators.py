@@ -359,6 +359,16 @@ def test_suffix_dedup_of_random_edits(spark, seed):
     assert collected(substrings.dedup_report(docs), *REPORT) == plain_report(rows, 400)
 
 
+def test_cuts_inside_characters(spark):
+    rng = random.Random(2)
+    shared = "".join(rng.choice("abcdefg ") for _ in range(450))
+    rows = [(0, "p é" + shared + "é end"), (1, "q ũ" + shared + "ã end"), (2, "clean � text"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collected(substrings.dedup_report(docs), *REPORT) == plain_report(rows, 400)
+    got = {r["doc_id"]: r["text"] for r in substrings.without_repeats(docs).collect()}
+    assert got == {0: "p  end", 1: "q  end", 2: "clean � text", 3: None}
+
+
 def test_chunks_agree_with_one_pass(spark):
     rng = random.Random(9)
     long = "".join(rng.choice("abcd ") for _ in range(5000))
