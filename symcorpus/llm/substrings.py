@@ -217,8 +217,9 @@ def cut_repeats(docs: DataFrame, text: str = "text", span: int = SPAN, block: in
                 keep = [raw[a:z] for a, z in zip([0, *(z for _, z in spans)], [*(a for a, _ in spans), len(raw)], strict=True)]
                 out[0].append(sum(z - a for a, z in spans))
                 out[1].append([{"start": a, "end": z} for a, z in spans])
-                left = b"".join(keep)
-                out[2].append(left.decode(errors="ignore").encode() if whole_characters else left)
+                if whole_characters:  # each part apart, so that no two halves make a new character
+                    keep = [k.decode(errors="ignore").encode() for k in keep]
+                out[2].append(b"".join(keep))
             kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], ["k1", "k2", "n_removed", "spans", "kept"])
 
