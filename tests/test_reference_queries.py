@@ -52,7 +52,7 @@ def test_rounding_and_wheel(spark):
 
 
 def test_early_stopping_ignores_small_gains(spark):
-    rows = [(1, k + 1, v) for k, v in enumerate([1.0, 0.99995, 0.9999, 0.5, 0.6, 0.7])]
+    rows = [(1, k + 1, v) for k, v in enumerate([1.0, 0.99995, 0.9999, 0.99985, 0.6, 0.7])]
     got = events.early_stopping(spark.createDataFrame(rows, "run_id int, epoch int, validation_loss double"), 1e-3, 3).first()
     assert (got["best_loss"], got["best_epoch"], got["stopped_epoch"]) == (1.0, 1, 4)
 
