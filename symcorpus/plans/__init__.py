@@ -1,0 +1,5 @@
+"""Queries by operator; importing the package registers all of them."""
+
+from . import registry, token_queries
+
+__all__ = ["registry", "token_queries"]
