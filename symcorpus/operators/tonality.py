@@ -42,18 +42,25 @@ def scores(notes: DataFrame) -> DataFrame:
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     rows = rows.withColumn("all_weight", total("weights")).withColumn("all_votes", total("votes"))
 
-    def score(tonic: int, steps: list[int]) -> Column:
-        inside = [(tonic + s) % 12 for s in steps]
-        weight = lambda k: F.get("weights", F.lit(k))
-        coverage = reduce(lambda a, b: a + b, map(weight, inside)) / F.col("all_weight")
-        present = reduce(lambda a, b: a + b, [(weight(k) > 0).cast("int") for k in inside]) / F.lit(len(inside))
+    modes = "array(" + ", ".join(f"array({', '.join(map(str, steps))})" for steps in MODES.values()) + ")"
+    n = len(MODES)
+    candidate = F.expr(f"transform(sequence(0, {12 * n - 1}), k -> named_struct('tonic', k div {n}, 'steps', get({modes}, k % {n})))")
+
+    def score(c: Column) -> Column:
+        weight = lambda k: F.get("weights", k.cast("int"))
+        at = lambda step: (c["tonic"] + step) % 12
         terms = {
-            "coverage": coverage, "outside": 1 - coverage, "tonic": weight(tonic) / F.col("all_weight"), "bass": F.get("votes", F.lit(tonic)) / F.col("all_votes"),
-            "fifth": weight((tonic + 7) % 12) / F.col("all_weight"), "first": (F.col("first_bass") == tonic).cast("int"), "final": (F.col("last_bass") == tonic).cast("int"), "completeness": present,
+            "coverage": c["coverage"], "outside": 1 - c["coverage"], "tonic": weight(c["tonic"]) / F.col("all_weight"), "bass": F.get("votes", c["tonic"].cast("int")) / F.col("all_votes"),
+            "fifth": weight(at(7)) / F.col("all_weight"), "first": (F.col("first_bass") == c["tonic"]).cast("int"), "final": (F.col("last_bass") == c["tonic"]).cast("int"),
+            "completeness": F.size(F.filter(c["steps"], lambda step: weight(at(step)) > 0)) / F.size(c["steps"]),
         }
         return F.round(reduce(lambda a, b: a + b, [w * terms[t] for t, w in WEIGHTS.items()]), 9)
 
-    return rows.select("source_id", F.array(*[score(t, steps) for t in range(12) for steps in MODES.values()]).alias("scores"))
+    def covered(c: Column) -> Column:
+        inside = F.aggregate(c["steps"], F.lit(0.0), lambda a, step: a + F.get("weights", ((c["tonic"] + step) % 12).cast("int")))
+        return c.withField("coverage", inside / F.col("all_weight"))
+
+    return rows.select("source_id", F.transform(F.transform(candidate, covered), score).alias("scores"))
 
 
 def _confidence(best: Column, second: Column) -> Column:
