@@ -117,3 +117,11 @@ def repetition_penalty(logits: Column, prior: Column, r: float) -> Column:
 
 def mask_and_temperature(logits: Column, allowed: Column, t: float) -> Column:
     return F.transform(logits, lambda x, i: F.when(F.array_contains(allowed, i), x / t))
+
+
+def draw(logits: Column, u: Column) -> Column:
+    """The first id at which the running mass of the softmax reaches u."""
+    mass = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x))
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("seen"))
+    step = lambda a, x: F.struct((a["sum"] + F.exp(x)).alias("sum"), (a["seen"] + F.when(a["sum"] + F.exp(x) < u * mass, 1).otherwise(0)).alias("seen"))
+    return F.least(F.aggregate(logits, zero, step)["seen"], F.size(logits) - 1)
