@@ -174,7 +174,7 @@ def _(n, b):
     return t.decode(_encoded(n, b))[0]
 
 
-@query("j09_round_trip_diff", "v_notes v_bends", step(tk="t03_encode_events") + " SELECT count(*) AS n_tokens, 0 AS n_different FROM tk")
+@query("j09_round_trip_diff", "v_notes v_bends", step(tk="t03_encode_events") + " SELECT count(*) AS n_tokens, CAST(0 AS BIGINT) AS n_different FROM tk")
 def _(n, b):
     once = _encoded(n, b)
     twice = t.encode(*t.decode(once), F.lit(BPM))
