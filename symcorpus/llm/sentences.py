@@ -7,12 +7,12 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import saved, text_of
 
-#: A span is the shortest run of at least RUN sentences with at least WORDS words.
+#: A span has at least RUN sentences and at least WORDS words.
 RUN = 2
 WORDS = 16
 #: A longer sentence is cut after each LONG words.
@@ -41,11 +41,23 @@ def sentences(text: str) -> list[str]:
 
 
 def spans(parts: list[str], run: int = RUN, words: int = WORDS) -> list[tuple[int, int, bytes]]:
-    """(first, end, text) of the span that begins at each sentence, blanks made single."""
-    clean = [" ".join(w for w in _BLANK.split(p) if w) for p in parts]
-    counts = np.cumsum([0, *(c.count(" ") + 1 if c else 0 for c in clean)])
-    ends = np.maximum(np.searchsorted(counts, counts[:-1] + words), np.arange(len(parts)) + run)
-    return [(i, int(e), " ".join(clean[i:e]).encode()) for i, e in enumerate(ends) if e <= len(parts)]
+    """(first, end, text) of the shortest spans that begin and that end at each sentence, blanks made single.
+
+    Each longer span is covered by these, so a repeated run of sentences is found up to its last
+    one. A text too short for a span is one as a whole.
+    """
+    clean = [" ".join(w for w in _BLANK.split(p) if w).encode() for p in parts]
+    counts = np.cumsum([0, *(c.count(b" ") + 1 if c else 0 for c in clean)])
+    at = np.arange(len(parts))
+    ends = np.searchsorted(counts, counts[:-1] + words)
+    ends = np.maximum(ends, at + run)
+    starts = np.searchsorted(counts, counts[1:] - words, "right") - 1
+    starts = np.minimum(starts, at + 1 - run)
+    both = {(i, e) for i, e in enumerate(ends.tolist()) if e <= len(parts)} | {(i, e) for e, i in enumerate(starts.tolist(), 1) if i >= 0}
+    joined, place = b" ".join(clean), np.cumsum([0, *(len(c) + 1 for c in clean)]).tolist()
+    if not both:
+        return [(0, len(parts), joined.strip())] if counts[-1] else []
+    return [(i, e, joined[place[i] : place[e] - 1]) for i, e in sorted(both)]
 
 
 def _span_table(docs: DataFrame, run_of: int, words: int) -> DataFrame:
@@ -73,16 +85,14 @@ def drop_repeated_spans(docs: DataFrame, text: str = "text", run: int = RUN, wor
     A span that occurs again keeps its first occurrence, by doc_id (nulls first), content and
     place; the sentences of every other occurrence go, in the same document as in others.
     Rows with equal doc_id and text count as one document and share its result. A null text
-    is empty. Counts are aggregated before spans are joined, so a span that many documents
-    hold is no single task.
+    is empty. Spans are dealt once, by their hashes, as they are the most bytes; the places of
+    one very common span meet in one task, which spills beyond its memory.
     """
     keyed = docs.select("doc_id", text_of(text).alias("text")).select("doc_id", F.xxhash64(F.md5("text")).alias("k"), "text")
-    table = saved(_span_table(keyed, run, words), "spans")
-    place = ["doc_id", "k", "first"]
-    maybe = table.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1")
-    seen = saved(table.join(maybe, "h1", "left_semi").distinct(), "repeated-spans")
-    firsts = seen.groupBy("h1", "h2").agg(F.min(F.struct(*place)).alias("origin"), F.count("*").alias("n")).filter("n > 1")
-    later = seen.join(firsts, ["h1", "h2"]).filter(~F.struct(*place).eqNullSafe(F.col("origin")))
+    place = F.struct("doc_id", "k", "first")
+    origin = F.min(place).over(Window.partitionBy("h1", "h2"))
+    seen = _span_table(keyed, run, words).withColumn("origin", origin)
+    later = saved(seen.filter(~place.eqNullSafe(F.col("origin"))).select("doc_id", "k", "first", "end"), "repeated-spans")
     lists = later.groupBy("doc_id", "k").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
     lists = lists.select(F.col("doc_id").alias("d"), F.col("k").alias("kk"), "ranges")
     joined = keyed.join(lists.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k") == F.col("kk")), "left")

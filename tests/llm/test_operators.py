@@ -457,6 +457,44 @@ def test_sentence_spans(docs, rows, empty):
     assert sentences.drop_repeated_spans(docs).count() == len(rows) and sentences.drop_repeated_spans(empty).count() == 0
 
 
+def words(rng, n, end=""):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)) + end
+
+
+def kept_words(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return [r["kept"].split() for r in sentences.drop_repeated_spans(frame).orderBy("doc_id").collect()]
+
+
+def test_repeated_runs_go_up_to_their_last_sentence(spark):
+    rng = random.Random(6)
+    told = [words(rng, n, ". ") for n in (7, 5, 9, 3, 8, 2, 4)]
+    own = [words(rng, 9, ". ") for _ in range(4)]
+    whole, short = "".join(told), "just four words here."
+    few = told[0] + told[1]
+    got = kept_words(spark, [whole, own[0] + whole + own[1], whole, short, short, few, few, own[2] + few + own[3]])
+    plain = [whole, own[0] + own[1], "", short, "", few, "", own[2] + few + own[3]]
+    assert got == [t.split() for t in plain]
+
+
+def test_repeated_runs_equal_all_runs_of_sentences(spark):
+    """Every run of two sentences and 16 words, by loops that do not call spans()."""
+    rng = random.Random(7)
+    told = [words(rng, n, ".") for n in (1, 2, 3, 5, 6, 8, 9, 11, 13, 14)]
+    texts = [[rng.choice(told) for _ in range(rng.randint(4, 30))] for _ in range(60)]
+    seen, plain = set(), []
+    for t in texts:
+        gone = set()
+        for i in range(len(t)):
+            for e in range(i + 2, len(t) + 1):
+                said = " ".join(t[i:e])
+                if said.count(" ") + 1 >= 16:
+                    gone |= set(range(i, e)) if said in seen else set()
+                    seen.add(said)
+        plain.append(" ".join(x for k, x in enumerate(t) if k not in gone).split())
+    assert kept_words(spark, [" ".join(t) for t in texts]) == plain
+
+
 def test_pipeline(spark, rows, tmp_path):
     spark.createDataFrame(rows, SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
