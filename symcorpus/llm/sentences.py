@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from itertools import pairwise
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -12,16 +14,35 @@ from pyspark.sql import functions as F
 
 from .shared import saved, text_of
 
-#: A span has at least RUN sentences and at least WORDS words.
+#: A span has at least RUN sentences and at least WORDS words, or is one piece of WORDS words.
 RUN = 2
 WORDS = 16
-#: A longer sentence is cut after each LONG words.
+#: A sentence of LONG words or more is cut before the word of the least hash in each window of LONG words.
 LONG = 16
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+[\x20\x09-\x0D]*|$)")
-_PIECE = re.compile(r"(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){1,%d}[\x20\x09-\x0D]*" % LONG)
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
 
 
+def pieces(sentence: str) -> list[str]:
+    """A long sentence cut at places that its words choose, so equal words are cut alike wherever they begin."""
+    found = list(_WORD.finditer(sentence))
+    if len(found) < LONG:
+        return [sentence]
+    hashes = [crc32(m.group().encode()) for m in found]
+    chosen, best = [0], -1
+    for last in range(LONG - 1, len(hashes)):
+        begin = last - LONG + 1
+        if best < begin:
+            best = min(range(begin, last + 1), key=hashes.__getitem__)
+        elif hashes[last] < hashes[best]:
+            best = last
+        if best != chosen[-1]:
+            chosen.append(best)
+    at = [0, *(found[i].start() for i in chosen[1:]), len(sentence)]
+    return [sentence[x:y] for x, y in pairwise(at)]
+
+
 def sentences(text: str) -> list[str]:
     """A text cut into sentences, with the blanks after each; joined they are the text.
 
@@ -33,10 +54,10 @@ def sentences(text: str) -> list[str]:
             continue
         if not s.strip(" \t\n\r\x0b\x0c.!?") and out:
             out[-1] += s
-        elif s.count(" ") < LONG:
+        elif len(s) < 2 * LONG - 1:
             out.append(s)
         else:
-            out += _PIECE.findall(s) or [s]
+            out += pieces(s)
     return out
 
 
@@ -50,9 +71,9 @@ def spans(parts: list[str], run: int = RUN, words: int = WORDS) -> list[tuple[in
     counts = np.cumsum([0, *(c.count(b" ") + 1 if c else 0 for c in clean)])
     at = np.arange(len(parts))
     ends = np.searchsorted(counts, counts[:-1] + words)
-    ends = np.maximum(ends, at + run)
+    ends = np.where(ends == at + 1, ends, np.maximum(ends, at + run))
     starts = np.searchsorted(counts, counts[1:] - words, "right") - 1
-    starts = np.minimum(starts, at + 1 - run)
+    starts = np.where(starts == at, starts, np.minimum(starts, at + 1 - run))
     both = {(i, e) for i, e in enumerate(ends.tolist()) if e <= len(parts)} | {(i, e) for e, i in enumerate(starts.tolist(), 1) if i >= 0}
     joined, place = b" ".join(clean), np.cumsum([0, *(len(c) + 1 for c in clean)]).tolist()
     if not both:

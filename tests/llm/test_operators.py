@@ -495,6 +495,30 @@ def test_repeated_runs_equal_all_runs_of_sentences(spark):
     assert kept_words(spark, [" ".join(t) for t in texts]) == plain
 
 
+def test_long_sentences_are_cut_alike_wherever_text_begins(spark):
+    rng = random.Random(8)
+    for _ in range(20):
+        passage = words(rng, 60)
+        one, two = sentences.sentences(passage), sentences.sentences(words(rng, rng.randint(1, 40), " ") + passage + " " + words(rng, 30))
+        assert all(len(p.split()) <= 16 for p in one + two) and len({p.strip() for p in one} & {p.strip() for p in two}) >= len(one) - 4
+    passages = [words(rng, 60) for _ in range(10)]
+    texts = [t for p in passages for t in (words(rng, 31, " ") + p + " " + words(rng, 40), words(rng, 12, " ") + p + " " + words(rng, 25))]
+    got = kept_words(spark, texts)
+    assert got[::2] == [t.split() for t in texts[::2]]
+    assert all(set(words_of_own(t, p)) <= set(k) and len(k) <= 12 + 25 + 32 for t, p, k in zip(texts[1::2], passages, got[1::2], strict=True))
+
+
+def words_of_own(text, passage):
+    return [w for part in text.split(passage) for w in part.split()]
+
+
+def test_a_piece_of_sixteen_words_is_a_span():
+    rng = random.Random(9)
+    piece, end = words(rng, 16), words(rng, 3)
+    assert (0, 1, piece.encode()) in sentences.spans([piece + " ", end])
+    assert (1, 2, piece.encode()) in sentences.spans([end + " ", piece])
+
+
 def test_pipeline(spark, rows, tmp_path):
     spark.createDataFrame(rows, SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
