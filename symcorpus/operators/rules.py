@@ -122,3 +122,22 @@ def evaluate(words: DataFrame, splits: DataFrame) -> DataFrame:
     counted = next_token_pairs(words).groupBy("sequence_id", F.col("input").alias("prev"), F.col("target").alias("next")).agg(F.count("*").alias("n"))
     rows = counted.join(bigram_scores(words).drop("n"), ["prev", "next"]).join(splits, "sequence_id")
     return rows.groupBy("split").agg(F.sum("n").alias("tokens"), F.round(F.sum(-F.col("log_p") * F.col("n")) / F.sum("n"), 4).alias("nll"))
+
+
+def evaluate_trained(words: DataFrame, splits: DataFrame, alpha: float = 1.0, pad: str = "", prompt: tuple[str, ...] = ()) -> DataFrame:
+    """Metrics of next tokens by split under bigrams counted in the train split alone.
+
+    Only objective rows are counted and scored. A pair that train lacks has the smoothed value;
+    where train lacks the token before, all tokens are equal and the least one is the guess.
+    """
+    pairs = objective_rows(next_token_pairs(words), pad, list(prompt)).groupBy("sequence_id", F.col("input").alias("prev"), F.col("target").alias("next")).agg(F.count("*").alias("n"))
+    by = pairs.join(splits, "sequence_id").groupBy("split", "prev", "next").agg(F.sum("n").alias("n"))
+    seen = F.coalesce(F.sum(F.when(F.col("split") == "train", F.col("n"))), F.lit(0))
+    both = by.groupBy("prev", "next").agg(seen.alias("seen"), F.collect_list(F.struct("split", "n")).alias("by"))
+    totals = both.filter("seen > 0").groupBy("prev").agg(F.sum("seen").alias("total"), F.min_by("next", F.struct(-F.col("seen"), "next")).alias("best"))
+    size = words.agg(F.count_distinct("token").alias("v"), F.min("token").alias("least"))
+    nll = -F.ln((F.col("seen") + alpha) / (F.coalesce("total", F.lit(0)) + alpha * F.col("v")))
+    top1 = (F.col("next") == F.coalesce("best", "least")).cast("long")
+    rows = both.join(totals, "prev", "left").crossJoin(F.broadcast(size)).select(F.inline("by"), nll.alias("nll"), top1.alias("top1"))  # size is one row
+    mean = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
+    return rows.groupBy("split").agg(F.lit(1).alias("epoch"), F.sum("n").alias("tokens"), F.round(mean("nll"), 4).alias("nll"), F.round(F.exp(F.least(mean("nll"), F.lit(50.0))), 2).alias("perplexity"), F.round(mean("top1"), 6).alias("top1"))

@@ -222,6 +222,15 @@ def _(w, d):
     return r.evaluate(w, sp.assign_splits(sp.fingerprint(d)).select(F.col("source_id").alias("sequence_id"), "split"))
 
 
+@query("x07_evaluate_trained", "v_words v_sources", step(sk="k03_assign_splits") + """, p AS (SELECT sequence_id, token AS prev, lead(token) OVER (PARTITION BY sequence_id ORDER BY pos) AS next FROM v_words),
+o AS (SELECT split, prev, next FROM p JOIN sk ON sk.source_id = sequence_id WHERE next <> ''), c AS (SELECT prev, next, count(*) AS n FROM o WHERE split = 'train' GROUP BY 1, 2),
+b AS (SELECT prev, sum(n) AS total, list(next ORDER BY n DESC, next)[1] AS best FROM c GROUP BY 1), v AS (SELECT count(DISTINCT token) AS v, min(token) AS least FROM v_words),
+m AS (SELECT split, -ln((coalesce(n, 0) + 1.0) / (coalesce(total, 0) + 1.0 * v)) AS nll, o.next = coalesce(best, least) AS top1 FROM o LEFT JOIN c USING (prev, next) LEFT JOIN b USING (prev) CROSS JOIN v)
+SELECT split, 1 AS epoch, count(*) AS tokens, round(avg(nll), 4) AS nll, round(exp(least(avg(nll), 50)), 2) AS perplexity, round(avg(top1::INT), 6) AS top1 FROM m GROUP BY split""")
+def _(w, d):
+    return r.evaluate_trained(w, sp.assign_splits(sp.fingerprint(d)).select(F.col("source_id").alias("sequence_id"), "split"))
+
+
 @query("s12_write_sequences", "v_notes v_bends v_annot", step(tk="t04_insert_postfix_labels") + "SELECT source_id, phrase_index, count(*) AS n_tokens FROM tk GROUP BY 1, 2")
 def _(n, b, a):
     spark = n.sparkSession

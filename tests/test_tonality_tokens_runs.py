@@ -1,9 +1,11 @@
 """Hand-made cases of tonality, token streams and published runs."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
-from symcorpus.operators import tokens, tonality
+from symcorpus.operators import rules, tokens, tonality
 from symcorpus.sources import runs
 
 NOTES = "source_id int, phrase_index int, seq int, onset_tick long, end_tick long, pitch int"
@@ -49,3 +51,16 @@ def test_run_is_reused_and_never_changed(spark, tmp_path):
     with pytest.raises(ValueError):
         runs.publish(rows.filter("x = 2"), str(tmp_path), "r")
     assert runs.read(spark, str(tmp_path), "r").count() == 3
+
+
+def test_evaluation_counts_the_train_split_alone(spark):
+    texts = {1: "a b a b a c", 2: "a b a d", 3: "z b  b"}
+    words = spark.createDataFrame([(i, k, w) for i, t in texts.items() for k, w in enumerate(t.split(" "))], "sequence_id long, pos long, token string")
+    splits = spark.createDataFrame([(1, "train"), (2, "validation"), (3, "test")], "sequence_id long, split string")
+    got = {r["split"]: (r["tokens"], r["nll"], r["top1"]) for r in rules.evaluate_trained(words, splits).collect()}
+    v = 6  # a b c d z and the empty token, which is no target
+    train = [(2, 3), (2, 2), (2, 3), (2, 2), (1, 3)]
+    validation = [(2, 3), (2, 2), (0, 3)]
+    test = [(0, 0), (0, 0)]
+    loss = lambda rows: round(-sum(math.log((c + 1) / (n + v)) for c, n in rows) / len(rows), 4)
+    assert got == {"train": (5, loss(train), 0.8), "validation": (3, loss(validation), round(2 / 3, 6)), "test": (2, loss(test), 0.0)}
