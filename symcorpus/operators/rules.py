@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .events import NOTE
 from .sequences import bigram_scores, next_token_pairs
 
+SPLITS = ("train", "validation", "test")
+
 
 def key_set_diff(rows: DataFrame, column: str, required: list[str]) -> DataFrame:
     """Keys that a JSON object lacks and keys that it should not have, both sorted; no object lacks them all."""
@@ -130,14 +132,16 @@ def evaluate_trained(words: DataFrame, splits: DataFrame, alpha: float = 1.0, pa
     Only objective rows are counted and scored. A pair that train lacks has the smoothed value;
     where train lacks the token before, all tokens are equal and the least one is the guess.
     """
-    pairs = objective_rows(next_token_pairs(words), pad, list(prompt)).groupBy("sequence_id", F.col("input").alias("prev"), F.col("target").alias("next")).agg(F.count("*").alias("n"))
-    by = pairs.join(splits, "sequence_id").groupBy("split", "prev", "next").agg(F.sum("n").alias("n"))
-    seen = F.coalesce(F.sum(F.when(F.col("split") == "train", F.col("n"))), F.lit(0))
-    both = by.groupBy("prev", "next").agg(seen.alias("seen"), F.collect_list(F.struct("split", "n")).alias("by"))
-    totals = both.filter("seen > 0").groupBy("prev").agg(F.sum("seen").alias("total"), F.min_by("next", F.struct(-F.col("seen"), "next")).alias("best"))
+    pairs = objective_rows(next_token_pairs(words), pad, list(prompt)).join(splits, "sequence_id")
+    count = lambda name: F.count(F.when(F.col("split") == name, 1)).alias(name)
+    counted = pairs.groupBy(F.col("input").alias("prev"), F.col("target").alias("next")).agg(*[count(x) for x in SPLITS])
+    over = Window.partitionBy("prev")
+    best = F.min(F.when(F.col("train") > 0, F.struct(-F.col("train"), "next"))).over(over)["next"]
+    both = counted.select("*", F.sum("train").over(over).alias("total"), best.alias("best"))
     size = words.agg(F.count_distinct("token").alias("v"), F.min("token").alias("least"))
-    nll = -F.ln((F.col("seen") + alpha) / (F.coalesce("total", F.lit(0)) + alpha * F.col("v")))
+    nll = -F.ln((F.col("train") + alpha) / (F.col("total") + alpha * F.col("v")))
     top1 = (F.col("next") == F.coalesce("best", "least")).cast("long")
-    rows = both.join(totals, "prev", "left").crossJoin(F.broadcast(size)).select(F.inline("by"), nll.alias("nll"), top1.alias("top1"))  # size is one row
+    by = F.inline(F.array(*[F.struct(F.lit(x).alias("split"), F.col(x).alias("n")) for x in SPLITS]))
+    rows = both.crossJoin(F.broadcast(size)).select(by, nll.alias("nll"), top1.alias("top1")).filter("n > 0")  # size is one row
     mean = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
     return rows.groupBy("split").agg(F.lit(1).alias("epoch"), F.sum("n").alias("tokens"), F.round(mean("nll"), 4).alias("nll"), F.round(F.exp(F.least(mean("nll"), F.lit(50.0))), 2).alias("perplexity"), F.round(mean("top1"), 6).alias("top1"))
