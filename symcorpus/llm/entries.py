@@ -58,7 +58,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup_report(table(spark, sf_dir, "documents"))
+    return substrings.dedup_report(table(spark, sf_dir, "documents"), short=substrings.SHORT)
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

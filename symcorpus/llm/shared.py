@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six characters that part words: space, tab, LF, VT, FF, CR.
@@ -31,7 +31,9 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: later steps survive lost executors."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.saved_at = path
+    return back
 
 
 def text_of(column: str = "text") -> Column:
@@ -57,3 +59,55 @@ def content_keys(text: Column) -> list[Column]:
         F.xxhash64(F.substring(digest, 1, 16)).alias("k1"),
         F.xxhash64(F.substring(digest, 17, 16)).alias("k2"),
     ]
+
+
+#: Keys of a list that is broadcast, at most.
+HEAVY = 2_000
+#: Rows that a heavy key has, at least.
+LEAST_ROWS = 256
+#: Rows of the sample that finds frequent keys, about. It only spreads work: results do not depend on it.
+SAMPLE_ROWS = 200_000
+
+
+def heaviest(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """The HEAVY keys of the largest counts above LEAST_ROWS; any other key has at most 1 in HEAVY of all rows."""
+    return counts.filter(F.col(n) > LEAST_ROWS).orderBy(F.desc(n), *keys).limit(HEAVY).select(*keys)
+
+
+def frequent(rows: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
+    """At most HEAVY keys that about `least` rows have, and two surely; found in a sample of SAMPLE_ROWS rows."""
+    part = min(1.0, SAMPLE_ROWS / max(1, rows.count()))
+    some = rows.select(*keys) if part == 1 else rows.select(*keys).sample(part, 7)
+    counts = some.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") >= max(2, round(least * part)))
+    return saved(counts.orderBy(F.desc("__n"), *keys).limit(HEAVY).select(*keys), "frequent")
+
+
+def repeated_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys another row has too. Those of frequent keys are known to, and meet in no task."""
+    hot = F.broadcast(frequent(rows, keys).withColumn("__hot", F.lit(True)))
+    tagged = rows.join(hot, keys, "left")
+    rest = tagged.filter("__hot IS NULL").withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).filter("__n > 1")
+    return tagged.filter("__hot").select(*rows.columns).unionByName(rest.select(*rows.columns))
+
+
+def looked_up(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
+    """left with `found`, a struct of the other columns of the row of right that has its keys; null where none has.
+
+    right holds keys once, the first of them a long. Rows of heavy keys (a bounded list) find
+    theirs in a broadcast table and are dealt out evenly, so that no task gets all of a key.
+    """
+    more = F.struct(*[c for c in right.columns if c not in keys])
+    hot = right.join(F.broadcast(heavy), keys, "left_semi").select(*keys, more.alias("__hot"))
+    light = right.select(*[F.col(k).alias(f"__{k}") for k in keys], more.alias("__light"))
+    spread = F.when(F.col("__hot").isNull(), F.col(keys[0])).otherwise(F.monotonically_increasing_id())
+    tagged = left.join(F.broadcast(hot), keys, "left").withColumn("__first", spread)
+    same = (F.col("__first") == F.col(f"__{keys[0]}")) & F.col("__hot").isNull()
+    for k in keys[1:]:
+        same &= F.col(k) == F.col(f"__{k}")
+    return tagged.join(light, same, "left").select(*left.columns, F.coalesce("__hot", "__light").alias("found"))
+
+
+def freed(*frames: DataFrame) -> None:
+    """Empties the folders of saved tables that nothing reads any more."""
+    for df in frames:
+        df.sparkSession.range(0).write.mode("overwrite").parquet(df.saved_at)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from symcorpus.llm import chat, components, encoders, entries, media, mixing, packing, pfor, quality, sentences, simhash, substrings, token_counts
+from symcorpus.llm import chat, components, encoders, entries, media, mixing, packing, pfor, quality, sentences, simhash, substrings, suffixes, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, part string"
 
@@ -346,15 +346,72 @@ def test_suffix_dedup(docs, rows, empty):
     assert substrings.dedup_report(empty).count() == 0 and substrings.without_repeats(docs).columns == docs.columns
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_suffix_dedup_of_random_edits(spark, seed):
+def test_block_of_suffixes():
+    rng = random.Random(4)
+    for letters, levels in ((b"ab", (32, 100)), (b"a", (40,)), (b"abcdefgh ", (47, 256, 400)), (bytes(range(256)), (33, 64))):
+        pool = [bytes(rng.choice(letters) for _ in range(rng.randint(1, 300))) for _ in range(6)]
+        texts = [b"".join(rng.choice(pool) for _ in range(rng.randint(1, 8))) for _ in range(12)]
+        starts, room = np.array([(sum(map(len, texts[:k])) + i, len(t) - i) for k, t in enumerate(texts) for i in range(len(t))]).T
+        found = suffixes.repeated(b"".join(texts), starts, room, levels)
+        for level, flags in zip(levels, found, strict=True):
+            seen = Counter(t[i : i + level] for t in texts for i in range(len(t) - level + 1))
+            assert flags.tolist() == [len(t) - i >= level and seen[t[i : i + level]] > 1 for t in texts for i in range(len(t))]
+
+
+def test_the_shift_puts_both_into_the_cover():
+    for a in range(16):
+        for b in range(16):
+            assert {(a + suffixes.SHIFT[a, b]) % 16, (b + suffixes.SHIFT[a, b]) % 16} <= set(suffixes.COVER)
+
+
+def edited(seed, n=150):
     rng = random.Random(seed)
     pool = [bytes(rng.choice(b"abcdefgh ") for _ in range(rng.randint(30, 900))).decode() for _ in range(25)]
     rows = []
-    for i in range(150):
+    for i in range(n):
         text = "".join(rng.choice(pool) for _ in range(rng.randint(1, 6)))
         cut = rng.randrange(len(text))
         rows.append((i, text[:cut] + rng.choice(["", "#", "zz"]) + text[cut + rng.choice([0, 1, 60]) :]))
+    return rows
+
+
+@pytest.mark.parametrize("large", [8192, 3, 0])
+def test_two_lengths_and_buckets_of_any_size(spark, large):
+    rows = [*edited(11, 100), *[(200 + i, "hot " * 150 + str(i)) for i in range(9)], (300, "x" * 2000), (301, "y" * 330), (301, "y" * 330)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before, substrings.LARGE = substrings.LARGE, large
+    try:
+        got = collected(substrings.dedup_report(docs, short=256), *REPORT, "n_repeated")
+    finally:
+        substrings.LARGE = before
+    by_short = [c[0] for c in plain_cut([t.encode() for _, t in rows], 256)]
+    cut = plain_cut([t.encode() for _, t in rows], 400)
+    want = Counter((i, len(t), n, k, hashlib.sha256(b).hexdigest(), m) for (i, t), (n, k, b), m in zip(rows, cut, by_short, strict=True))
+    assert got == want
+
+
+def test_texts_that_a_polynomial_hash_takes_for_equal(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo a power of two."""
+    word = [bin(i).count("1") % 2 for i in range(128)]
+    rng = random.Random(1)
+    rows = []
+    for k in range(40):
+        head = "".join(rng.choice("abcdefghijklmnop ") for _ in range(128))
+        rows += [(2 * k, head + "".join("2:" if b else "CL" for b in word) + " " * 16), (2 * k + 1, head + "".join("CL" if b else "2:" for b in word) + " " * 16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(len(t) == 400 for _, t in rows)
+    assert collected(substrings.dedup_report(docs), *REPORT) == plain_report(rows, 400)
+
+
+def test_what_is_written_on_the_way_is_freed(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    substrings.dedup_report(spark.createDataFrame([(1, "a" * 900), (2, "b")], "doc_id long, text string")).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_suffix_dedup_of_random_edits(spark, seed):
+    rows = edited(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert collected(substrings.dedup_report(docs), *REPORT) == plain_report(rows, 400)
 
@@ -534,7 +591,7 @@ def test_pipeline(spark, rows, tmp_path):
         kept.append([g for g in group if g[0] == least])
     assert all(len({t for _, t, _ in k}) == 1 for k in kept)
     kept = [k[0] for k in kept]
-    cut = plain_cut([t.encode() for _, t, _ in kept], 400)
+    cut = plain_cut([t.encode() for _, t, _ in kept], substrings.SHORT)
     texts = [(i, b.decode(errors="ignore"), s) for (i, _, s), (_, _, b) in zip(kept, cut, strict=True)]
     copies = {(r["doc_id"], r["size"]): r["copies"] for r in mixing.mix(spark.createDataFrame(texts, "doc_id long, text string, source string")).collect()}
     check_packing(got, [(i, t) for i, t, _ in texts for _ in range(copies[(i, len(t.split()))])])
