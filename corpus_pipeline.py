@@ -22,8 +22,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the bytes that a repeated string of 400 bytes covers."""
-    return substrings.without_repeats(docs)
+    """Texts lose the bytes that a repeated string of substrings.SHORT bytes covers, about 45 words."""
+    return substrings.without_repeats(docs, span=substrings.SHORT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
