@@ -11,16 +11,22 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ROW = 576  # samples in a row of a stored payload
 FRAME_ROWS = 64  # rows in a frame: the canvas stays small however long a text is
 DELAY_CS = 4
 BINS = 8  # of a colour channel
+MOST_PIXELS = 1 << 26  # of a canvas or a frame that is decoded; larger ones count as broken
 MOST_CODES = 3838  # of a segment, its closing clear code included; the table never overflows
 _GREY = bytes(v for g in range(256) for v in (g, g, g))
 _WIDTHS: dict[int, np.ndarray] = {}
 
 
+#: What decode_gif raises on bytes that are no whole GIF.
+FAULTS = (ValueError, IndexError, struct.error)
+
+
 class Frame(NamedTuple):
     index: int
     delay_cs: int
@@ -42,25 +48,25 @@ def _widths(code_size: int) -> np.ndarray:
 
 def lzw_encode(samples: bytes) -> bytes:
     """Eight-bit samples as a GIF code stream, cleared before the table overflows."""
-    codes, counts, start = [256], [1], 1
-    add, free = codes.append, 258
-    roots = {i: {-1: i} for i in range(256)}
-    here = roots[samples[0]]
+    codes, counts, start, free = [256], [1], 1, 258
+    add, longer = codes.append, {}
+    find, code = longer.get, samples[0]
     for c in memoryview(samples)[1:]:
-        longer = here.get(c)
-        if longer is not None:
-            here = longer
+        key = code << 8 | c
+        known = find(key)
+        if known is not None:
+            code = known
             continue
-        add(here[-1])
-        here[c] = {-1: free}
+        add(code)
+        longer[key] = free
         free += 1
         if free == 256 + MOST_CODES:
             add(256)
             counts.append(len(codes) - start)
             start, free = len(codes), 258
-            roots = {i: {-1: i} for i in range(256)}
-        here = roots[c]
-    add(here[-1])
+            longer.clear()
+        code = c
+    add(code)
     add(257)
     counts.append(len(codes) - start)
     widths = _widths(8)
@@ -155,11 +161,14 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
     """The timed frames of a GIF, one at a time, composed under its disposal and transparency rules.
 
     Disposal 2 clears a frame's rectangle to transparent, 3 restores what was there before it;
-    a transparent index leaves the canvas as it is. Interlaced rows are put in order.
+    a transparent index leaves the canvas as it is. Interlaced rows are put in order. Bytes
+    that are no whole GIF raise one of FAULTS where they go wrong, after the frames before it.
     """
     if data[:3] != b"GIF":
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack("<HHB", data[6:11])
+    if width * height > MOST_PIXELS:
+        raise ValueError("canvas too large")
     at, shared = 13, None
     if flags & 0x80:
         size = 3 << (flags & 7) + 1
@@ -174,12 +183,18 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
                 packed, delay, clear = struct.unpack("<BHB", block[:4])
                 disposal, clear = packed >> 2 & 7, clear if packed & 1 else -1
             continue
+        if data[at] != 0x2C:
+            raise ValueError("unknown block")
         left, top, w, h, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
         at, palette = at + 10, shared
+        if w * h > MOST_PIXELS:
+            raise ValueError("frame too large")
         if flags & 0x80:
             size = 3 << (flags & 7) + 1
             palette, at = np.frombuffer(data[at : at + size], np.uint8).reshape(-1, 3), at + size
         code_size = data[at]
+        if palette is None or not 1 <= code_size <= 11:
+            raise ValueError("no palette" if palette is None else "bad code size")
         stream, at = _blocks(data, at + 1)
         samples = np.frombuffer(lzw_decode(stream, code_size, w * h), np.uint8).reshape(h, w)
         if flags & 0x40:
@@ -222,7 +237,8 @@ def texts_to_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs(doc_id, text) as (doc_id, n_bytes, media): every whole text stored as a GIF.
 
     A null or empty text is one row of 255s; a long text becomes more frames, so memory is
-    bounded by one document. Rows are kept as they are: repeated rows give repeated rows.
+    bounded by one document. Repeated rows give repeated rows, an empty table gives none;
+    other columns of docs are not read.
     """
 
     def run(batches):
@@ -234,42 +250,69 @@ def texts_to_media(docs: DataFrame, text: str = "text") -> DataFrame:
                 ["doc_id", "n_bytes", "media"],
             )
 
-    return docs.selectExpr("doc_id", f"`{text}` AS text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
-
-
-FRAMES = "array<struct<index:int,delay_cs:int,left:int,top:int,width:int,height:int,samples:binary,histogram:array<int>>>"
-
-
-def media_frames(media: DataFrame) -> DataFrame:
-    """(doc_id, media) as (doc_id, frames): timed frames with samples and colour histograms. Null media: no frames."""
-
-    def run(batches):
-        kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("index", "delay_cs", "left", "top", "width", "height")] + [("samples", pa.binary()), ("histogram", pa.list_(pa.int32()))]))
-        for b in batches:
-            rows = [[{**{n: getattr(f, n) for n in ("index", "delay_cs", "left", "top", "width", "height")}, "samples": f.samples.tobytes(), "histogram": histogram(f.canvas)} for f in decode_gif(m)] if m else [] for m in b.column("media").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, kind)], ["doc_id", "frames"])
+    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
-    return media.select("doc_id", "media").mapInArrow(run, f"doc_id long, frames {FRAMES}")
 
+PLACE = ("index", "delay_cs", "left", "top", "width", "height")
+FRAMES = f"array<struct<{','.join(f'{n}:int' for n in PLACE)},samples:binary,histogram:array<int>>>"
 
-def media_digest(media: DataFrame) -> DataFrame:
-    """Reads stored GIFs back: the payload seen through palette and composition, and a feature of its frames."""
 
-    def read_back(data: bytes) -> tuple:
-        whole, tail, size, total, frames, shown = hashlib.sha256(), b"", 0, np.zeros(3 * BINS, np.int64), 0, 0
+def _read(data: bytes, samples: bool) -> tuple[list[dict], str | None, tuple]:
+    """The frames of stored media, what is wrong with it, and (size, SHA-256, CRC of the last 32) of the values that its frames show in the first channel."""
+    frames, fault, whole, tail, size = [], None, hashlib.sha256(), b"", 0
+    try:
         for f in decode_gif(data):
             pixels = f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes()
             whole.update(pixels)
-            tail, size, total, frames, shown = (tail + pixels)[-32:], size + len(pixels), total + histogram(f.canvas), frames + 1, shown + f.delay_cs
-        feature = f"{frames} frames, {shown} cs, histogram {' '.join(map(str, total))}"
-        return size, whole.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature
+            tail, size = (tail + pixels)[-32:], size + len(pixels)
+            frames.append({n: getattr(f, n) for n in PLACE} | {"samples": f.samples.tobytes() if samples else None, "histogram": histogram(f.canvas)})
+    except FAULTS as wrong:
+        fault = f"broken after {len(frames)} frames: {wrong}"
+    return frames, fault, (size, whole.hexdigest(), zlib.crc32(tail))
+
 
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+def media_frames(media: DataFrame, samples: bool = True) -> DataFrame:
+    """(doc_id, media) as (doc_id, n_bytes, frames, fault, shown_bytes, shown_sha256, shown_crc32, media_bytes, media_sha256).
+
+    frames are timed frames with their palette indices (where `samples`) and the histogram of
+    the canvas while they show: BINS counts of each channel. Null media has no frames and null
+    figures. Truncated or corrupt media keeps the frames before the fault, which `fault` names.
+    Repeated rows stay, an empty table gives none; of other columns only n_bytes is kept,
+    null where there is none.
+    """
+    kind = pa.list_(pa.struct([(n, pa.int32()) for n in PLACE] + [("samples", pa.binary()), ("histogram", pa.list_(pa.int32()))]))
+    names = ["doc_id", "n_bytes", "frames", "fault", "shown_bytes", "shown_sha256", "shown_crc32", "media_bytes", "media_sha256"]
+    kinds = [kind, pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches):
         for b in batches:
-            rows = list(zip(*map(read_back, b.column("media").to_pylist()), strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(v, k) for v, k in zip(rows, kinds, strict=True))], ["doc_id", "n_bytes", *names])
+            rows = []
+            for m in b.column("media").to_pylist():
+                if m is None:
+                    rows.append(([], None, None, None, None, None, None))
+                else:
+                    frames, fault, shown = _read(m, samples)
+                    rows.append((frames, fault, *shown, len(m), hashlib.sha256(m).hexdigest()))
+            columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(v, k) for v, k in zip(columns, kinds, strict=True))], names)
+
+    n_bytes = F.col("n_bytes") if "n_bytes" in media.columns else F.lit(None).cast("long").alias("n_bytes")
+    schema = f"doc_id long, n_bytes long, frames {FRAMES}, fault string, shown_bytes long, shown_sha256 string, shown_crc32 long, media_bytes long, media_sha256 string"
+    return media.select("doc_id", n_bytes, "media").mapInArrow(run, schema)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+def media_digest(media: DataFrame) -> DataFrame:
+    """Reads stored GIFs back: the payload seen through palette and composition, and a feature of its frames.
+
+    The feature is computed from the columns of media_frames: number of frames, time shown and
+    the sum of their histograms. Null media gives nulls and the feature of no frames; broken
+    media gives what its whole frames hold, and fault says so.
+    """
+    total = F.aggregate("frames", F.array_repeat(F.lit(0).cast("long"), 3 * BINS), lambda a, f: F.zip_with(a, f["histogram"], lambda x, y: x + y))
+    shown = F.aggregate("frames", F.lit(0), lambda a, f: a + f["delay_cs"])
+    feature = F.concat(F.size("frames").cast("string"), F.lit(" frames, "), shown.cast("string"), F.lit(" cs, histogram "), F.array_join(total.cast("array<string>"), " "))
+    read = media_frames(media, samples=False)
+    return read.select(
+        "doc_id", "n_bytes", F.col("shown_bytes").alias("payload_bytes"), F.col("shown_sha256").alias("payload_sha256"), F.col("shown_crc32").alias("tail_crc32"),
+        "media_bytes", "media_sha256", feature.alias("feature"), "fault",
+    )
