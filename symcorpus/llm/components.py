@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import heaviest, looked_up, saved
 
 
 def _to_least(edges: DataFrame, below: bool) -> DataFrame:
@@ -14,8 +14,8 @@ def _to_least(edges: DataFrame, below: bool) -> DataFrame:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     else:
         near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = near.join(least, "u")
+    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    joined = looked_up(near, least.drop("n"), ["u"], heaviest(least, ["u"])).select("u", "v", "found.m")
     if below:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     else:

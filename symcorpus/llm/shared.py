@@ -74,10 +74,15 @@ def heaviest(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     return counts.filter(F.col(n) > LEAST_ROWS).orderBy(F.desc(n), *keys).limit(HEAVY).select(*keys)
 
 
-def frequent(rows: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
-    """At most HEAVY keys that about `least` rows have, and two surely; found in a sample of SAMPLE_ROWS rows."""
-    part = min(1.0, SAMPLE_ROWS / max(1, rows.count()))
-    some = rows.select(*keys) if part == 1 else rows.select(*keys).sample(part, 7)
+def frequent(rows: DataFrame, keys: list[str], least: int = 2, part: float | None = None) -> DataFrame:
+    """At most HEAVY keys that about `least` rows have, and two surely; found in a sample of SAMPLE_ROWS rows.
+
+    Where rows are a sample already, part says of how much.
+    """
+    if part is None:
+        part = min(1.0, SAMPLE_ROWS / max(1, rows.count()))
+        rows = rows if part == 1 else rows.sample(part, 7)
+    some = rows.select(*keys)
     counts = some.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") >= max(2, round(least * part)))
     return saved(counts.orderBy(F.desc("__n"), *keys).limit(HEAVY).select(*keys), "frequent")
 
