@@ -12,13 +12,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved, text_of
+from .shared import frequent, saved, text_of
 
 #: A span has at least RUN sentences and at least WORDS words, or is one piece of WORDS words.
 RUN = 2
 WORDS = 16
 #: A sentence of LONG words or more is cut before the word of the least hash in each window of LONG words.
 LONG = 16
+#: Documents of the sample that finds frequent spans, about; rows that make a span frequent; parts that these are dealt to.
+SAMPLE_DOCS = 2_000
+OFTEN = 512
+PARTS = 256
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+[\x20\x09-\x0D]*|$)")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
@@ -105,18 +109,28 @@ def drop_repeated_spans(docs: DataFrame, text: str = "text", run: int = RUN, wor
 
     A span that occurs again keeps its first occurrence, by doc_id (nulls first), content and
     place; the sentences of every other occurrence go, in the same document as in others.
-    Rows with equal doc_id and text count as one document and share its result. A null text
-    is empty. Spans are dealt once, by their hashes, as they are the most bytes; the places of
-    one very common span meet in one task, which spills beyond its memory.
+    Rows with equal doc_id and text count as one document and share its result. A null or
+    empty text has no sentence; an empty table gives none; other columns of docs are not read.
+    Spans are dealt once, by their hashes, as they are the most bytes. Those of hashes that a
+    sample finds frequent (a bounded list) are dealt by document, so that no task gets all of
+    one; their first occurrences are then compared over these parts.
     """
     keyed = docs.select("doc_id", text_of(text).alias("text")).select("doc_id", F.xxhash64(F.md5("text")).alias("k"), "text")
+    part = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    hot = frequent(_span_table(keyed if part == 1 else keyed.sample(part, 7), run, words), ["h1", "h2"], OFTEN, part)
     place = F.struct("doc_id", "k", "first")
-    origin = F.min(place).over(Window.partitionBy("h1", "h2"))
-    seen = _span_table(keyed, run, words).withColumn("origin", origin)
-    later = saved(seen.filter(~place.eqNullSafe(F.col("origin"))).select("doc_id", "k", "first", "end"), "repeated-spans")
+    dealt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "k"), F.lit(PARTS))).otherwise(F.lit(-1))
+    tagged = _span_table(keyed, run, words).join(F.broadcast(hot.withColumn("hot", F.lit(True))), ["h1", "h2"], "left").withColumn("part", dealt).drop("hot")
+    origin = F.min(place).over(Window.partitionBy("h1", "h2", "part"))
+    seen = tagged.withColumn("origin", origin).filter(~place.eqNullSafe(F.col("origin")) | (F.col("part") >= 0))
+    seen = saved(seen.select("doc_id", "k", "first", "end", F.when(F.col("part") >= 0, F.struct("h1", "h2", "origin")).alias("of")), "repeated-spans")
+    # of frequent spans: the least of the parts' origins is the first occurrence
+    parts = seen.filter("of IS NOT NULL").groupBy("of.h1", "of.h2").agg(F.min("of.origin").alias("origin"))
+    often = seen.filter("of IS NOT NULL").join(F.broadcast(parts.withColumnRenamed("h1", "g1").withColumnRenamed("h2", "g2")), (F.col("of.h1") == F.col("g1")) & (F.col("of.h2") == F.col("g2")))
+    later = seen.filter("of IS NULL").select("doc_id", "k", "first", "end").union(often.filter(~place.eqNullSafe(F.col("origin"))).select("doc_id", "k", "first", "end"))
     lists = later.groupBy("doc_id", "k").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
     lists = lists.select(F.col("doc_id").alias("d"), F.col("k").alias("kk"), "ranges")
-    joined = keyed.join(lists.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k") == F.col("kk")), "left")
+    joined = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k") == F.col("kk")), "left")
 
     def cut(batches):
         for b in batches:
