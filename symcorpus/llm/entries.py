@@ -15,28 +15,34 @@ END_ID = 2
 
 
 def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a GIF and read back frame by frame; null text is empty, equal texts have equal values."""
     return media.media_digest(media.texts_to_media(table(spark, sf_dir, "documents")))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and the components of those within 4 bits; repeated rows stay."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every text; a null text has no words and fails."""
     judged = quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "base_failed", "kept")
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; null sources are one source, null texts have size 0."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text; a null text is empty."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that says control strings, rendered and read back; null texts are empty, repeated rows stay."""
     said = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
@@ -54,18 +60,22 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids written to files and read back; null text is empty, rows of null doc_id come first."""
     return pfor.read_files(pfor.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every text keeps of its bytes; n_repeated counts bytes that shorter repeated strings (SHORT bytes) cover."""
     return substrings.dedup_report(table(spark, sf_dir, "documents"), short=substrings.SHORT)
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences; a null text has its end id alone."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
 
 def op10_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every text keeps of its sentences; a null text has none."""
     cut = sentences.drop_repeated_spans(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_sentences", "n_removed", F.length("kept").cast("long").alias("kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -123,7 +133,7 @@ a AS (SELECT left_over AS l0, open AS o0 FROM f WHERE NOT is_full ORDER BY CAST(
 t AS (SELECT source, source_size, CASE WHEN is_full THEN CAST(most AS DOUBLE)
         ELSE CAST(weight AS DOUBLE) * CAST(l0 AS DOUBLE) / CAST(o0 AS DOUBLE) END AS target FROM f LEFT JOIN a ON true),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target,
-        CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.size, coalesce(((d.doc_id % {mixing.PARTS}) + {mixing.PARTS}) % {mixing.PARTS}, -1), d.doc_id) AS DOUBLE) AS rank,
+        CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.size, coalesce(CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) % {mixing.PARTS}, -1), d.doc_id) AS DOUBLE) AS rank,
         CASE WHEN t.source_size > 0 THEN t.target / CAST(t.source_size AS DOUBLE) ELSE 0 END AS each,
         CAST(CAST('0x' || substr(sha256('{mixing.SEED}' || coalesce(d.source, chr(0) || 'null')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)

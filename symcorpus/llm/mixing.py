@@ -45,28 +45,47 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int =
 def mix(docs: DataFrame, text: str = "text", cycle: tuple[int, ...] = CYCLE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """docs(doc_id, source, text) as (doc_id, source, size, source_size, target, copies, taken).
 
-    Within a source rows are in the order of size, doc_id mod PARTS and doc_id. Each is
+    Within a source rows are in the order of size, part_of doc_id and doc_id. Each is
     expected target / source_size times; a copy comes out for every whole number that the
     running sum of expected copies, begun at the source's offset, crosses. Close sizes are
     neighbours, so the words taken come near the target. Runs agree, as nothing depends on
     how rows are dealt. Null texts have size 0; sources of no words have target 0 and take
-    no copy; a null source is a source of its own; a null doc_id counts as doc_id null first.
+    no copy; a null source is a source of its own; null doc_ids come first. Repeated rows are
+    rows of their own, an empty table gives none, other columns of docs are not read.
     """
     sized = docs.select("doc_id", "source", n_words_of(text_of(text)).alias("size"))
     return mix_sizes(sized, cycle, most, seed)
 
 
 def mixed(docs: DataFrame, text: str = "text", cycle: tuple[int, ...] = CYCLE, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with all its columns."""
-    sized = docs.select("doc_id", "source", n_words_of(text_of(text)).alias("size"), F.struct("*").alias("row"))
-    taken = mix_sizes(sized, cycle, most, seed, ("row",)).filter("copies > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+    """The mix itself: each row of docs as often as it is taken, with all its columns, whatever their names.
+
+    Copies are settled on (doc_id, source, size) and a hash of the text, which parts rows of
+    equal doc_id and size alike in every run; whole rows move once, to meet their number.
+    """
+    k = F.xxhash64(F.md5(text_of(text)), F.col(text).isNull())
+    sized = docs.select("doc_id", "source", n_words_of(text_of(text)).alias("size"), k.alias("k"))
+    taken = mix_sizes(sized, cycle, most, seed, ("k",)).groupBy("doc_id", "source", "k").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    # null or not, as plain keys, so that equal rows are in one partition after the join
+    keys = ["__id", "__no_id", "__source", "__no_source", "__k"]
+    plain = lambda d, s, k: [F.coalesce(d, F.lit(0)).alias("__id"), d.isNull().alias("__no_id"), F.coalesce(s, F.lit("")).alias("__source"), s.isNull().alias("__no_source"), k.alias("__k")]
+    counts = taken.filter("copies > 0").select(*plain(F.col("doc_id"), F.col("source"), F.col("k")), "copies", "n")
+    rows = docs.select(F.struct("*").alias("row"), *plain(F.col("doc_id"), F.col("source"), k)).join(counts, keys)
+    each = lambda df, n: df.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), n))).select("row.*")
+    alone = each(rows.filter("n = 1"), F.col("copies"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("row")))
+    several = rows.filter("n > 1").withColumn("own", F.floor(F.col("copies") / F.col("n")) + (nth <= F.col("copies") % F.col("n")).cast("long"))
+    return alone.union(each(several.filter("own > 0"), F.col("own")))
+
+
+def part_of(doc_id: Column) -> Column:
+    """One of PARTS parts of a document, by a hash of its doc_id; -1 without one."""
+    return F.coalesce(F.conv(F.substring(F.md5(doc_id.cast("string")), 1, 8), 16, 10).cast("long") % PARTS, F.lit(-1))
 
 
 def mix_sizes(sized: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int = MOST, seed: str = SEED, more: tuple[str, ...] = ()) -> DataFrame:
-    """As mix, from rows (doc_id, source, size); columns named in more are kept."""
-    part = F.coalesce(F.pmod(F.col("doc_id"), F.lit(PARTS)), F.lit(-1))
-    rows = sized.select("doc_id", "source", "size", part.alias("part"), *more)
+    """As mix, from rows (doc_id, source, size); columns named in more are kept and order rows of equal doc_id."""
+    rows = sized.select("doc_id", "source", "size", part_of(F.col("doc_id")).alias("part"), *more)
     counts = rows.groupBy("source", "size", "part").agg(F.count("*").alias("n"))
     # running counts in two steps: over (size, part) within a band of close sizes, then over bands
     band = F.floor(8 * F.log2(F.col("size") + 1)).cast("int")
@@ -82,7 +101,7 @@ def mix_sizes(sized: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int = MOST
     placed = placed.join(targets, F.col("source").eqNullSafe(F.col("s2")))
     placed = placed.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("p"), (F.col("under") + F.col("lower")).alias("before"), "source_size", "target")
     joined = rows.join(placed, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p")))
-    rank = F.col("before") + F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("doc_id"))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("doc_id", *more))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0)
     ready = joined.withColumn("rank", rank.cast("double")).withColumn("each", each).withColumn("u", offset_of(F.col("source"), seed))
     copies = F.floor(F.col("rank") * F.col("each") + F.col("u")) - F.floor((F.col("rank") - 1) * F.col("each") + F.col("u"))
