@@ -31,7 +31,9 @@ def fold(events: DataFrame) -> DataFrame:
     null turn or seq comes first). A message event opens a message; deltas add to it, an edit
     or a regeneration replaces what it says so far. A delta, edit or regeneration before any
     message of its turn opens one. Null text and role are empty. A message keeps the role of
-    its last fresh event. Only rows of one conversation meet, sorted and spillable.
+    its last fresh event. Rows of a null conv_id are one conversation; repeated rows stay; an
+    empty log gives no message; other columns are not read. Only rows of one conversation
+    meet, sorted and spillable.
     """
     clean = events.select(
         "conv_id", "turn", "seq",
@@ -56,12 +58,15 @@ def render(messages: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss): one string a conversation, and the spans (start, length) of the loss mask.
 
     Turns are <|im_start|>role LF text <|im_end|> LF. Control strings inside roles and texts
-    are escaped reversibly. Spans count code points and cover each assistant text, escaped.
+    are escaped reversibly. Spans count code points and cover each assistant text, escaped; an
+    empty one is a span of length 0. Null roles and texts are empty; a table without messages
+    gives no conversation; other columns are not read.
     """
-    head = F.concat(F.lit(START), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit(LINE)), F.lit("\n"))
-    body = escaped(F.col("text"))
+    role, text = (F.coalesce(c, F.lit("")) for c in ("role", "text"))
+    head = F.concat(F.lit(START), F.replace(escaped(role), F.lit("\n"), F.lit(LINE)), F.lit("\n"))
+    body = escaped(text)
     turn = F.concat(head, body, F.lit(END + "\n"))
-    pieces = messages.select("conv_id", "place", (F.col("role") == "assistant").alias("lost"), F.length(head).alias("skip"), F.length(body).alias("n"), turn.alias("turn"), F.length(turn).alias("size"))
+    pieces = messages.select("conv_id", "place", (role == "assistant").alias("lost"), F.length(head).alias("skip"), F.length(body).alias("n"), turn.alias("turn"), F.length(turn).alias("size"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     span = F.when(F.col("lost"), F.struct((F.col("at") + F.col("skip")).alias("start"), F.col("n").cast("long").alias("length")))
     rows = pieces.withColumn("at", before).select("conv_id", F.struct("place", "turn", span.alias("span")).alias("x"))
@@ -74,7 +79,11 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """(conv_id, turns, loss_text, formatted_chars) parsed from the rendered string and its mask."""
+    """(conv_id, turns, loss_text, formatted_chars) parsed from the rendered string and its mask.
+
+    turns are (role, text) in order, unescaped. Rendered rows are read one by one: repeated
+    rows stay, none gives none, a null string gives nulls; other columns are not read.
+    """
     pieces = F.slice(F.split("formatted", r"<\|im_start\|>"), 2, 1 << 30)
 
     def parse(piece):

@@ -96,7 +96,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
                 crcs.append([zlib.crc32(i[:first]), *(zlib.crc32(i[k : k + 4 * capacity]) for k in range(first, len(i), 4 * capacity))])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "n_tokens", "crcs"])
 
-    return docs.selectExpr("doc_id", f"`{text}` AS text").mapInArrow(run, "doc_id long, n_tokens long, crcs array<long>")
+    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, crcs array<long>")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
@@ -104,19 +104,21 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
 
     Sequences hold at most capacity ids without gaps. Only first pieces are packed, the
     others fill a sequence each, numbered below zero. Rows with a null or repeated doc_id
-    are documents of their own. The counts of at most capacity lengths, and the plan made
+    are documents of their own; a null text is empty, an empty table gives no row, other
+    columns of docs are not read. The counts of at most capacity lengths, and the plan made
     from them, are all that the driver holds; ids are never shuffled.
     """
     made = saved(token_pieces(docs, tokenizer, end_id, capacity, text), "pieces")
     first = ((F.col("n_tokens") - 1) % capacity + 1).cast("int")
-    part = F.coalesce(F.pmod("doc_id", F.lit(PARTS)), F.lit(-1)).cast("int")
+    # by hash, so that ids of one residue, null ids and repeated ids are spread
+    part = F.pmod(F.xxhash64("doc_id", "crcs"), F.lit(PARTS)).cast("int")
     rows = made.withColumn("first", first).withColumn("part", part)
     counts = rows.groupBy("first", "part").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("first").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     lengths = {r["first"]: r["n"] for r in counts.groupBy("first").agg(F.sum("n").alias("n")).collect()}
     places = docs.sparkSession.createDataFrame(slots(plan_bins(lengths, capacity), capacity), "length int, from_rank long, to_rank long, base long, offset long")
-    # bases has at most capacity * (PARTS + 1) rows of 20 bytes; places grow with capacity alone
+    # bases has at most capacity * PARTS rows of 20 bytes; places grow with capacity alone
     ranked = rows.join(F.broadcast(bases), ["first", "part"])
     rank = F.col("before") + F.row_number().over(Window.partitionBy("first", "part").orderBy("doc_id", "n_tokens", "crcs")) - 1
     ranked = ranked.withColumn("rank", rank)

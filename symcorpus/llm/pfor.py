@@ -88,9 +88,10 @@ FILES = "part int, seq int, n_ids long, doc_ids array<long>, lengths array<int>,
 def write_files(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text") -> DataFrame:
     """Encodes whole texts and writes files of ids; returns the table of files.
 
-    Documents are dealt by ranges of doc_id (nulls first) and sorted by doc_id and text, so
-    part, seq and the place in a file give the order over all. A null text is empty; every
-    document ends with end_id, so an empty one has one id.
+    Documents are dealt by ranges of doc_id (nulls first) and of the text's beginning, which
+    parts null and repeated ids, and sorted by doc_id and text, so part, seq and the place in a
+    file give the order over all. A null text is empty; every document ends with end_id, so an empty one
+    has one id. Repeated rows stay, an empty table gives no file, other columns are not read.
     """
 
     def run(batches):
@@ -115,7 +116,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text"
         if parts:
             yield closed()
 
-    rows = docs.selectExpr("doc_id", f"`{text}` AS text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", F.col(text).alias("text")).repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     return saved(rows.mapInArrow(run, FILES), "token-files")
 
 
