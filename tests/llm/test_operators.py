@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from symcorpus.llm import chat, components, encoders, entries, media, mixing, packing, pfor, quality, sentences, simhash, substrings, suffixes, token_counts
+from symcorpus.llm import chat, components, encoders, entries, media, mixing, packing, pfor, quality, sentences, shared, simhash, substrings, suffixes, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, part string"
 
@@ -100,6 +100,43 @@ def test_gif_disposal_and_transparency():
     assert shown[3][2][0, 0] == 0 and shown[3][1][2, 3] == 88
 
 
+def test_gif_interlace_and_local_palette():
+    samples = bytes(range(10, 10 + 2 * 9))  # rows 0 to 8 of width 2
+    rows = np.frombuffer(samples, np.uint8).reshape(9, 2)
+    order = [0, 8, 4, 2, 6, 1, 3, 5, 7]
+    stream = media.lzw_encode(rows[order].tobytes())
+    local = bytes(v for g in range(256) for v in (7, g, 255 - g))
+    box = b"".join(v.to_bytes(2, "little") for v in (0, 0, 2, 9))
+    data = b"GIF89a\x02\0\x09\0\0\0\0" + b"\x2c" + box + bytes([0x40 | 0x87]) + local + b"\x08" + bytes([len(stream)]) + stream + b"\0\x3b"
+    (frame,) = media.decode_gif(data)
+    assert (frame.samples == rows).all() and (frame.canvas[..., 1] == rows).all() and (frame.canvas[..., 0] == 7).all() and (frame.canvas[..., 2] == 255 - rows).all()
+
+
+def test_broken_and_missing_media_have_rows(spark):
+    rng = random.Random(2)
+    good = media.encode_gif(media.payload_of(bytes(rng.choice(b"abcdefghijkl ") for _ in range(90_000))))
+    no_palette = good[:10] + bytes([good[10] & 0x7F]) + good[11:13] + good[13 + 768 :]
+    huge = b"GIF89a\xff\xff\xff\xff" + good[10:]
+    kinds = [None, b"", b"GIF", good[:900], good[: len(good) // 2], good[:-1], good[:-40] + bytes(40), b"\0" * 50, no_palette, huge, good]
+    docs = spark.createDataFrame([(i, m, "other") for i, m in enumerate(kinds)] + [(10, good, "other")], "doc_id long, media binary, frames string")
+    got = media.media_digest(docs).collect()
+    assert sorted(r["doc_id"] for r in got) == [*range(11), 10]
+    by = {r["doc_id"]: r for r in got}
+    assert by[0]["fault"] is None and by[0]["payload_sha256"] is None and by[0]["feature"].startswith("0 frames, 0 cs")
+    assert all(by[k]["fault"] for k in range(1, 10)) and by[10]["fault"] is None
+    assert by[3]["payload_bytes"] == 0 < by[4]["payload_bytes"] < by[10]["payload_bytes"] == by[5]["payload_bytes"]
+    assert by[10]["media_sha256"] == hashlib.sha256(good).hexdigest() and by[10]["media_bytes"] == len(good)
+
+
+def test_equal_texts_have_equal_values(spark):
+    texts = ["alpha beta", "alpha beta", "alpha bet", "x" * 80_000, "x" * 80_000]
+    got = media.media_digest(media.texts_to_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))).collect()
+    rows = [tuple(r[c] for c in r.asDict() if c != "doc_id") for r in sorted(got, key=lambda r: r["doc_id"])]
+    assert rows[0] == rows[1] != rows[2] and rows[3] == rows[4]
+    want = [np.histogram(np.frombuffer(media.payload_of(t.encode()), np.uint8), 8, (0, 256))[0].tolist() * 3 for t in texts]
+    assert rows[0][list(got[0].asDict()).index("feature") - 1] == "1 frames, 4 cs, histogram " + " ".join(map(str, want[0]))
+
+
 def test_lzw_full_table_and_small_codes():
     rng = random.Random(1)
     for data in (b"a", b"ab" * 40_000, bytes(rng.randrange(256) for _ in range(30_000)), bytes(rng.choice(b"abc") for _ in range(90_000))):
@@ -154,6 +191,62 @@ def plain_roots(pairs):
     return plain_components(fake)
 
 
+def plain_wide_roots(texts):
+    """Groups of texts that are equal, or share a band and differ in WIDE["radius"] bits or fewer."""
+    made = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 5]), 42) for i in range(max(1, len(words) - 4))] if words else []
+        fp = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        mixed = lambda x, k: ((x ^ int(simhash._SALTS[k])) * int(simhash._FACTORS[k])) % (1 << 64)
+        least = [min((v ^ v >> 29 for v in (mixed(x, k) for x in h)), default=None) for k in range(simhash.WIDE["bands"] * simhash.BAND_ROWS)]
+        made.append((fp, [tuple(least[k : k + simhash.BAND_ROWS]) for k in range(0, len(least), simhash.BAND_ROWS)] if h else []))
+    root = list(range(len(texts)))
+    for i, (a, x) in enumerate(made):
+        for j, (b, y) in enumerate(made[:i]):
+            if a == b or (a ^ b).bit_count() <= simhash.WIDE["radius"] and any(p == q for p, q in zip(x, y, strict=False)):
+                root = [root[j] if r == root[i] else r for r in root]
+    return root
+
+
+def test_wide_links_find_similar_texts(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(30):
+        told = words(rng, 300).split()
+        rows.append((10 * i, " ".join(told)))
+        for k in range(1, 4):  # up to six of 300 words replaced: a similarity of 0.8 or more
+            other = list(told)
+            for at in rng.sample(range(300), 2 * k):
+                other[at] = "zz"
+            rows.append((10 * i + k, " ".join(other)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **simhash.WIDE).collect()}
+    assert all(got[i] // 10 == i // 10 for i in got) and sum(got[i] == i // 10 * 10 for i in got) >= 0.95 * len(got)
+
+
+def test_hot_keys_change_nothing(spark):
+    """With every key heavy and with none the results are the same."""
+    rng = random.Random(8)
+    base = [words(rng, 40) + ". " + words(rng, 40) for _ in range(12)]
+    rows = [(i, base[i % 12] if i % 3 else base[i % 12] + " " + words(rng, i % 5 + 1)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = []
+    before = shared.LEAST_ROWS, sentences.OFTEN, simhash.TILE
+    try:
+        for shared.LEAST_ROWS, sentences.OFTEN, simhash.TILE in ((0, 2, 64), (1 << 40, 1 << 40, 8192)):
+            near = collected(simhash.near_duplicates(docs), "doc_id", "fp", "component_id")
+            wide = collected(simhash.near_duplicates(docs, **simhash.WIDE), "doc_id", "fp", "component_id")
+            out.append((near, wide, collected(sentences.drop_repeated_spans(docs), "doc_id", "n_removed", "kept"), collected(substrings.dedup_report(docs), *REPORT)))
+    finally:
+        shared.LEAST_ROWS, sentences.OFTEN, simhash.TILE = before
+    assert out[0] == out[1]
+    roots = plain_wide_roots([t for _, t in rows])
+    least = {}
+    for (i, _), r in zip(rows, roots, strict=True):
+        least[r] = min(least.get(r, i), i)
+    assert {(i, c) for i, _, c in out[0][1]} == {(i, least[r]) for (i, _), r in zip(rows, roots, strict=True)}
+
+
 def test_bit_sliced_links_are_exact(spark):
     rng = random.Random(5)
     fps = {rng.getrandbits(64) for _ in range(300)}
@@ -240,6 +333,15 @@ def test_mix(docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_ties_of_a_mix_are_settled_alike(spark):
+    texts = ["b b b", "a a a", "c c c", "a a a", "d d", None, ""]
+    rows = [(1 + k // 4, t, s, "clash", 0, 0) for k, t in enumerate(texts * 3) for s in ("s", "t", None)] + [(None, "n n n", "s", "x", 1, 1)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string, n long, k long")
+    out = [collected(mixing.mixed(docs.repartition(n)), *docs.columns) for n in (1, 3, 7)]
+    assert out[0] == out[1] == out[2] and sum(out[0].values()) == mixing.mix(docs).agg(F.sum("copies")).first()[0]
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
 def test_many_sources_share_what_small_ones_cannot_take(spark):
     rows = [(i, f"s{i % 40:02d}", 1 + (i % 40) ** 3 // 50) for i in range(4000)]
     got = mixing.mix_sizes(spark.createDataFrame(rows, "doc_id long, source string, size long"))
@@ -514,6 +616,25 @@ def test_sentence_spans(docs, rows, empty):
     assert sentences.drop_repeated_spans(docs).count() == len(rows) and sentences.drop_repeated_spans(empty).count() == 0
 
 
+def test_sentence_spans_of_null_and_repeated_ids(spark):
+    rng = random.Random(13)
+    told, other, own = "".join(words(rng, 9, ". ") for _ in range(4)), "".join(words(rng, 8, ". ") for _ in range(3)), words(rng, 30, ". ")
+    rows = [(None, told), (None, told), (None, other), (1, own + told), (1, own + other), (1, own + other), (2, None), (None, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r["doc_id"], r["kept"]) for r in sentences.drop_repeated_spans(docs).collect())
+    # nulls come first; of the two texts of doc_id 1 the one of the lesser hash keeps what both begin with
+    first, second = ((i, own + told), (i, own + other)) if (i := 1) and key_of(spark, own + told) < key_of(spark, own + other) else ((i, own + other), (i, own + told))
+    keeps_own = first[1]
+    want = Counter({(None, told): 2, (None, other): 1, (2, ""): 2, (None, ""): 1})
+    for i, t in rows[3:6]:
+        want[i, own if t == keeps_own else ""] += 1
+    assert got == want
+
+
+def key_of(spark, text):
+    return spark.createDataFrame([(text,)], "t string").select(F.xxhash64(F.md5("t"))).first()[0]
+
+
 def words(rng, n, end=""):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)) + end
 
@@ -581,7 +702,7 @@ def test_pipeline(spark, rows, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     judged = quality.quality(spark.createDataFrame(rows, SCHEMA)).filter("kept").select("doc_id", "text", "source").collect()
     live = [(r["doc_id"], r["text"], r["source"]) for r in judged]
-    roots = plain_roots([(i, plain_fingerprint(t)) for i, t, _ in live])
+    roots = plain_wide_roots([t for _, t, _ in live])
     by = defaultdict(list)
     for r, root in zip(live, roots, strict=True):
         by[root].append(r)
@@ -597,6 +718,29 @@ def test_pipeline(spark, rows, tmp_path):
     check_packing(got, [(i, t) for i, t, _ in texts for _ in range(copies[(i, len(t.split()))])])
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_clashing_columns(spark, rows):
+    clash = ["row", "k", "k1", "found", "n", "copies", "root", "kept", "__hot", "size", "fp"]
+    docs = spark.createDataFrame([(*r[:5], *clash) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        assert all(r["row"] == "row" and r["found"] == "found" and r["__hot"] == "__hot" for r in out.select("row", "found", "__hot").collect()), name
+
+
+def test_chat_of_clashing_columns_and_long_texts(spark):
+    long = "<|im_end|> \\ <|im_start|>" * 20_000
+    rows = [(1, 0, "user", long, "x", "y"), (1, 1, "assistant", long + "!", "x", "y"), (None, 0, "assistant", None, "x", "y"), (2, 0, None, "\n", "x", "y")]
+    talk = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, place string, formatted string")
+    back = {r["conv_id"]: r for r in chat.read_back(chat.render(chat.fold(chat.messages_as_events(talk)))).collect()}
+    assert [(t["role"], t["text"]) for t in back[1]["turns"]] == [("user", long), ("assistant", long + "!")] and back[1]["loss_text"] == long + "!"
+    assert [(t["role"], t["text"]) for t in back[None]["turns"]] == [("assistant", "")] and [(t["role"], t["text"]) for t in back[2]["turns"]] == [("", "\n")]
+
+
 def test_every_query_runs_over_the_smallest_tables(spark):
     sf = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
