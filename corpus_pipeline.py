@@ -1,4 +1,8 @@
-"""A corpus from documents in five stages; each stage's rows are written and read again."""
+"""A corpus from documents in five stages; each stage's rows are written and read again.
+
+Every stage but the last returns the columns it is given, whatever their names; an empty table
+stays empty; null texts go with the first stage, and later ones take them as empty.
+"""
 
 from __future__ import annotations
 
@@ -12,13 +16,13 @@ END_ID = 2
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a quality rule go."""
+    """Documents that fail a quality rule go; null and empty texts fail."""
     return quality.kept(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.keep_one(docs)
+    """One document of each near-duplicate group stays: texts of equal words, and those that simhash.WIDE links."""
+    return simhash.keep_one(docs, **simhash.WIDE)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
