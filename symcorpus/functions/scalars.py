@@ -18,6 +18,18 @@ def ticks_to_seconds(tick: Column, bpm: Column, ppq: Column) -> Column:
     return F.when(good, tick * 60.0 / bpm / ppq)
 
 
+def seconds_to_ticks(seconds: Column, bpm: Column, ppq: Column) -> Column:
+    """The nearest tick, halves up; null where bpm or ppq is not positive and finite."""
+    good = (bpm > 0) & ~F.isnan(bpm) & (bpm < float("inf")) & (ppq > 0)
+    return F.when(good, F.floor(seconds * bpm * ppq / 60.0 + F.lit(0.5)))
+
+
+def timing_issue(bpm: Column, ppq: Column) -> Column:
+    """What is wrong with a tempo and a resolution, null where nothing is."""
+    good = (bpm > 0) & ~F.isnan(bpm) & (bpm < float("inf")) & (ppq > 0)
+    return F.when(~F.coalesce(good, F.lit(False)), "tempo or resolution not positive")
+
+
 def round_half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5))
 

@@ -139,24 +139,40 @@ def phrase_window(notes: DataFrame, width: int = PHRASE) -> DataFrame:
     return cut.withColumn("onset_tick", F.col("onset_tick") - base).withColumn("end_tick", F.col("end_tick") - base)
 
 
-def slice_bends(bends: DataFrame, width: int = PHRASE) -> DataFrame:
-    """Wheel events of each window, with a synthetic start where a state is carried in and a reset at its end.
+def sliced_bends(wheel: DataFrame, windows: DataFrame, width: int = PHRASE) -> DataFrame:
+    """(source_id, phrase_index, events, synthetic_initial, synthetic_reset) of windows whose wheel moves.
 
-    Windows run from the first to the last event of a source; windows of zeros alone are dropped.
+    wheel holds one value a tick. events are (tick, value, synthetic), ticks relative to the
+    window: its own values, before them the state carried in where that is not zero and no
+    value is at the start, and after them a reset where the state at the end is not zero.
+    Values and starts of windows are ordered once, by source; all else follows in its partition.
     """
-    events = last_per_tick(bends).withColumn("phrase_index", F.floor(F.col("tick") / width).cast("long"))
-    bounds = events.groupBy("source_id").agg(F.min("phrase_index").alias("a"), F.max("phrase_index").alias("b"))
+    starts = windows.select("source_id", (F.col("phrase_index") * width).alias("tick"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("value"))
+    rows = starts.unionByName(wheel.select("source_id", "tick", F.lit(1).alias("kind"), F.col("value").cast("int").alias("value")))
+    before = Window.partitionBy("source_id").orderBy("tick", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("state", F.coalesce(F.last("value", True).over(before), F.lit(0))).withColumn("phrase_index", F.floor(F.col("tick") / width).cast("long"))
+    own = F.array_sort(F.collect_list(F.struct((F.col("tick") - F.col("phrase_index") * width).alias("tick"), "kind", "value", "state")))
+    by = rows.groupBy("source_id", "phrase_index").agg(own.alias("x")).filter(F.exists("x", lambda x: x["kind"] == 0))
+    carried = F.get("x", F.lit(0))["state"]
+    event = lambda tick, value, made: F.struct(tick.cast("long").alias("tick"), value.cast("int").alias("value"), F.lit(made).alias("synthetic"))
+    by = by.withColumn("carried", carried).withColumn("own", F.transform(F.filter("x", lambda x: x["kind"] == 1), lambda x: event(x["tick"], x["value"], False)))
+    first, last = F.get("own", F.lit(0)), F.get("own", F.size("own") - 1)
+    initial = (F.col("carried") != 0) & ~F.coalesce(first["tick"] == 0, F.lit(False))
+    reset = F.coalesce(last["value"], F.col("carried")) != 0
+    none = F.array().cast("array<struct<tick:bigint,value:int,synthetic:boolean>>")
+    head = F.when(F.col("synthetic_initial"), F.array(event(F.lit(0), F.col("carried"), True))).otherwise(none)
+    tail = F.when(F.col("synthetic_reset"), F.array(event(F.lit(width), F.lit(0), True))).otherwise(none)
+    by = by.withColumn("synthetic_initial", initial).withColumn("synthetic_reset", reset).withColumn("events", F.concat(head, "own", tail))
+    return by.filter(F.exists("events", lambda x: x["value"] != 0)).select("source_id", "phrase_index", "events", "synthetic_initial", "synthetic_reset")
+
+
+def slice_bends(bends: DataFrame, width: int = PHRASE) -> DataFrame:
+    """The events of sliced_bends, one a row, for every window from a source's first event to its last."""
+    events = last_per_tick(bends)
+    index = F.floor(F.col("tick") / width).cast("long")
+    bounds = events.groupBy("source_id").agg(F.min(index).alias("a"), F.max(index).alias("b"))
     windows = bounds.select("source_id", F.explode(F.sequence("a", "b")).alias("phrase_index"))
-    edges = windows.select("source_id", (F.col("phrase_index") * width).alias("tick"), F.col("phrase_index").alias("id"))
-    carried = asof_state(edges, bends).select("source_id", F.col("id").alias("phrase_index"), "tick", F.col("state").alias("value"))
-    starts = carried.filter("value <> 0").join(events.select("source_id", "tick"), ["source_id", "tick"], "left_anti")
-    own = events.select("source_id", "phrase_index", "tick", "value", F.lit(False).alias("synthetic"))
-    own = own.unionByName(starts.select("source_id", "phrase_index", "tick", "value", F.lit(True).alias("synthetic")))
-    final = own.groupBy("source_id", "phrase_index").agg(F.max_by("value", "tick").alias("value"))
-    resets = final.filter("value <> 0").select("source_id", "phrase_index", ((F.col("phrase_index") + 1) * width).alias("tick"), F.lit(0).alias("value"), F.lit(True).alias("synthetic"))
-    whole = own.unionByName(resets)
-    live = whole.groupBy("source_id", "phrase_index").agg(F.bool_or(F.col("value") != 0).alias("live")).filter("live").drop("live")
-    return whole.join(live, ["source_id", "phrase_index"], "left_semi").select("source_id", "phrase_index", (F.col("tick") - F.col("phrase_index") * width).alias("tick"), "value", "synthetic")
+    return sliced_bends(events, windows, width).select("source_id", "phrase_index", F.inline("events"))
 
 
 def transposed(phrases: DataFrame, low: int, high: int, pitch_low: int, pitch_high: int) -> DataFrame:

@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .events import NOTE
-from .sequences import bigram_scores, next_token_pairs
+from .sequences import next_token_pairs, pairs_of
 
 SPLITS = ("train", "validation", "test")
 
@@ -87,6 +86,16 @@ def objective_rows(predictions: DataFrame, pad: int, prompt: list[int]) -> DataF
     return predictions.filter(~F.col("target").isin(pad, *prompt))
 
 
+def objective_issues(predictions: DataFrame, pad: int, prompt: list[int], size: int) -> DataFrame:
+    """(row_id, rule): rows that no measure may take: unknown set on padding or prompt targets, targets that are no id."""
+    rules = [
+        (F.col("unknown") & (F.col("target") == pad), "unknown padding"),
+        (F.col("unknown") & F.col("target").isin(prompt), "unknown prompt"),
+        (~F.coalesce(F.col("target").between(0, size - 1), F.lit(False)), "target outside the vocabulary"),
+    ]
+    return broken_rules(predictions, rules).select("row_id", "rule")
+
+
 def history_audit(history: DataFrame) -> DataFrame:
     """By run: are epochs 1..n without gaps, are losses usable, the best epoch and the epochs since."""
     best = F.min(F.struct("validation_loss", "epoch"))
@@ -95,44 +104,52 @@ def history_audit(history: DataFrame) -> DataFrame:
     return by.select("run_id", ((F.col("n") == F.col("last")) & (F.col("first") == 1)).alias("contiguous"), "finite", F.col("best.validation_loss").alias("best_loss"), F.col("best.epoch").alias("best_epoch"), (F.col("last") - F.col("best.epoch")).alias("without"))
 
 
+def history_issues(history: DataFrame, declared: DataFrame, types: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """(run_id, rule) of what a run declares and its history does not bear out.
+
+    declared holds (run_id, best_epoch, best_loss, without); types holds (run_id, epoch, type,
+    n, loss), whose counts must add up to the epoch's tokens and whose mean loss must agree
+    with the epoch's within the tolerance.
+    """
+    audit = history_audit(history)
+    parts = types.groupBy("run_id", "epoch").agg(F.sum("n").alias("n"), (F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("mean"))
+    rows = history.join(parts, ["run_id", "epoch"], "left")
+    off = rows.groupBy("run_id").agg(F.bool_or(~F.col("n").eqNullSafe(F.col("tokens"))).alias("counts"), F.bool_or(~F.coalesce(F.abs(F.col("mean") - F.col("validation_loss")) <= tolerance, F.lit(False))).alias("losses"))
+    told = declared.select("run_id", F.col("best_epoch").alias("said_epoch"), F.col("best_loss").alias("said_loss"), F.col("without").alias("said_without"))
+    rules = [
+        (~F.col("contiguous"), "epochs with gaps"), (~F.col("finite"), "loss not finite"), (~F.col("said_epoch").eqNullSafe(F.col("best_epoch")), "best epoch differs"),
+        (~F.coalesce(F.abs(F.col("said_loss") - F.col("best_loss")) <= 1e-12, F.lit(False)), "best loss differs"), (~F.col("said_without").eqNullSafe(F.col("without")), "epochs without differ"),
+        (F.col("counts"), "type counts do not add up"), (F.col("losses"), "losses of types disagree"),
+    ]
+    return broken_rules(audit.join(off, "run_id").join(told, "run_id", "left"), rules).select("run_id", "rule")
+
+
 def metric_scalars(report: DataFrame, phase: str, names: list[str]) -> DataFrame:
     """(tag, epoch, value) of a report; nulls go."""
     flat = report.select("epoch", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["epoch"], names, "name", "value")
     return flat.select(F.concat_ws("/", F.lit("metrics"), F.lit(phase), F.lit("all"), "name").alias("tag"), "epoch", "value").filter("value IS NOT NULL")
 
 
-def normalize_source(notes: DataFrame, cell: int) -> DataFrame:
-    """Distinct notes from tick 0 on, on a grid."""
-    once = notes.select("source_id", "instrument_index", *NOTE).distinct()
-    lead = notes.groupBy("source_id").agg(F.min("onset_tick").alias("lead"))
-    steps = lambda x: F.floor(x / cell + F.lit(0.5)).cast("long")
-    length = F.greatest(steps(F.col("end_tick") - F.col("onset_tick")), F.lit(1)) * cell
-    return once.join(lead, "source_id").select("source_id", "instrument_index", (steps(F.col("onset_tick") - F.col("lead")) * cell).alias("onset_tick"), "pitch", "velocity", length.alias("length"))
-
-
-def project_labels(phrases: DataFrame, labels: DataFrame, low: int, high: int, pitch_low: int, pitch_high: int) -> DataFrame:
-    """Transposed phrases with the number of their labels; a variant goes if a note or a slide's target leaves the range."""
-    own = labels.select("source_id", "seq", "type", "target_pitch").distinct()
-    rows = phrases.join(own, ["source_id", "seq"], "left")
-    by = rows.groupBy("source_id", "phrase_index").agg(F.min(F.least("pitch", "target_pitch")).alias("lo"), F.max(F.greatest("pitch", "target_pitch")).alias("hi"), F.count("type").alias("n_labels"))
-    moved = variants(by, low, high).filter((F.col("lo") + F.col("semitones") >= pitch_low) & (F.col("hi") + F.col("semitones") <= pitch_high))
-    return moved.select("source_id", "phrase_index", "semitones", "n_labels")
+def evaluate_trained(words: DataFrame, splits: DataFrame, alpha: float = 1.0, pad: str = "", prompt: tuple[str, ...] = ()) -> DataFrame:
+    """As evaluate_pairs, from one row a token (sequence_id, pos, token) and (sequence_id, split)."""
+    pairs = next_token_pairs(words).join(splits, "sequence_id")
+    return evaluate_pairs(pairs, words, alpha, pad, prompt)
 
 
-def evaluate(words: DataFrame, splits: DataFrame) -> DataFrame:
-    """Mean loss of next tokens by split under bigram scores."""
-    counted = next_token_pairs(words).groupBy("sequence_id", F.col("input").alias("prev"), F.col("target").alias("next")).agg(F.count("*").alias("n"))
-    rows = counted.join(bigram_scores(words).drop("n"), ["prev", "next"]).join(splits, "sequence_id")
-    return rows.groupBy("split").agg(F.sum("n").alias("tokens"), F.round(F.sum(-F.col("log_p") * F.col("n")) / F.sum("n"), 4).alias("nll"))
+def evaluate(sequences: DataFrame, alpha: float = 1.0, pad: str = "", prompt: tuple[str, ...] = ()) -> DataFrame:
+    """As evaluate_pairs, from (split, tokens) with a sequence's tokens as an array; no token is shuffled alone."""
+    own = sequences.withColumn("sequence_id", F.struct("split"))
+    pairs = pairs_of(own).select(F.col("sequence_id.split").alias("split"), "input", "target")
+    return evaluate_pairs(pairs, sequences.select(F.explode("tokens").alias("token")), alpha, pad, prompt)
 
 
-def evaluate_trained(words: DataFrame, splits: DataFrame, alpha: float = 1.0, pad: str = "", prompt: tuple[str, ...] = ()) -> DataFrame:
+def evaluate_pairs(pairs: DataFrame, words: DataFrame, alpha: float = 1.0, pad: str = "", prompt: tuple[str, ...] = ()) -> DataFrame:
     """Metrics of next tokens by split under bigrams counted in the train split alone.
 
     Only objective rows are counted and scored. A pair that train lacks has the smoothed value;
     where train lacks the token before, all tokens are equal and the least one is the guess.
     """
-    pairs = objective_rows(next_token_pairs(words), pad, list(prompt)).join(splits, "sequence_id")
+    pairs = objective_rows(pairs, pad, list(prompt))
     count = lambda name: F.count(F.when(F.col("split") == name, 1)).alias(name)
     counted = pairs.groupBy(F.col("input").alias("prev"), F.col("target").alias("next")).agg(*[count(x) for x in SPLITS])
     over = Window.partitionBy("prev")

@@ -2,35 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 
 
 def vocabulary(words: DataFrame) -> DataFrame:
-    """(token, id): the rank of each distinct token in binary order, counted in two steps by first character."""
-    tokens = words.select("token").distinct().withColumn("head", F.substring("token", 1, 1))
+    """(token, id): the rank of each distinct token in binary order, counted in two steps by the first three characters."""
+    tokens = words.select("token").distinct().withColumn("head", F.substring("token", 1, 3))
     sizes = tokens.groupBy("head").agg(F.count("*").alias("n"))
     bases = sizes.select("head", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("head").orderBy("token"))
-    return tokens.join(F.broadcast(bases), "head").select("token", (F.col("base") + rank - 1).alias("id"))
+    return tokens.join(bases, "head").select("token", (F.col("base") + rank - 1).alias("id"))
+
+
+def pairs_of(sequences: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """(sequence_id, pos, input, target) of neighbours in arrays of tokens; nothing is shuffled."""
+    rows = sequences.select("sequence_id", F.posexplode(F.arrays_zip(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))).alias("input"), F.slice(tokens, F.lit(2), F.size(tokens)).alias("target"))).alias("pos", "x"))
+    return rows.select("sequence_id", F.col("pos").cast("long").alias("pos"), "x.input", "x.target")
 
 
 def next_token_pairs(words: DataFrame) -> DataFrame:
+    """As pairs_of, from one row a token; these are dealt by sequence."""
     target = F.lead("token").over(Window.partitionBy("sequence_id").orderBy("pos"))
     return words.select("sequence_id", "pos", F.col("token").alias("input"), target.alias("target")).filter("target IS NOT NULL")
 
 
-def bigram_counts(words: DataFrame) -> DataFrame:
-    return next_token_pairs(words).groupBy(F.col("input").alias("prev"), F.col("target").alias("next")).agg(F.count("*").alias("n"))
+def bigram_counts(pairs: DataFrame) -> DataFrame:
+    """(prev, next, n) of pairs, added up before they are shuffled."""
+    return pairs.groupBy(F.col("input").alias("prev"), F.col("target").alias("next")).agg(F.count("*").alias("n"))
 
 
-def bigram_scores(words: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """ln((c + alpha) / (n + alpha V)) of every bigram that occurs."""
-    counts = bigram_counts(words)
+def bigram_scores(sequences: DataFrame, alpha: float = 1.0, tokens: str = "tokens") -> DataFrame:
+    """ln((c + alpha) / (n + alpha V)) of every bigram that occurs in arrays of tokens."""
+    counts = bigram_counts(pairs_of(sequences, tokens))
     totals = counts.groupBy("prev").agg(F.sum("n").alias("total"))
-    size = words.agg(F.count_distinct("token").alias("v"))
+    size = sequences.select(F.explode(tokens).alias("token")).agg(F.count_distinct("token").alias("v"))
     scored = counts.join(totals, "prev").crossJoin(F.broadcast(size))  # size is one row
     return scored.select("prev", "next", "n", F.round(F.ln((F.col("n") + alpha) / (F.col("total") + alpha * F.col("v"))), 6).alias("log_p"))
 
@@ -43,26 +51,49 @@ def overlong(words: DataFrame, limit: int) -> DataFrame:
     return lengths(words).filter(F.col("n_tokens") > limit).agg(F.count("*").alias("n_overlong"), F.min("sequence_id").alias("first_id"))
 
 
-def padded_batches(sequences: DataFrame, size: int) -> DataFrame:
-    """Batches of `size` sequences in id order with their widths, from (sequence_id, n_tokens).
+def batch_ranks(sequences: DataFrame, size: int) -> DataFrame:
+    """sequences with `batch` and `place`: `size` sequences a batch in the order of sequence_id.
 
     Ranks come in two steps, inside blocks of ids and over blocks, so no task ranks all rows.
+    Repeated ids follow each other in the order of n_tokens.
     """
-    block = F.floor(F.col("sequence_id") / 4096)
-    rows = sequences.withColumn("block", block)
+    rows = sequences.withColumn("block", F.floor(F.col("sequence_id") / 4096))
     sizes = rows.groupBy("block").agg(F.count("*").alias("n"))
     bases = sizes.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rank = F.col("base") + F.row_number().over(Window.partitionBy("block").orderBy("sequence_id")) - 1
-    ranked = rows.join(bases, "block").withColumn("batch", F.floor(rank / size))
-    width = ranked.groupBy("batch").agg(F.max("n_tokens").alias("width"))
-    return ranked.join(width, "batch").select("sequence_id", "batch", "n_tokens", (F.col("width") - F.col("n_tokens")).alias("padding"))
+    rank = F.col("base") + F.row_number().over(Window.partitionBy("block").orderBy("sequence_id", "n_tokens")) - 1
+    return rows.join(bases, "block").withColumn("batch", F.floor(rank / size)).withColumn("place", (rank % size).cast("int")).drop("block", "base")
+
+
+def batch_widths(sequences: DataFrame, size: int) -> DataFrame:
+    """(sequence_id, batch, n_tokens, padding) from (sequence_id, n_tokens)."""
+    width = F.max("n_tokens").over(Window.partitionBy("batch"))
+    return batch_ranks(sequences, size).select("sequence_id", "batch", "n_tokens", (width - F.col("n_tokens")).alias("padding"))
+
+
+def padded_batches(sequences: DataFrame, size: int, pad: int, unknown_inputs: list[int]) -> DataFrame:
+    """A row a sequence of (sequence_id, ids, coverage), padded to the longest of its batch of `size`.
+
+    input_ids and target_ids are next-token pairs with pad behind; attention_mask marks what is
+    real, unknown_mask real inputs among unknown_inputs in UNLABELED sequences, whose targets
+    stay. pad inside a sequence is an error.
+    """
+    n = F.size("ids") - 1
+    rows = sequences.withColumn("n_tokens", n.cast("long"))
+    rows = batch_ranks(rows, size).withColumn("width", F.max("n_tokens").over(Window.partitionBy("batch")).cast("int"))
+    tail = F.col("width") - F.col("n_tokens").cast("int")
+    real = F.transform(F.sequence(F.lit(1), F.greatest("width", F.lit(1))), lambda k: k <= F.col("n_tokens"))
+    cut = lambda at: F.concat(F.slice("ids", F.lit(at), F.col("n_tokens").cast("int")), F.array_repeat(F.lit(pad), tail))
+    unknown = unknown_mask(F.slice("ids", F.lit(1), F.col("n_tokens").cast("int")), F.col("coverage"), unknown_inputs)
+    whole = F.when(F.array_contains("ids", pad), F.raise_error(F.concat(F.lit("pad inside sequence "), F.col("sequence_id").cast("string"))).cast("array<int>")).otherwise(cut(1))
+    return rows.select(
+        "sequence_id", "batch", "place", F.col("n_tokens").alias("length"), whole.alias("input_ids"), cut(2).alias("target_ids"), F.slice(real, F.lit(1), F.col("width")).alias("attention_mask"),
+        F.concat(unknown, F.array_repeat(F.lit(False), tail)).alias("unknown_mask"),
+    )
 
 
-def unknown_mask(words: DataFrame, cover: DataFrame) -> DataFrame:
-    """Positions whose input ends in a comma (a Duration token of the test tables) in unlabelled sequences."""
-    label = cover.select(F.col("source_id").alias("sequence_id"), "coverage")
-    marked = words.join(label, "sequence_id").withColumn("unknown", (F.col("coverage") == "UNLABELED") & F.col("token").endswith(","))
-    return marked.groupBy("sequence_id").agg(F.count_if("unknown").alias("n_unknown"), F.count("*").alias("n_tokens"))
+def unknown_mask(inputs: Column, coverage: Column, unknown_inputs: list) -> Column:
+    """Which inputs are among unknown_inputs, where the sequence is UNLABELED; none where it is not."""
+    return F.transform(inputs, lambda x: (coverage == "UNLABELED") & x.isin(unknown_inputs))
 
 
 def scored(predictions: DataFrame, excluded: list[int], k: int = 5) -> DataFrame:
@@ -90,10 +121,16 @@ def token_metrics(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def nucleus(logits: DataFrame, top_p: float) -> DataFrame:
-    """Ids kept by top-p: in falling order, those before which the mass is below p; renormalised."""
-    flat = logits.select("row_id", F.posexplode(F.transform("logits", lambda x: x.cast("double"))).alias("id", "x"))
-    mass = flat.groupBy("row_id").agg(F.sum(F.exp("x")).alias("z"))
-    p = flat.join(mass, "row_id").withColumn("p", F.exp("x") / F.col("z"))
-    order = Window.partitionBy("row_id").orderBy(F.desc("x"), "id").rowsBetween(Window.unboundedPreceding, -1)
-    kept = p.withColumn("before", F.coalesce(F.sum("p").over(order), F.lit(0.0))).filter(F.col("before") < top_p - 1e-9)
-    return kept.groupBy("row_id").agg(F.count("*").alias("n_kept"), F.round(F.sum("p"), 6).alias("mass"))
+    """Ids kept by top-p: in falling order, those before which the mass is below p. One pass over each row's array."""
+    x = F.transform("logits", lambda v: v.cast("double"))
+    mass = F.aggregate("x", F.lit(0.0), lambda a, v: a + F.exp(v))
+    # falling by value; of equal values the lower id first
+    order = F.array_sort(F.transform("x", lambda v, i: F.struct((-v).alias("neg"), i.alias("id"))))
+    zero = F.struct(F.lit(0.0).alias("before"), F.lit(0.0).alias("kept"), F.lit(0).cast("long").alias("n"))
+
+    def step(a, s):
+        p, inside = F.exp(-s["neg"]) / F.col("z"), a["before"] < top_p - 1e-9
+        return F.struct((a["before"] + p).alias("before"), F.when(inside, a["kept"] + p).otherwise(a["kept"]).alias("kept"), (a["n"] + inside.cast("long")).alias("n"))
+
+    rows = logits.withColumn("x", x).withColumn("z", mass).withColumn("f", F.aggregate(order, zero, step))
+    return rows.select("row_id", F.col("f.n").alias("n_kept"), F.round("f.kept", 6).alias("mass"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,21 +20,24 @@ def content_groups(sources: DataFrame) -> DataFrame:
 
 
 def allocate_splits(n: int, ratios: tuple[float, ...] = (0.8, 0.1, 0.1)) -> list[int]:
-    """Counts by largest remainder; every split with a positive ratio gets one where n allows."""
+    """Counts by largest remainder; every split with a positive ratio gets one where n allows.
+
+    The j-th unit of a split is worth its exact share less j, and the n units of most worth are
+    taken. Where a split gets none, it takes the unit of least worth of the others, that of
+    the larger split where two are worth as much.
+    """
     wanted = [k for k, r in enumerate(ratios) if r > 0]
     if n < len(wanted):
         return [int(k in wanted[:n]) for k in range(len(ratios))]
-    total = sum(ratios)
-    exact = [n * r / total for r in ratios]
-    out = [int(x) for x in exact]
-    by_rest = sorted(wanted, key=lambda k: (out[k] - exact[k], k))
-    for k in by_rest[: n - sum(out)]:
-        out[k] += 1
-    for k in wanted:
-        if not out[k]:
-            donor = max((d for d in wanted if out[d] > 1), key=lambda d: (out[d] - exact[d], -d))
-            out[donor], out[k] = out[donor] - 1, 1
-    return out
+    exact = [n * r / sum(ratios) for r in ratios]
+    sure = [max(0, int(x) - len(wanted)) if x > 0 else 0 for x in exact]  # units that no rule can take away
+    units = [(exact[k] - j, k, j) for k in wanted for j in range(sure[k], int(exact[k]) + 2)]
+    taken = sorted(units, key=lambda u: (-u[0], u[1]))[: n - sum(sure)]
+    counts = [sure[k] + sum(u[1] == k for u in taken) for k in range(len(ratios))]
+    without = [k for k in wanted if not counts[k]]
+    spare = sorted((u for u in taken if u[2]), key=lambda u: (u[0], -counts[u[1]], u[1]))[: len(without)]
+    moved = [k for _, k, _ in spare]
+    return [c - moved.count(k) + (k in without) for k, c in enumerate(counts)]
 
 
 def assign_splits(sources: DataFrame, ratios: tuple[float, ...] = (0.8, 0.1, 0.1), seed: str = "0") -> DataFrame:
@@ -74,6 +79,20 @@ def run_id(sources: DataFrame, label: str = "path", sha: str = "sha256") -> Data
     return parts.agg(F.substring(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("prefix", "d"))), lambda x: x["d"]), ""), 256), 1, 20).alias("run_id"))
 
 
+def canonical_run_id(sources: DataFrame, configuration: dict) -> DataFrame:
+    """Twenty hex digits of a configuration and of all (path, sha256, sidecar hash) rows in any order.
+
+    The configuration (settings, schema and tool versions) counts as JSON with sorted keys and
+    no blanks. Rows are hashed by prefix and then over prefixes, as in run_id.
+    """
+    row = F.to_json(F.struct(F.col("path").alias("label"), "sha256", F.coalesce("sidecar", F.lit("null")).alias("sidecar")))
+    rows = sources.select(F.sha2(row, 256).alias("h")).withColumn("prefix", F.substring("h", 1, 3))
+    parts = rows.groupBy("prefix").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("d"))
+    whole = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("prefix", "d"))), lambda x: x["d"]), ""), 256)
+    told = json.dumps(configuration, sort_keys=True, separators=(",", ":"))
+    return parts.agg(F.substring(F.sha2(F.concat(F.lit(told), whole), 256), 1, 20).alias("run_id"))
+
+
 def snapshot_drift(before: DataFrame, after: DataFrame) -> DataFrame:
     """Keys that were added, removed or changed between two tables (key, sha256)."""
     a, b = before.select("key", F.col("sha256").alias("was")), after.select("key", F.col("sha256").alias("now"))

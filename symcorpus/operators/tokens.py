@@ -174,15 +174,15 @@ def split_prefix(sequences: DataFrame) -> DataFrame:
     return sequences.select(*PHRASE, tonic.alias("tonic"), mode.alias("mode"), F.slice("ids", F.lit(4), F.size("ids") - 4).alias("body"), valid.alias("valid"))
 
 
-def contract(sequences: DataFrame) -> DataFrame:
-    """The rules that each wrapped sequence breaks, a row for each."""
+def contract(sequences: DataFrame, limit: int = 64) -> DataFrame:
+    """The rules that each wrapped sequence breaks, a row for each; over `limit` ids is too long."""
     inner = F.slice("ids", F.lit(2), F.size("ids") - 2)
     has = lambda name: F.array_contains(inner, id_of(name))
     rules = {
         "no BOS first": F.get("ids", F.lit(0)) != id_of("BOS"), "no EOS last": F.element_at("ids", -1) != id_of("EOS"), "BOS or EOS inside": has("BOS") | has("EOS"),
         "PAD": F.array_contains("ids", id_of("PAD")), "no bar after the prefix": F.get("ids", F.lit(3)) != id_of("Bar"), "unknown token": F.exists("ids", lambda x: x.isNull()),
         "too short": F.size("ids") < 5, "second prefix": F.exists(F.slice("ids", F.lit(4), F.size("ids")), lambda x: x >= id_of("Tonic")),
-        "too long": F.size("ids") > 64,
+        "too long": F.size("ids") > limit,
     }
     broken = F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()])
     return sequences.select(*PHRASE, F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("rule"))
@@ -211,3 +211,48 @@ def without_closing_bars(tokens: DataFrame) -> DataFrame:
     """Streams without the bars after their last other token."""
     last = F.max(F.when(F.col("token") != "Bar_None", F.col("pos"))).over(Window.partitionBy(*PHRASE))
     return tokens.withColumn("last", last).filter("pos <= last").drop("last")
+
+
+def tokenized(tokens: DataFrame, labels: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The second stage: wrapped sequences that keep the contract, and (PHRASE, rules) of those that break it.
+
+    A caller that wants all or nothing raises where the second table has a row.
+    """
+    sequences = wrapped(tokens, labels)
+    failures = contract(sequences, limit).groupBy(*PHRASE).agg(F.array_join(F.array_sort(F.collect_set("rule")), "; ").alias("rules"))
+    return sequences.join(failures, PHRASE, "left_anti"), failures
+
+
+def tokenize_summary(sequences: DataFrame, failures: DataFrame, splits: DataFrame) -> DataFrame:
+    """Sequences, their tokens and the failures by split and over all (split null)."""
+    rows = sequences.select("source_id", F.size("ids").cast("long").alias("n_tokens")).unionByName(failures.select("source_id"), allowMissingColumns=True).join(splits, "source_id")
+    n = F.col("n_tokens")
+    return rows.groupingSets([["split"], []], "split").agg(
+        F.count(n).alias("sequences"), F.coalesce(F.sum(n), F.lit(0)).alias("total_tokens"), F.min(n).alias("min_tokens"), F.max(n).alias("max_tokens"), F.round(F.avg(n), 6).alias("mean_tokens"),
+        F.count_if(n.isNull()).alias("failures"),
+    )
+
+
+def audit_samples(tokens: DataFrame, labels: DataFrame, asked: DataFrame, known: DataFrame, most: int, least_tokens: int) -> DataFrame:
+    """(PHRASE, reasons) of generated streams: all that speaks against a stream, joined; empty where nothing does.
+
+    A stream keeps the tonic and mode that were asked for, comes from a known source, decodes to
+    notes of which none overlaps one of its pitch, breaks no rule of sampling (token_rules) and
+    does not end in bars.
+    """
+    from .contracts import token_rules
+
+    end = tokens.groupBy(*PHRASE).agg((F.max("pos") + 1).alias("pos"), F.max_by("token", "pos").alias("last"))
+    whole = tokens.unionByName(end.select(*PHRASE, "pos", F.lit("EOS_None").alias("token")))
+    rules = token_rules(typed(whole), most, least_tokens).select(*PHRASE, F.col("rule").alias("reason"))
+    notes = decode(tokens)[0]
+    over = Window.partitionBy(*PHRASE, "pitch").orderBy("onset_tick", "end_tick", "seq")
+    overlaps = notes.withColumn("before", F.lag("end_tick").over(over)).filter("onset_tick < before").select(*PHRASE, F.lit("overlap of one pitch").alias("reason"))
+    told = split_prefix(wrapped(tokens, labels)).select(*PHRASE, F.col("tonic").alias("own_tonic"), F.col("mode").alias("own_mode"), "valid").join(asked, "source_id", "left")
+    kept = F.coalesce(F.col("valid") & (F.col("own_tonic") == F.col("tonic")) & (F.col("own_mode") == F.col("mode")), F.lit(False))
+    prefix = told.filter(~kept).select(*PHRASE, F.lit("prefix not kept").alias("reason"))
+    stray = end.join(known.select("source_id").distinct(), "source_id", "left_anti").select(*PHRASE, F.lit("source unknown").alias("reason"))
+    silent = end.join(notes.select(*PHRASE).distinct(), PHRASE, "left_anti").select(*PHRASE, F.lit("no notes").alias("reason"))
+    bars = end.filter("last = 'Bar_None'").select(*PHRASE, F.lit("closing bars").alias("reason"))
+    all_ = rules.union(overlaps).union(prefix).union(stray).union(silent).union(bars).groupBy(*PHRASE).agg(F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("reasons"))
+    return end.select(*PHRASE).join(all_, PHRASE, "left").fillna("", ["reasons"])

@@ -1,5 +1,5 @@
 """Queries by operator; importing the package registers all of them."""
 
-from . import registry, rule_queries, token_queries
+from . import registry, rule_queries, stage_queries, token_queries, work_queries
 
-__all__ = ["registry", "rule_queries", "token_queries"]
+__all__ = ["registry", "rule_queries", "stage_queries", "token_queries", "work_queries"]

@@ -114,11 +114,6 @@ def _(d):
     return e.absolute_ticks(d).select("source_id", "track", "ord", "tick")
 
 
-@query("p02_ticks_to_seconds", "v_notes", "SELECT seq, CASE WHEN velocity > 0 THEN round(onset_tick * 60.0 / velocity / 480, 6) END AS seconds FROM v_notes")
-def _(d):
-    return d.select("seq", F.round(s.ticks_to_seconds(F.col("onset_tick"), F.col("velocity").cast("double"), F.lit(s.PPQ)), 6).alias("seconds"))
-
-
 @query("p03_round_half_up", "v_notes", "SELECT seq, CAST(floor(onset_tick / 40.0 + 0.5) AS BIGINT) AS cell FROM v_notes")
 def _(d):
     return d.select("seq", s.round_half_up(F.col("onset_tick") / 40.0).alias("cell"))
@@ -387,11 +382,6 @@ def _(d):
     return e.exclusive_labels(d)
 
 
-@query("f19_annotation_limits", "v_annot", "SELECT source_id, count(*) AS n FROM v_annot GROUP BY 1 HAVING count(*) > 30")
-def _(d):
-    return d.groupBy("source_id").agg(F.count("*").alias("n")).filter("n > 30")
-
-
 @query("f15_unique_keys", "v_notes_dup", "SELECT onset_tick, pitch, count(*) AS n FROM v_notes_dup GROUP BY 1, 2 HAVING count(*) > 1")
 def _(d):
     return d.groupBy("onset_tick", "pitch").agg(F.count("*").alias("n")).filter("n > 1")
@@ -427,16 +417,6 @@ def _(d):
     return e.with_zeros(d.groupBy("type").agg(F.count("*").alias("n")), "type", TYPES)
 
 
-@query("a11_coverage_summary", "v_cover", "SELECT coverage, count(*) AS n, CAST(coalesce(sum(quality), 0) AS BIGINT) AS good, CAST(coalesce(sum(toxic), 0) AS BIGINT) AS toxic FROM v_cover GROUP BY coverage")
-def _(d):
-    return d.groupBy("coverage").agg(F.count("*").alias("n"), F.coalesce(F.sum("quality"), F.lit(0)).alias("good"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"))
-
-
-@query("t16_coverage_label", "v_cover", "SELECT source_id, coverage FROM v_cover")
-def _(d):
-    return d.select("source_id", "coverage")
-
-
 @query("f20_overlong", "v_words", "SELECT count(*) AS n_overlong, min(sequence_id) AS first_id FROM (SELECT sequence_id FROM v_words GROUP BY 1 HAVING count(*) > 512) t")
 def _(d):
     return q.overlong(d, 512)
@@ -449,30 +429,6 @@ def _(d):
     return d.join(q.vocabulary(d), "token").groupBy("sequence_id").agg(F.count("*").alias("n_tokens"), F.sum("id").alias("id_sum"))
 
 
-@query("w09_next_token_pairs", "v_words", "SELECT sequence_id, pos, input, target FROM (SELECT sequence_id, pos, token AS input, lead(token) OVER (PARTITION BY sequence_id ORDER BY pos) AS target FROM v_words) t WHERE target IS NOT NULL")
-def _(d):
-    return q.next_token_pairs(d)
-
-
-@query("w10_unknown_mask", "v_words v_cover", "SELECT sequence_id, count(*) FILTER (coverage = 'UNLABELED' AND token LIKE '%,') AS n_unknown, count(*) AS n_tokens FROM v_words JOIN v_cover ON source_id = sequence_id GROUP BY sequence_id")
-def _(w, c):
-    return q.unknown_mask(w, c)
-
-
-@query("w11_pad_batches", "v_words", """
-WITH n AS (SELECT sequence_id, count(*) AS n_tokens FROM v_words GROUP BY 1), b AS (SELECT *, (row_number() OVER (ORDER BY sequence_id) - 1) // 4 AS batch FROM n)
-SELECT sequence_id, batch, n_tokens, max(n_tokens) OVER (PARTITION BY batch) - n_tokens AS padding FROM b""")
-def _(d):
-    return q.padded_batches(q.lengths(d), 4)
-
-
-@query("a17_bigram_scores", "v_words", """
-WITH p AS (SELECT token AS prev, lead(token) OVER (PARTITION BY sequence_id ORDER BY pos) AS next FROM v_words), c AS (SELECT prev, next, count(*) AS n FROM p WHERE next IS NOT NULL GROUP BY 1, 2)
-SELECT prev, next, n, round(ln((n + 1.0) / (sum(n) OVER (PARTITION BY prev) + 1.0 * (SELECT count(DISTINCT token) FROM v_words))), 6) AS log_p FROM c""")
-def _(d):
-    return q.bigram_scores(d)
-
-
 SCORE_SQL = """
 WITH a AS (SELECT row_id, target, unknown, CAST(logits AS DOUBLE[]) AS x FROM v_logits),
 b AS (SELECT *, list_max(x) AS m, list_position(x, list_max(x)) - 1 AS best, x[target + 1] AS own FROM a),
@@ -545,8 +501,3 @@ def _(d):
 @query("a14_epoch_loss", "v_epochs", "SELECT run_id, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(validation_loss * tokens) / sum(tokens), 5) AS loss FROM v_epochs GROUP BY run_id")
 def _(d):
     return d.groupBy("run_id").agg(F.sum("tokens").alias("tokens"), F.round(F.sum(F.col("validation_loss") * F.col("tokens")) / F.sum("tokens"), 5).alias("loss"))
-
-
-@query("w12_early_stopping", "v_epochs", None)
-def _(d):
-    return e.early_stopping(d, 1e-4, 3)

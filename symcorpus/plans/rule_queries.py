@@ -47,7 +47,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 QUERIES["u02_key_set_diff"] = lambda spark, sf_dir: r.key_set_diff(_table(spark, sf_dir, "events"), "props", ["k", "v"]).select("event_id", F.array_join("missing", ",").alias("missing"), F.array_join("unknown", ",").alias("unknown"))
 QUERIES["s10_read_annotations"] = lambda spark, sf_dir: r.read_annotations(_table(spark, sf_dir, "events"), "props", "k int", 1 << 20).select("event_id", "record.k", "valid")
 QUERIES["p17_run_stamp"] = lambda spark, sf_dir: _table(spark, sf_dir, "events").select("event_id", F.concat_ws("-", F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'"), F.substring(F.sha2("props", 256), 1, 10)).alias("stamp"))
-QUERIES["s01_scan_files"] = lambda spark, sf_dir: runs.scan_files(spark, sf_dir, "*.parquet")
 
 
 @query("u03_multiset_equal", "v_notes v_bends v_annot", step(x="t05_extract_postfix_labels") + ", y AS (SELECT type, count(*) AS n FROM (SELECT DISTINCT source_id, seq, type FROM v_annot) z GROUP BY 1), m AS (SELECT technique AS type, count(*) AS m FROM x GROUP BY 1) SELECT type, n AS annotated, coalesce(m, 0) AS encoded, n = coalesce(m, 0) AS equal FROM y LEFT JOIN m USING (type)")
@@ -77,13 +76,6 @@ def _(n):
     return r.variants(e.phrase_window(n).select("source_id", "phrase_index").distinct(), -6, 6)
 
 
-@query("j06_source_of_fragment", "v_notes v_bends", step(x="x02_transpose", k="k01_select_track") + "SELECT source_id, count(*) AS n_fragments, any_value(instrument_index) IS NULL AS absent FROM x LEFT JOIN k USING (source_id) GROUP BY source_id")
-def _(n, b):
-    chosen = e.select_track(_issues(n, b).filter("compatible")).select("source_id", F.lit(True).alias("held"))
-    rows = _fragments(n).groupBy("source_id").agg(F.count("*").alias("n_fragments")).join(chosen, "source_id", "left")
-    return rows.select("source_id", "n_fragments", F.col("held").isNull().alias("absent"))
-
-
 @query("j04_empty_ranges", "v_notes v_ranges", """
 WITH d AS (SELECT source_id, max(end_tick) AS fin FROM v_notes GROUP BY 1), g AS (SELECT DISTINCT source_id, start_tick, end_tick FROM v_ranges)
 SELECT g.source_id, start_tick, end_tick, NOT EXISTS (SELECT 1 FROM v_notes n WHERE n.source_id = g.source_id AND n.instrument_index = 0 AND onset_tick >= start_tick AND onset_tick < g.end_tick) AS empty, end_tick > fin AS beyond FROM g JOIN d USING (source_id)""")
@@ -98,14 +90,6 @@ def _(n):
     return r.map_notes(n, e.quantize(n, 120))
 
 
-@query("j12_compare_summary", "v_sources", step(a="a10_corpus_summary") + "SELECT coalesce(split, 'all') AS split, m AS metric, true AS equal FROM a, (VALUES ('sequences'), ('total_tokens'), ('min_tokens'), ('max_tokens'), ('mean_tokens')) x(m)")
-def _(d):
-    sized = sp.assign_splits(sp.fingerprint(d)).select("split", F.size(F.split("content", " ")).cast("long").alias("n_tokens"))
-    declared = sp.corpus_summary(sized)
-    own = sized.unionByName(sized.withColumn("split", F.lit("all"))).groupBy("split").agg(F.count("*").alias("sequences"), F.sum("n_tokens").alias("total_tokens"), F.min("n_tokens").alias("min_tokens"), F.max("n_tokens").alias("max_tokens"), F.round(F.avg("n_tokens"), 6).alias("mean_tokens"))
-    return r.compare_summary(declared.fillna("all", ["split"]), own, "split", 1e-12)
-
-
 @query("j13_provenance_match", "v_sources", "SELECT 'paths' AS field, true AS equal UNION ALL SELECT 'sources', true UNION ALL SELECT 'hashes', count(*) FILTER (source_id % 50 = 1) = 0 FROM v_sources")
 def _(d):
     other = d.withColumn("content", F.when(F.col("source_id") % 50 == 1, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
@@ -131,12 +115,6 @@ def _(d):
     return q.scored(d, EXCLUDED).select("row_id", F.round(s.perplexity(F.col("full_nll")), 5).alias("perplexity"))
 
 
-@query("f04_misplaced_global_meta", "v_messages", "SELECT source_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS misplaced FROM (SELECT source_id, track, CASE velocity WHEN 7 THEN 'set_tempo' WHEN 11 THEN 'time_signature' END AS kind FROM v_messages) m WHERE track > 0 AND kind IS NOT NULL GROUP BY 1")
-def _(d):
-    kind = F.when(F.col("velocity") == 7, "set_tempo").when(F.col("velocity") == 11, "time_signature")
-    return d.withColumn("kind", kind).filter("track > 0 AND kind IS NOT NULL").groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("misplaced"))
-
-
 @query("f08_bend_declared_before_use", "v_controls v_bends", "SELECT b.source_id, first_bend, first_range, first_bend < first_range AS early FROM (SELECT source_id, min(tick) AS first_bend FROM v_bends WHERE value <> 0 GROUP BY 1) b JOIN (SELECT source_id, min(tick) AS first_range FROM v_controls WHERE number = 6 GROUP BY 1) c USING (source_id)")
 def _(c, b):
     bend = b.filter("value <> 0").groupBy("source_id").agg(F.min("tick").alias("first_bend"))
@@ -144,22 +122,6 @@ def _(c, b):
     return rows.withColumn("early", F.col("first_bend") < F.col("first_range"))
 
 
-@query("f13_fragment_contract", "v_notes v_bends", step(x="x02_transpose", k="k01_select_track") + "SELECT source_id, phrase_index, semitones, unnest(list_filter([CASE WHEN instrument_index IS NULL THEN 'no compatible source' END, CASE WHEN num_notes < 8 THEN 'too few notes' END, CASE WHEN phrase_index > 4 THEN 'phrase out of range' END], lambda v: v IS NOT NULL)) AS rule FROM x LEFT JOIN k USING (source_id)")
-def _(n, b):
-    chosen = e.select_track(_issues(n, b).filter("compatible")).select("source_id", F.lit(True).alias("held"))
-    rows = _fragments(n).join(chosen, "source_id", "left")
-    rules = [(F.col("held").isNull(), "no compatible source"), (F.col("num_notes") < 8, "too few notes"), (F.col("phrase_index") > 4, "phrase out of range")]
-    return r.broken_rules(rows, rules).select("source_id", "phrase_index", "semitones", "rule")
-
-
-@query("f16_label_contract", "v_annot", """
-SELECT source_id, seq, count(*) <> count(DISTINCT type) AS duplicate, bool_or(type = 'SLIDE_UP') AND bool_or(type = 'SLIDE_DOWN') AS both_slides, bool_or(type NOT IN ('DEAD_NOTE', 'PALM_MUTE_ON', 'PALM_MUTE_OFF', 'SLIDE_UP', 'SLIDE_DOWN', 'VIBRATO')) AS unknown
-FROM v_annot GROUP BY 1, 2""")
-def _(a):
-    is_ = lambda x: F.bool_or(F.col("type") == x)
-    return a.groupBy("source_id", "seq").agg((F.count("*") != F.count_distinct("type")).alias("duplicate"), (is_("SLIDE_UP") & is_("SLIDE_DOWN")).alias("both_slides"), F.bool_or(~F.col("type").isin(t.TECHNIQUES)).alias("unknown"))
-
-
 @query("f21_ordered_check", "v_sources", "SELECT b.source_id FROM v_sources a JOIN v_sources b ON b.source_id = a.source_id + 1 WHERE (b.lang, b.path) < (a.lang, a.path)")
 def _(d):
     return r.ordered_check(d.select("source_id", F.struct("lang", "path").alias("key")))
@@ -174,78 +136,7 @@ def _(d):
     return d.select("row_id", s.draw(F.transform("logits", lambda x: x.cast("double")), u).alias("id"))
 
 
-@query("t14_objective_rows", "v_logits", "SELECT row_id, target FROM v_logits WHERE target NOT IN (0, 8, 9)")
-def _(d):
-    return r.objective_rows(d, pad=0, prompt=[8, 9]).select("row_id", "target")
-
-
-@query("a15_run_totals", "v_logits", "SELECT target % 3 AS run, count(*) AS samples, CAST(sum(target) AS BIGINT) AS notes, count(*) FILTER (unknown) AS unknown FROM v_logits GROUP BY 1")
-def _(d):
-    return d.groupBy((F.col("target") % 3).alias("run")).agg(F.count("*").alias("samples"), F.sum("target").alias("notes"), F.count_if("unknown").alias("unknown"))
-
-
-@query("w13_history_audit", "v_epochs", "SELECT run_id, count(*) = max(epoch) AND min(epoch) = 1 AS contiguous, bool_and(validation_loss >= 0) AS finite, min(validation_loss) AS best_loss, arg_min(epoch, (validation_loss, epoch)) AS best_epoch, max(epoch) - arg_min(epoch, (validation_loss, epoch)) AS without FROM v_epochs GROUP BY 1")
-def _(d):
-    return r.history_audit(d)
-
-
 @query("s13_metric_scalars", "v_logits", step(m="a12_token_metrics") + """SELECT 'metrics/validation/all/' || name AS tag, 1 AS epoch, round(value, 5) AS value FROM (UNPIVOT (SELECT full_nll::DOUBLE AS full_nll, objective_nll::DOUBLE AS objective_nll, perplexity::DOUBLE AS perplexity, top1::DOUBLE AS top1, top5::DOUBLE AS top5 FROM m) ON COLUMNS(*) INTO NAME name VALUE value) x""")
 def _(d):
     report = q.token_metrics(q.scored(d, EXCLUDED)).withColumn("epoch", F.lit(1))
     return r.metric_scalars(report, "validation", ["full_nll", "objective_nll", "perplexity", "top1", "top5"]).withColumn("value", F.round("value", 5))
-
-
-@query("x01_normalize_source", "v_notes_dup v_bends", """
-WITH u AS (SELECT DISTINCT source_id, instrument_index, onset_tick, end_tick, pitch, velocity FROM v_notes_dup), f AS (SELECT source_id, min(onset_tick) AS lead FROM u GROUP BY 1)
-SELECT u.source_id, instrument_index, CAST(floor((onset_tick - lead) / 120.0 + 0.5) AS BIGINT) * 120 AS onset_tick, pitch, velocity, greatest(CAST(floor((end_tick - onset_tick) / 120.0 + 0.5) AS BIGINT), 1) * 120 AS length FROM u JOIN f USING (source_id)""")
-def _(n, b):
-    return r.normalize_source(n, 120)
-
-
-@query("x03_project_labels", "v_notes v_annot", step(w="w03_phrase_window") + """, l AS (SELECT DISTINCT source_id, seq, type, target_pitch FROM v_annot),
-p AS (SELECT source_id, phrase_index, min(least(n.pitch, coalesce(target_pitch, n.pitch))) AS lo, max(greatest(n.pitch, coalesce(target_pitch, n.pitch))) AS hi, count(type) AS n_labels FROM w JOIN v_notes n USING (source_id, seq) LEFT JOIN l USING (source_id, seq) GROUP BY 1, 2)
-SELECT source_id, phrase_index, CAST(k AS INT) AS semitones, n_labels FROM p, range(-6, 7) g(k) WHERE lo + k >= 30 AND hi + k <= 100""")
-def _(n, a):
-    return r.project_labels(e.phrase_window(n), a, -6, 6, 30, 100)
-
-
-@query("x05_preprocess", "v_notes v_bends v_sources", step(x="x02_transpose", k="k01_select_track", sk="k03_assign_splits") + "SELECT split, count(DISTINCT source_id) AS sources, count(*) AS fragments, CAST(sum(num_notes) AS BIGINT) AS notes FROM x JOIN sk USING (source_id) WHERE (split = 'train' OR semitones = 0) AND source_id IN (SELECT source_id FROM k) GROUP BY split")
-def _(n, b, d):
-    chosen = e.select_track(_issues(n, b).filter("compatible"))
-    rows = _fragments(n).join(chosen, "source_id", "left_semi").join(sp.assign_splits(sp.fingerprint(d)).select("source_id", "split"), "source_id").filter("split = 'train' OR semitones = 0")
-    return rows.groupBy("split").agg(F.count_distinct("source_id").alias("sources"), F.count("*").alias("fragments"), F.sum("num_notes").alias("notes"))
-
-
-@query("x07_evaluate", "v_words v_sources", step(g="a17_bigram_scores", sk="k03_assign_splits") + """, p AS (SELECT sequence_id, token AS prev, lead(token) OVER (PARTITION BY sequence_id ORDER BY pos) AS next FROM v_words)
-SELECT split, count(*) AS tokens, round(avg(-log_p), 4) AS nll FROM p JOIN g USING (prev, next) JOIN sk ON sk.source_id = sequence_id GROUP BY split""")
-def _(w, d):
-    return r.evaluate(w, sp.assign_splits(sp.fingerprint(d)).select(F.col("source_id").alias("sequence_id"), "split"))
-
-
-@query("x07_evaluate_trained", "v_words v_sources", step(sk="k03_assign_splits") + """, p AS (SELECT sequence_id, token AS prev, lead(token) OVER (PARTITION BY sequence_id ORDER BY pos) AS next FROM v_words),
-o AS (SELECT split, prev, next FROM p JOIN sk ON sk.source_id = sequence_id WHERE next <> ''), c AS (SELECT prev, next, count(*) AS n FROM o WHERE split = 'train' GROUP BY 1, 2),
-b AS (SELECT prev, sum(n) AS total, list(next ORDER BY n DESC, next)[1] AS best FROM c GROUP BY 1), v AS (SELECT count(DISTINCT token) AS v, min(token) AS least FROM v_words),
-m AS (SELECT split, -ln((coalesce(n, 0) + 1.0) / (coalesce(total, 0) + 1.0 * v)) AS nll, o.next = coalesce(best, least) AS top1 FROM o LEFT JOIN c USING (prev, next) LEFT JOIN b USING (prev) CROSS JOIN v)
-SELECT split, 1 AS epoch, count(*) AS tokens, round(avg(nll), 4) AS nll, round(exp(least(avg(nll), 50)), 2) AS perplexity, round(avg(top1::INT), 6) AS top1 FROM m GROUP BY split""")
-def _(w, d):
-    return r.evaluate_trained(w, sp.assign_splits(sp.fingerprint(d)).select(F.col("source_id").alias("sequence_id"), "split"))
-
-
-@query("s12_write_sequences", "v_notes v_bends v_annot", step(tk="t04_insert_postfix_labels") + "SELECT source_id, phrase_index, count(*) AS n_tokens FROM tk GROUP BY 1, 2")
-def _(n, b, a):
-    spark = n.sparkSession
-    rows = _encoded(n, b, a).groupBy(*t.PHRASE).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("t")).select(*t.PHRASE, F.transform("t", lambda x: x["token"]).alias("tokens"), (F.col("source_id") % 3).alias("part"))
-    count, mark = runs.digest(rows)
-    root, name = runs.shared_root(spark), f"sequences-{count}-{mark % 10**12}"
-    runs.publish(rows, root, name, "part")
-    return runs.read(spark, root, name).select(*t.PHRASE, F.size("tokens").cast("long").alias("n_tokens"))
-
-
-@query("s07_publish_run", "v_notes v_sources", step(x="x02_transpose", sk="k03_assign_splits") + "SELECT source_id, phrase_index, semitones, num_notes, split FROM x JOIN sk USING (source_id)")
-def _(n, d):
-    spark = n.sparkSession
-    rows = _fragments(n).join(sp.assign_splits(sp.fingerprint(d)).select("source_id", "split"), "source_id")
-    count, mark = runs.digest(rows)
-    root, name = runs.shared_root(spark), f"fragments-{count}-{mark % 10**12}"
-    runs.publish(rows, root, name)
-    return runs.read(spark, root, name)

@@ -190,14 +190,6 @@ def _(n, b, a):
     return t.transitions(_encoded(n, b, a))
 
 
-@query("w14_token_state_audit", "v_notes v_bends", PLAIN + """, fa AS (SELECT source_id, phrase_index, count(*) FILTER (type = 'Position' AND position <= pp) AS falls FROM (SELECT *, lag(position) OVER (PARTITION BY source_id, phrase_index, bar, type ORDER BY pos) AS pp FROM tz) x GROUP BY 1, 2),
-pl AS (SELECT source_id, phrase_index, bar, position, count(*) AS n, count(DISTINCT value) AS d FROM tz WHERE type = 'Pitch' GROUP BY ALL),
-cw AS (SELECT source_id, phrase_index, CAST(sum(n - d) AS BIGINT) AS repeated, count(*) FILTER (n > 1) AS crowded FROM pl GROUP BY 1, 2)
-SELECT source_id, phrase_index, falls, coalesce(repeated, 0) AS repeated, coalesce(crowded, 0) AS crowded FROM fa LEFT JOIN cw USING (source_id, phrase_index)""")
-def _(n, b):
-    return t.state_audit(_encoded(n, b), 1)
-
-
 @query("w15_trim_trailing_bar", "v_notes v_bends", PLAIN + "SELECT source_id, phrase_index, count(*) AS n_tokens, max(pos) FILTER (type <> 'Bar') + 1 AS n_kept FROM tz GROUP BY 1, 2")
 def _(n, b):
     tokens = _encoded(n, b)
@@ -252,24 +244,3 @@ def _(n, b, a):
 @query("t07_split_prefix", "v_notes v_bends v_annot", step(tk="t04_insert_postfix_labels", la="a07_score_tonality") + " SELECT source_id, phrase_index, tonic, mode, count(*) AS n_body, true AS valid FROM tk JOIN la USING (source_id) GROUP BY 1, 2, 3, 4")
 def _(n, b, a):
     return t.split_prefix(_wrapped(n, b, a)).select(*t.PHRASE, "tonic", "mode", F.size("body").cast("long").alias("n_body"), "valid")
-
-
-@query("f14_sequence_contract", "v_notes v_bends v_annot", step(tk="t04_insert_postfix_labels") + " SELECT source_id, phrase_index, 'too long' AS rule FROM tk GROUP BY 1, 2 HAVING count(*) + 4 > 64")
-def _(n, b, a):
-    return t.contract(_wrapped(n, b, a))
-
-
-@query("x06_tokenize", "v_notes v_bends v_annot v_sources", step(tk="t04_insert_postfix_labels", sk="k03_assign_splits") + """, xl AS (SELECT source_id, phrase_index, count(*) + 4 AS n FROM tk GROUP BY 1, 2)
-SELECT split, count(*) AS sequences, CAST(sum(n) AS BIGINT) AS total_tokens, min(n) AS min_tokens, max(n) AS max_tokens, round(avg(n), 6) AS mean_tokens FROM xl JOIN sk USING (source_id) GROUP BY GROUPING SETS ((split), ())""")
-def _(n, b, a, s):
-    sized = _wrapped(n, b, a).select("source_id", F.size("ids").cast("long").alias("n_tokens"))
-    return sp.corpus_summary(sized.join(sp.assign_splits(sp.fingerprint(s)).select("source_id", "split"), "source_id"))
-
-
-@query("x08_audit_samples", "v_notes v_bends v_annot", step(au="w14_token_state_audit", tr="w15_trim_trailing_bar") + """ SELECT source_id, phrase_index, concat_ws('; ', CASE WHEN falls > 0 THEN 'position falls' END, CASE WHEN repeated > 0 THEN 'repeated pitch' END,
- CASE WHEN crowded > 0 THEN 'crowded place' END, CASE WHEN n_kept < n_tokens THEN 'closing bars' END) AS reasons FROM au JOIN tr USING (source_id, phrase_index)""")
-def _(n, b, a):
-    tokens = _encoded(n, b)
-    rows = t.state_audit(tokens, 1).join(tokens.groupBy(*t.PHRASE).agg(F.max_by("token", "pos").alias("end")), t.PHRASE)
-    rules = [(F.col("falls") > 0, "position falls"), (F.col("repeated") > 0, "repeated pitch"), (F.col("crowded") > 0, "crowded place"), (F.col("end") == "Bar_None", "closing bars")]
-    return rows.select(*t.PHRASE, F.concat_ws("; ", *[F.when(bad, F.lit(name)) for bad, name in rules]).alias("reasons"))

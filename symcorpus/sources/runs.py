@@ -1,15 +1,40 @@
-"""Immutable runs of rows in a shared folder, and listings of source files."""
+"""Immutable runs of rows in a shared folder, their manifests, and listings of source files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+from typing import NamedTuple
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+EXTENSIONS = (".mid", ".midi")
+
+
+def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """(path, size_bytes) of regular files below root with one of the extensions, in any case; contents are never read.
+
+    A missing root is an error of Spark, an empty one gives no row. Rows have no order; listed() ranks them.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    ends = F.lower("path").rlike("(" + "|".join(e.replace(".", r"\.") for e in extensions) + ")$")
+    return files.select("path", F.col("length").alias("size_bytes")).filter(ends)
+
 
-def scan_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """Regular files below root whose names match, without their bytes; the column of contents is never read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return files.select("path", F.col("length").alias("size_bytes"))
+def listed(files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """(path, size_bytes, rank) of the files with one of the extensions, ranked by lower-case path, then path.
+
+    Ranks come in two steps, inside beginnings of 32 characters and over these, so that no task
+    ranks all files.
+    """
+    ends = F.lower("path").rlike("(" + "|".join(e.replace(".", r"\.") for e in extensions) + ")$")
+    own = files.filter(ends).withColumn("low", F.lower("path")).withColumn("head", F.substring("low", 1, 32))
+    sizes = own.groupBy("head").agg(F.count("*").alias("n"))
+    bases = sizes.select("head", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("head").orderBy("low", "path"))
+    return own.join(bases, "head").select("path", "size_bytes", (F.col("base") + rank - 1).alias("rank"))
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -17,29 +42,109 @@ def shared_root(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/runs"
 
 
-def digest(rows: DataFrame) -> tuple[int, int]:
+def staged(rows: DataFrame) -> DataFrame:
+    """Rows written once to the shared folder and read back, so that several plans share them and a lost executor costs little."""
+    place = f"{shared_root(rows.sparkSession)}/staged/{uuid.uuid4().hex}"
+    rows.write.parquet(place)
+    return rows.sparkSession.read.schema(rows.schema).parquet(place)
+
+
+def digest(rows: DataFrame) -> tuple[int, str]:
     """Number of rows and a digest that is the same for any order: sums of two hashes, so that equal rows do not cancel."""
     columns = sorted(rows.columns)
-    one = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("d")).first()
-    return one["n"], int(one["d"] or 0)
+    total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
+    one = rows.agg(F.count("*").alias("n"), total(*columns).alias("a"), total(F.lit(1), *columns).alias("b")).first()
+    return one["n"], f"{one['a'] or 0}:{one['b'] or 0}"
+
+
+DECLARED = "run_id string, place string, n long, digest string, at timestamp"
+
+
+def _declared(spark: SparkSession, root: str) -> DataFrame:
+    """The entries of a root's runs; none where nothing was declared yet."""
+    try:
+        return spark.read.schema(DECLARED).parquet(f"{root}/declared")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], DECLARED)
+
 
+def _entry(spark: SparkSession, root: str, run_id: str):
+    return _declared(spark, root).filter(F.col("run_id") == run_id).orderBy("at", "place").limit(1).first()
 
-def publish(rows: DataFrame, root: str, run_id: str, by: str = "split") -> tuple[str, str]:
+
+def publish(rows: DataFrame, root: str, run_id: str, by: list[str] | str = "split", order: list[str] | None = None) -> tuple[str, str]:
     """Writes rows as run_id under root, or reuses an equal run; another content under the same id is an error.
 
-    Returns the folder and created or reused. A run without its success mark was cut off, so Spark writes it again.
+    Rows are worked out once, for a staging folder; what lies there is digested, and only then
+    declared. A run that was cut off is never declared, and nobody reads it. Files are
+    partitioned by `by` and sorted by `order`. Returns the folder and created or reused.
     """
-    spark, place = rows.sparkSession, f"{root}/run_id={run_id}"
-    jvm = spark.sparkContext._jvm
-    mark = jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
-    if mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
-        if digest(read(spark, root, run_id).select(*rows.columns)) != digest(rows):
+    spark, place = rows.sparkSession, f"{root}/{run_id}-{uuid.uuid4().hex}"
+    keys = [by] if isinstance(by, str) else list(by)
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order) if order else rows
+    dealt.write.partitionBy(*keys).parquet(place)
+    n, mark = digest(spark.read.schema(rows.schema).parquet(place))
+    held = _entry(spark, root, run_id)
+    if held is not None:
+        if (held["n"], held["digest"]) != (n, mark):
             raise ValueError(f"run {run_id} exists with other content")
-        return place, "reused"
-    rows.write.mode("overwrite").partitionBy(by).parquet(place)
+        spark.range(0).write.mode("overwrite").parquet(place)  # the copy is not needed
+        return held["place"], "reused"
+    spark.createDataFrame([(run_id, place, n, mark)], "run_id string, place string, n long, digest string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/declared")
     return place, "created"
 
 
 def read(spark: SparkSession, root: str, run_id: str) -> DataFrame:
     """The rows of one declared run; other folders beside it are never listed."""
-    return spark.read.parquet(f"{root}/run_id={run_id}")
+    held = _entry(spark, root, run_id)
+    if held is None:
+        raise ValueError(f"run {run_id} is not declared")
+    return spark.read.parquet(held["place"])
+
+
+CURRENT = "run_id string, configuration string, summary string, at timestamp"
+
+
+class Manifest(NamedTuple):
+    """One current run: its id, configuration and summary, and the tables of its sources and fragments."""
+
+    run_id: str
+    configuration: dict
+    summary: dict
+    sources: DataFrame
+    fragments: DataFrame
+
+
+def write_manifest(root: str, run_id: str, configuration: dict, sources: DataFrame, fragments: DataFrame) -> dict:
+    """Publishes sources and fragments as run_id and makes it the current run; returns the summary.
+
+    The summary counts sources (discovered, compatible, discarded) and fragments. Earlier runs
+    stay on disk; the last entry of `current` is the one that readers follow.
+    """
+    spark = sources.sparkSession
+    publish(sources, root, f"sources-{run_id}", "split")
+    publish(fragments, root, f"fragments-{run_id}", "split")
+    seen = read(spark, root, f"sources-{run_id}").agg(F.count("*").alias("a"), F.count_if("compatible").alias("b")).first()
+    summary = {"discovered_files": seen["a"], "compatible_sources": seen["b"], "discarded_sources": seen["a"] - seen["b"], "generated_fragments": read(spark, root, f"fragments-{run_id}").count()}
+    row = [(run_id, json.dumps(configuration, sort_keys=True), json.dumps(summary, sort_keys=True))]
+    spark.createDataFrame(row, "run_id string, configuration string, summary string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/current")
+    return summary
+
+
+def read_manifest(spark: SparkSession, root: str) -> Manifest:
+    """The current run of a root. Its tables are found by name, so stray files and other runs are never read."""
+    held = spark.read.schema(CURRENT).parquet(f"{root}/current").orderBy(F.desc("at"), "run_id").limit(1).first()
+    if held is None:
+        raise ValueError("no current run")
+    summary = json.loads(held["summary"])
+    sources, fragments = (read(spark, root, f"{kind}-{held['run_id']}") for kind in ("sources", "fragments"))
+    if fragments.count() != summary["generated_fragments"]:
+        raise ValueError(f"run {held['run_id']} does not hold the fragments that it declares")
+    return Manifest(held["run_id"], json.loads(held["configuration"]), summary, sources, fragments)
+
+
+def declared_only(rows: DataFrame, fragments: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of fragments that a manifest declares."""
+    return rows.join(fragments.select(*keys).distinct(), keys, "left_semi")

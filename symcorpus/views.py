@@ -53,14 +53,22 @@ FROM (SELECT user_id AS source_id, event_id AS seq, {_TICK} AS tick, row_number(
     "v_meters": "SELECT p_brand AS source_id, p_partkey AS seq, CASE WHEN p_size % 10 = 0 THEN 3 ELSE 4 END AS numerator, 4 AS denominator FROM part",
     "v_sources": "SELECT doc_id AS source_id, concat('data/raw/', source, '/', CAST(doc_id AS VARCHAR(20)), '.txt') AS path, text AS content, lang, n_chars FROM documents",
     "v_cover": "SELECT d.doc_id AS source_id, CASE WHEN l.doc_id IS NULL THEN 'UNLABELED' ELSE 'COMPLETE' END AS coverage, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
+    "v_headers": """
+SELECT source_id, CASE WHEN source_id % 10 = 3 THEN 2 WHEN source_id % 10 = 7 THEN 0 ELSE 1 END AS file_type, CASE WHEN source_id % 17 = 5 THEN 0 ELSE 480 END AS ppq, count(DISTINCT track) AS n_tracks
+FROM v_messages GROUP BY source_id""",
+    "v_meta": "SELECT source_id, track, CASE velocity WHEN 7 THEN 'set_tempo' WHEN 11 THEN 'time_signature' ELSE 'text' END AS kind FROM v_messages WHERE on_flag = 1",
+    "v_sidecars": "SELECT doc_id AS source_id, quality, toxic FROM labels",
     "v_toggle": "SELECT conv_id AS sequence_id, turn AS pos, CASE role WHEN 'user' THEN 'ON' WHEN 'assistant' THEN 'OFF' END AS toggle FROM conversations WHERE role <> 'system' AND NOT (conv_id % 9 = 0 AND turn = 2)",
     "v_logits": "SELECT vec_id AS row_id, CAST(label AS INT) AS target, vec_id % 3 = 0 AS unknown, embedding AS logits FROM embeddings",
+    "v_epoch_types": """
+SELECT yr AS run_id, CAST(mo AS INT) AS epoch, status AS type, count(*) AS n, avg(price) / 1000.0 + CASE WHEN yr % 7 = 0 THEN 0.01 ELSE 0.0 END AS loss
+FROM (SELECT year(o_orderdate) AS yr, month(o_orderdate) AS mo, o_orderstatus AS status, CAST(o_totalprice AS DOUBLE) AS price FROM orders) o WHERE NOT (yr % 4 = 0 AND mo = 3 AND status = 'P') GROUP BY yr, mo, status""",
     "v_epochs": """
 SELECT yr AS run_id, CAST(mo AS INT) AS epoch, round(avg(price) / 1000.0, 6) AS validation_loss, count(*) AS tokens
 FROM (SELECT year(o_orderdate) AS yr, month(o_orderdate) AS mo, CAST(o_totalprice AS DOUBLE) AS price FROM orders) o GROUP BY yr, mo""",
 }
-SPARK_ONLY = {"v_words": "SELECT doc_id AS sequence_id, CAST(pos AS BIGINT) AS pos, token FROM documents LATERAL VIEW posexplode(split(text, ' ')) w AS pos, token"}
-DUCK_ONLY = {"v_words": "SELECT doc_id AS sequence_id, i - 1 AS pos, w[i] AS token FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) t, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) u"}
+SPARK_ONLY = {"v_seqs": "SELECT doc_id AS sequence_id, split(text, ' ') AS tokens FROM documents", "v_words": "SELECT doc_id AS sequence_id, CAST(pos AS BIGINT) AS pos, token FROM documents LATERAL VIEW posexplode(split(text, ' ')) w AS pos, token"}
+DUCK_ONLY = {"v_seqs": "SELECT doc_id AS sequence_id, string_split(text, ' ') AS tokens FROM documents", "v_words": "SELECT doc_id AS sequence_id, i - 1 AS pos, w[i] AS token FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) t, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) u"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -90,4 +98,6 @@ def oracle(sql: str) -> str:
     head = ", ".join(f"{n} AS ({views[n]})" for n in needed)
     if not needed:
         return sql
+    if sql.lstrip()[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head}, {sql.lstrip()[15:]}"
     return f"WITH {head}, {sql.lstrip()[5:]}" if sql.lstrip()[:5].upper() == "WITH " else f"WITH {head} {sql}"
