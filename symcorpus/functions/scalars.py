@@ -81,6 +81,12 @@ def slug(label: Column, size: int = 48, default: str = "midi") -> Column:
     return F.concat(F.coalesce(F.nullif(F.substring(safe, 1, size), F.lit("")), F.lit(default)), F.lit("-"), F.substring(F.sha2(label, 256), 1, 10))
 
 
+def sequence_id(label: Column, *parts: Column) -> Column:
+    """A safe name of at most 64 characters, and twelve digits of the hash of label and parts."""
+    safe = F.lower(F.btrim(F.regexp_replace(label, "[^A-Za-z0-9_-]+", "-"), F.lit("-_")))
+    return F.concat(F.substring(safe, 1, 64), F.lit("-"), F.substring(F.sha2(F.concat_ws("|", label, *parts), 256), 1, 12))
+
+
 def variant_tag(semitones: Column) -> Column:
     return F.when(semitones < 0, F.format_string("m%02d", -semitones)).when(semitones > 0, F.format_string("p%02d", semitones)).otherwise("orig")
 

@@ -61,6 +61,12 @@ def issues_to_reason(profile: DataFrame, low: int, high: int, least: int) -> Dat
     return profile.withColumn("issues", issues).withColumn("compatible", F.size("issues") == 0).withColumn("reason", F.array_join("issues", "; "))
 
 
+def track_rules(profile: DataFrame, low: int, high: int, least: int) -> DataFrame:
+    """By source: tracks of drums, of too few notes, and with a pitch outside the range."""
+    outside = (F.col("min_pitch") < low) | (F.col("max_pitch") > high)
+    return profile.groupBy("source_id").agg(F.count_if("is_drum").alias("drums"), F.count_if(F.col("n_notes") < least).alias("short"), F.count_if(outside).alias("outside"))
+
+
 def select_track(tracks: DataFrame) -> DataFrame:
     """The track of most notes of each source, the lowest index of equals."""
     rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("n_notes"), "instrument_index"))
@@ -139,6 +145,29 @@ def phrase_window(notes: DataFrame, width: int = PHRASE) -> DataFrame:
     return cut.withColumn("onset_tick", F.col("onset_tick") - base).withColumn("end_tick", F.col("end_tick") - base)
 
 
+def phrase_counts(notes: DataFrame, width: int = PHRASE) -> DataFrame:
+    """(source_id, n_phrases): windows that a source's notes reach into, a part of one counted whole."""
+    return notes.groupBy("source_id").agg(F.ceil(F.max("end_tick") / width).alias("n_phrases"))
+
+
+def full_phrases(phrases: DataFrame, least: int) -> DataFrame:
+    """(source_id, phrase_index, num_notes) of phrases of `least` notes or more; indexes keep their gaps."""
+    return phrases.groupBy("source_id", "phrase_index").agg(F.count("*").alias("num_notes")).filter(F.col("num_notes") >= least)
+
+
+def early_bends(controls: DataFrame, bends: DataFrame) -> DataFrame:
+    """(source_id, first_bend, first_range, early): does a wheel move before its range is set."""
+    bend = bends.filter("value <> 0").groupBy("source_id").agg(F.min("tick").alias("first_bend"))
+    rows = bend.join(controls.filter("number = 6").groupBy("source_id").agg(F.min("tick").alias("first_range")), "source_id")
+    return rows.withColumn("early", F.col("first_bend") < F.col("first_range"))
+
+
+def durations(messages: DataFrame) -> DataFrame:
+    """(source_id, track, duration) in ticks; a last message of one tick is an exporter's end mark and does not count."""
+    last = messages.groupBy("source_id", "track").agg(F.sum("delta").alias("whole"), F.max_by("delta", "ord").alias("tail"))
+    return last.select("source_id", "track", (F.col("whole") - F.when(F.col("tail") <= 1, F.col("tail")).otherwise(0)).alias("duration"))
+
+
 def sliced_bends(wheel: DataFrame, windows: DataFrame, width: int = PHRASE) -> DataFrame:
     """(source_id, phrase_index, events, synthetic_initial, synthetic_reset) of windows whose wheel moves.
 

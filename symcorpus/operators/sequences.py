@@ -134,3 +134,8 @@ def nucleus(logits: DataFrame, top_p: float) -> DataFrame:
 
     rows = logits.withColumn("x", x).withColumn("z", mass).withColumn("f", F.aggregate(order, zero, step))
     return rows.select("row_id", F.col("f.n").alias("n_kept"), F.round("f.kept", 6).alias("mass"))
+
+
+def epoch_loss(history: DataFrame) -> DataFrame:
+    """(run_id, tokens, loss): the mean loss of a run's tokens."""
+    return history.groupBy("run_id").agg(F.sum("tokens").alias("tokens"), (F.sum(F.col("validation_loss") * F.col("tokens")) / F.sum("tokens")).alias("loss"))

@@ -241,8 +241,7 @@ def _(n, b):
 
 @query("f10_track_rules", "v_notes v_bends", PROFILE_SQL + "SELECT source_id, count(*) FILTER (is_drum) AS drums, count(*) FILTER (n_notes < 10) AS short, count(*) FILTER (min_pitch < 41 OR max_pitch > 87) AS outside FROM p GROUP BY source_id")
 def _(n, b):
-    p = e.track_profile(n, b)
-    return p.groupBy("source_id").agg(F.count_if("is_drum").alias("drums"), F.count_if(F.col("n_notes") < 10).alias("short"), F.count_if((F.col("min_pitch") < 41) | (F.col("max_pitch") > 87)).alias("outside"))
+    return e.track_rules(e.track_profile(n, b), 41, 87, 10)
 
 
 @query("k01_select_track", "v_notes v_bends", PROFILE_SQL + "SELECT source_id, instrument_index, n_notes FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY n_notes DESC, instrument_index) AS r FROM i WHERE reason = '') x WHERE r = 1")
@@ -315,8 +314,7 @@ def _(d):
 
 @query("w04_phrase_count", "v_notes", "SELECT source_id, CAST(floor(max(end_tick) / 7680.0) AS BIGINT) + CASE WHEN max(end_tick) % 7680 > 0 THEN 1 ELSE 0 END AS n_phrases FROM v_notes GROUP BY source_id")
 def _(d):
-    end = F.max("end_tick")
-    return d.groupBy("source_id").agg((F.floor(end / e.PHRASE) + F.when(end % e.PHRASE > 0, 1).otherwise(0)).alias("n_phrases"))
+    return e.phrase_counts(d)
 
 
 @query("w05_slice_bends", "v_bends", LAST_SQL + """, v AS (SELECT *, CAST(floor(tick / 7680.0) AS BIGINT) AS i FROM t),
@@ -332,7 +330,7 @@ def _(d):
 
 @query("w06_min_notes_per_phrase", "v_notes", PHRASE_SQL + "SELECT source_id, phrase_index, count(*) AS num_notes FROM w GROUP BY 1, 2 HAVING count(*) >= 8")
 def _(d):
-    return e.phrase_window(d).groupBy("source_id", "phrase_index").agg(F.count("*").alias("num_notes")).filter("num_notes >= 8")
+    return e.full_phrases(e.phrase_window(d), 8)
 
 
 @query("x02_transpose", "v_notes", PHRASE_SQL + """SELECT source_id, phrase_index, CAST(k AS INT) AS semitones, n AS num_notes
@@ -392,8 +390,8 @@ def _(d):
     return e.same_pitch_overlap(d)
 
 
-@query("a05_pitch_class_profile", "v_notes", """
-WITH d AS (SELECT source_id, pitch, seq, greatest(CAST(greatest(end_tick - onset_tick, 0) AS DOUBLE), 1e-9) AS duration FROM v_notes),
+@query("a05_pitch_class_profile", "v_lead", """
+WITH d AS (SELECT source_id, pitch, seq, greatest(CAST(greatest(end_tick - onset_tick, 0) AS DOUBLE), 1e-9) AS duration FROM v_lead),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY duration, seq) AS rn, count(*) OVER (PARTITION BY source_id) AS n FROM d),
 m AS (SELECT source_id, duration AS typical FROM r WHERE rn = n // 2 + 1)
 SELECT source_id, pitch % 12 AS pitch_class, round(sum(1 + 0.25 * least(duration / typical, 2.0)), 6) AS weight FROM d JOIN m USING (source_id) GROUP BY 1, 2""")
@@ -401,8 +399,8 @@ def _(d):
     return e.pitch_class_profile(d)
 
 
-@query("a06_bass_profile", "v_notes", """
-WITH l AS (SELECT source_id, onset_tick, min(pitch) % 12 AS bass FROM v_notes GROUP BY 1, 2),
+@query("a06_bass_profile", "v_lead", """
+WITH l AS (SELECT source_id, onset_tick, min(pitch) % 12 AS bass FROM v_lead GROUP BY 1, 2),
 f AS (SELECT source_id, arg_min(bass, onset_tick) AS first_bass, arg_max(bass, onset_tick) AS last_bass FROM l GROUP BY 1)
 SELECT source_id, bass, count(*) AS votes, any_value(first_bass) AS first_bass, any_value(last_bass) AS last_bass FROM l JOIN f USING (source_id) GROUP BY 1, 2""")
 def _(d):
@@ -500,4 +498,4 @@ def _(d):
 
 @query("a14_epoch_loss", "v_epochs", "SELECT run_id, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(validation_loss * tokens) / sum(tokens), 5) AS loss FROM v_epochs GROUP BY run_id")
 def _(d):
-    return d.groupBy("run_id").agg(F.sum("tokens").alias("tokens"), F.round(F.sum(F.col("validation_loss") * F.col("tokens")) / F.sum("tokens"), 5).alias("loss"))
+    return q.epoch_loss(d).withColumn("loss", F.round("loss", 5))

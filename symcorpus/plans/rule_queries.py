@@ -49,16 +49,16 @@ QUERIES["s10_read_annotations"] = lambda spark, sf_dir: r.read_annotations(_tabl
 QUERIES["p17_run_stamp"] = lambda spark, sf_dir: _table(spark, sf_dir, "events").select("event_id", F.concat_ws("-", F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'"), F.substring(F.sha2("props", 256), 1, 10)).alias("stamp"))
 
 
-@query("u03_multiset_equal", "v_notes v_bends v_annot", step(x="t05_extract_postfix_labels") + ", y AS (SELECT type, count(*) AS n FROM (SELECT DISTINCT source_id, seq, type FROM v_annot) z GROUP BY 1), m AS (SELECT technique AS type, count(*) AS m FROM x GROUP BY 1) SELECT type, n AS annotated, coalesce(m, 0) AS encoded, n = coalesce(m, 0) AS equal FROM y LEFT JOIN m USING (type)")
+@query("u03_multiset_equal", "v_lead v_bends v_annot", step(x="t05_extract_postfix_labels") + ", y AS (SELECT type, count(*) AS n FROM (SELECT DISTINCT a.source_id, a.seq, type FROM v_annot a JOIN v_lead l ON l.source_id = a.source_id AND l.seq = a.seq) z GROUP BY 1), m AS (SELECT technique AS type, count(*) AS m FROM x GROUP BY 1) SELECT type, n AS annotated, coalesce(m, 0) AS encoded, n = coalesce(m, 0) AS equal FROM y LEFT JOIN m USING (type)")
 def _(n, b, a):
-    own = a.select("source_id", "seq", "type").distinct().groupBy("type").agg(F.count("*").alias("annotated"))
+    own = a.join(n, ["source_id", "seq"], "left_semi").select("source_id", "seq", "type").distinct().groupBy("type").agg(F.count("*").alias("annotated"))
     seen = t.extract_labels(_encoded(n, b, a)).groupBy(F.col("technique").alias("type")).agg(F.count("*").alias("encoded"))
     return own.join(seen, "type", "left").fillna(0, ["encoded"]).withColumn("equal", F.col("annotated") == F.col("encoded"))
 
 
-@query("s11_orphan_annotations", "v_cover v_sources", "SELECT source_id FROM v_cover WHERE coverage = 'COMPLETE' AND source_id NOT IN (SELECT source_id FROM v_sources WHERE lang = 'en')")
-def _(c, d):
-    return c.filter("coverage = 'COMPLETE'").join(d.filter("lang = 'en'"), "source_id", "left_anti").select("source_id")
+@query("s11_orphan_annotations", "v_sidecars v_listed", "SELECT source_id FROM v_sidecars WHERE source_id NOT IN (SELECT source_id FROM v_listed)")
+def _(side, d):
+    return side.join(d, "source_id", "left_anti").select("source_id")
 
 
 def _fragments(n: DataFrame) -> DataFrame:
@@ -76,11 +76,11 @@ def _(n):
     return r.variants(e.phrase_window(n).select("source_id", "phrase_index").distinct(), -6, 6)
 
 
-@query("j04_empty_ranges", "v_notes v_ranges", """
+@query("j04_empty_ranges", "v_notes v_lead v_ranges", """
 WITH d AS (SELECT source_id, max(end_tick) AS fin FROM v_notes GROUP BY 1), g AS (SELECT DISTINCT source_id, start_tick, end_tick FROM v_ranges)
-SELECT g.source_id, start_tick, end_tick, NOT EXISTS (SELECT 1 FROM v_notes n WHERE n.source_id = g.source_id AND n.instrument_index = 0 AND onset_tick >= start_tick AND onset_tick < g.end_tick) AS empty, end_tick > fin AS beyond FROM g JOIN d USING (source_id)""")
-def _(n, g):
-    return r.empty_ranges(n.filter("instrument_index = 0"), g, n.groupBy("source_id").agg(F.max("end_tick").alias("fin")))
+SELECT g.source_id, start_tick, end_tick, NOT EXISTS (SELECT 1 FROM v_lead n WHERE n.source_id = g.source_id AND onset_tick >= start_tick AND onset_tick < g.end_tick) AS empty, end_tick > fin AS beyond FROM g JOIN d USING (source_id)""")
+def _(n, lead, g):
+    return r.empty_ranges(lead, g, n.groupBy("source_id").agg(F.max("end_tick").alias("fin")))
 
 
 @query("j08_map_notes", "v_notes", step(y="w02_quantize") + """, a AS (SELECT source_id, seq, pitch, row_number() OVER (PARTITION BY source_id, pitch ORDER BY onset_tick, end_tick, velocity, seq) AS r FROM v_notes),
@@ -98,16 +98,13 @@ def _(d):
 
 @query("p04_drop_exporter_eot", "v_messages", "SELECT source_id, track, CAST(sum(CASE WHEN ord = last AND delta <= 1 THEN 0 ELSE delta END) AS BIGINT) AS duration FROM (SELECT *, max(ord) OVER (PARTITION BY source_id, track) AS last FROM v_messages) m GROUP BY 1, 2")
 def _(d):
-    last = d.groupBy("source_id", "track").agg(F.sum("delta").alias("whole"), F.max_by("delta", "ord").alias("tail"))
-    return last.select("source_id", "track", (F.col("whole") - F.when(F.col("tail") <= 1, F.col("tail")).otherwise(0)).alias("duration"))
+    return e.durations(d)
 
 
 @query("p14_sequence_id", "v_sources v_cover", "SELECT source_id, left(lower(trim(regexp_replace(path, '[^A-Za-z0-9_-]+', '-', 'g'), '-_')), 64) || '-' || left(sha256(path || '|' || sha256(content) || '|' || coverage), 12) AS sequence_id FROM v_sources JOIN v_cover USING (source_id)")
 def _(d, c):
     rows = d.join(c.select("source_id", "coverage"), "source_id")
-    safe = F.lower(F.btrim(F.regexp_replace("path", "[^A-Za-z0-9_-]+", "-"), F.lit("-_")))
-    mark = F.sha2(F.concat_ws("|", "path", F.sha2("content", 256), "coverage"), 256)
-    return rows.select("source_id", F.concat(F.substring(safe, 1, 64), F.lit("-"), F.substring(mark, 1, 12)).alias("sequence_id"))
+    return rows.select("source_id", s.sequence_id(F.col("path"), F.sha2("content", 256), F.col("coverage")).alias("sequence_id"))
 
 
 @query("p15_perplexity", "v_logits", SCORE_SQL + "SELECT row_id, round(exp(least(full_nll, 50)), 5) AS perplexity FROM r")
@@ -117,9 +114,7 @@ def _(d):
 
 @query("f08_bend_declared_before_use", "v_controls v_bends", "SELECT b.source_id, first_bend, first_range, first_bend < first_range AS early FROM (SELECT source_id, min(tick) AS first_bend FROM v_bends WHERE value <> 0 GROUP BY 1) b JOIN (SELECT source_id, min(tick) AS first_range FROM v_controls WHERE number = 6 GROUP BY 1) c USING (source_id)")
 def _(c, b):
-    bend = b.filter("value <> 0").groupBy("source_id").agg(F.min("tick").alias("first_bend"))
-    rows = bend.join(c.filter("number = 6").groupBy("source_id").agg(F.min("tick").alias("first_range")), "source_id")
-    return rows.withColumn("early", F.col("first_bend") < F.col("first_range"))
+    return e.early_bends(c, b)
 
 
 @query("f21_ordered_check", "v_sources", "SELECT b.source_id FROM v_sources a JOIN v_sources b ON b.source_id = a.source_id + 1 WHERE (b.lang, b.path) < (a.lang, a.path)")

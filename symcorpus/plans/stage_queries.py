@@ -129,14 +129,14 @@ LABELS = {"technique": t.TECHNIQUES, "coverage": ["COMPLETE", "UNLABELED"], "ben
 LABEL_ROWS = " UNION ALL ".join(f"SELECT '{d}' AS dimension, unnest({names}) AS name" for d, names in LABELS.items())
 
 
-@query("a11_label_summary", VIEWS, STAGE.replace("WITH ", f"WITH lx AS ({SQL['x04_resolve_tonality']}), ", 1) + f""", al AS (SELECT fx.*, tonic, mode, method FROM fx JOIN lx USING (source_id)),
+@query("a11_label_summary", f"{VIEWS} v_lead", STAGE.replace("WITH ", f"WITH lx AS ({SQL['x04_resolve_tonality']}), ", 1) + f""", al AS (SELECT fx.*, tonic, mode, method FROM fx JOIN lx USING (source_id)),
 ar AS (SELECT 'technique' AS dimension, split_part(x, ':', 1) AS name, 1 AS n FROM (SELECT unnest(string_split(techniques, ',')) AS x FROM al WHERE techniques <> '') y UNION ALL SELECT 'coverage', coverage, 1 FROM al
  UNION ALL SELECT 'bends', 'total', num_bends FROM al UNION ALL SELECT 'bends', 'sequences', (num_bends > 0)::INT FROM al UNION ALL SELECT 'tonic', tonic, 1 FROM al UNION ALL SELECT 'mode', mode, 1 FROM al UNION ALL SELECT 'method', method, 1 FROM al)
 SELECT d.dimension, d.name, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM ({LABEL_ROWS}) d LEFT JOIN ar ON ar.dimension = d.dimension AND ar.name = d.name GROUP BY 1, 2""")
 def _(*tables):
     from .token_queries import _resolved
 
-    rows = _preprocessed(*tables)[1].join(_resolved(tables[0]).select("source_id", "tonic", "mode", "method"), "source_id")
+    rows = _preprocessed(*tables[:-1])[1].join(_resolved(tables[-1]).select("source_id", "tonic", "mode", "method"), "source_id")
     return st.label_summary(rows, LABELS)
 
 
@@ -168,9 +168,9 @@ def _declared(tables) -> tuple[DataFrame, DataFrame]:
     """Declared fragments, one field of most of them spoiled, and their sources."""
     from .token_queries import _resolved
 
-    sources, made = _preprocessed(*tables)
+    sources, made = _preprocessed(*tables[:-1])
     name = F.concat(F.lit("src"), F.col("source_id"), F.lit("_"), F.col("phrase_index"), F.lit("_"), F.col("semitones"))
-    rows = made.join(_resolved(tables[0]).select("source_id", "tonic", "mode"), "source_id").withColumns({
+    rows = made.join(_resolved(tables[-1]).select("source_id", "tonic", "mode"), "source_id").withColumns({
         "number": F.expr(NUMBER), "track_number": F.col("instrument_index"), "output_file": F.concat(F.lit(f"{RUN}/"), "split", F.lit("/"), name, F.lit(".mid")), "output_sha256": F.sha2(name, 256),
         "output_size_bytes": F.col("num_notes") * 8 + 40, "nominal_duration": F.lit(7680 / 960.0), "actual_duration": F.col("last_end") / 960.0,
     })
@@ -185,7 +185,7 @@ def _expected() -> str:
     return " UNION ALL ".join(parts)
 
 
-@query("f13_fragment_contract", VIEWS, STAGE + f""", fn AS (SELECT *, {NUMBER} AS number FROM fx), xr AS ({_expected()}), fb AS (SELECT fn.*, rule FROM fn JOIN xr USING (number)
+@query("f13_fragment_contract", f"{VIEWS} v_lead", STAGE + f""", fn AS (SELECT *, {NUMBER} AS number FROM fx), xr AS ({_expected()}), fb AS (SELECT fn.*, rule FROM fn JOIN xr USING (number)
  UNION ALL SELECT *, 'more expressive bends than bends' FROM fn WHERE number = 3
  UNION ALL SELECT *, 'bend count below zero' FROM fn WHERE number = 3 AND num_expressive = 0 UNION ALL SELECT *, 'label outside the notes' FROM fn WHERE number = 0 AND techniques <> '')
 SELECT CASE WHEN number = 12 THEN -source_id - 1 ELSE source_id END AS source_id, CASE WHEN number = 13 THEN -1 ELSE phrase_index END AS phrase_index, semitones, rule FROM fb""")

@@ -39,12 +39,12 @@ cc AS (SELECT w.source_id, {TONIC_LIST}[w.pc + 1] AS tonic, w.mode, greatest(w.s
        FROM cr w JOIN cq q ON q.source_id = w.source_id AND q.k = 2 JOIN cm m ON m.source_id = w.source_id AND m.k = 2 WHERE w.r = 1)"""
 
 
-@query("a07_score_tonality", "v_notes", SCORED + f" SELECT source_id, {TONIC_LIST}[pc + 1] AS tonic, mode FROM cr WHERE r = 1")
+@query("a07_score_tonality", "v_lead", SCORED + f" SELECT source_id, {TONIC_LIST}[pc + 1] AS tonic, mode FROM cr WHERE r = 1")
 def _(n):
     return ton.infer(n).select("source_id", "tonic", "mode")
 
 
-@query("a08_margin_confidence", "v_notes", LABELLED + " SELECT source_id, tonic, mode, round(tm / (1 + tm), 6) AS tonic_confidence, round(mm / (1 + mm), 6) AS mode_confidence FROM cc")
+@query("a08_margin_confidence", "v_lead", LABELLED + " SELECT source_id, tonic, mode, round(tm / (1 + tm), 6) AS tonic_confidence, round(mm / (1 + mm), 6) AS mode_confidence FROM cc")
 def _(n):
     return ton.infer(n)
 
@@ -59,7 +59,7 @@ def _resolved(n: DataFrame) -> DataFrame:
     return ton.resolve(n.select("source_id").distinct(), _manual(n), ton.infer(n.filter("source_id % 7 <> 0")), "infer_source")
 
 
-@query("x04_resolve_tonality", "v_notes", step(au="a08_margin_confidence") + f""", so AS (SELECT source_id, min(pitch) AS p FROM v_notes GROUP BY 1)
+@query("x04_resolve_tonality", "v_lead", step(au="a08_margin_confidence") + f""", so AS (SELECT source_id, min(pitch) AS p FROM v_lead GROUP BY 1)
 SELECT so.source_id, CASE WHEN so.source_id % 5 = 0 THEN {TONIC_LIST}[p % 12 + 1] WHEN so.source_id % 7 <> 0 THEN tonic ELSE 'UNKNOWN' END AS tonic,
  CASE WHEN so.source_id % 5 = 0 THEN 'MINOR' WHEN so.source_id % 7 <> 0 THEN mode ELSE 'UNKNOWN' END AS mode,
  CASE WHEN so.source_id % 5 = 0 THEN 'MANUAL' WHEN so.source_id % 7 <> 0 THEN 'AUTO_SOURCE' ELSE 'UNKNOWN' END AS method,
@@ -69,7 +69,7 @@ def _(n):
     return _resolved(n)
 
 
-@query("p10_validate_tonality", "v_notes", step(la="x04_resolve_tonality") + """, lb AS (SELECT source_id, CASE WHEN source_id % 3 = 0 THEN 'UNKNOWN' ELSE tonic END AS tonic, mode, method, CASE WHEN source_id % 4 <> 0 THEN tonic_confidence END AS tc, mode_confidence AS mc FROM la),
+@query("p10_validate_tonality", "v_lead", step(la="x04_resolve_tonality") + """, lb AS (SELECT source_id, CASE WHEN source_id % 3 = 0 THEN 'UNKNOWN' ELSE tonic END AS tonic, mode, method, CASE WHEN source_id % 4 <> 0 THEN tonic_confidence END AS tc, mode_confidence AS mc FROM la),
 li AS (SELECT source_id, concat_ws('; ', CASE WHEN tonic = 'UNKNOWN' AND mode <> 'UNKNOWN' THEN 'mode without tonic' END, CASE WHEN method LIKE 'AUTO%' AND (tc IS NULL OR mc IS NULL OR tc NOT BETWEEN 0 AND 1 OR mc NOT BETWEEN 0 AND 1) THEN 'confidence missing' END,
  CASE WHEN method NOT LIKE 'AUTO%' AND (tc IS NOT NULL OR mc IS NOT NULL) THEN 'confidence not allowed' END) AS issues FROM lb)
 SELECT source_id, issues FROM li WHERE issues <> ''""")
@@ -78,7 +78,7 @@ def _(n):
     return ton.label_issues(spoiled)
 
 
-@query("k04_tonality_review", "v_notes", step(la="x04_resolve_tonality") + """ SELECT source_id, tonic, mode, CASE WHEN tonic_confidence IS NULL THEN '-' ELSE printf('%.3f', tonic_confidence) END AS tonic_confidence,
+@query("k04_tonality_review", "v_lead", step(la="x04_resolve_tonality") + """ SELECT source_id, tonic, mode, CASE WHEN tonic_confidence IS NULL THEN '-' ELSE printf('%.3f', tonic_confidence) END AS tonic_confidence,
  CASE WHEN mode_confidence IS NULL THEN '-' ELSE printf('%.3f', mode_confidence) END AS mode_confidence FROM la ORDER BY coalesce(la.mode_confidence, 1.0), coalesce(la.tonic_confidence, 1.0), source_id LIMIT 20""")
 def _(n):
     return ton.review(_resolved(n), 20)
@@ -116,7 +116,7 @@ def _names() -> None:
 
 _names()
 
-GRID = """gn AS (SELECT p.source_id, p.phrase_index, p.seq, v.pitch, CAST(floor(p.onset_tick / 20.0 + 0.5) AS BIGINT) AS cell, p.end_tick - p.onset_tick AS len FROM pw p JOIN v_notes v USING (source_id, seq)),
+GRID = """gn AS (SELECT p.source_id, p.phrase_index, p.seq, v.pitch, CAST(floor(p.onset_tick / 20.0 + 0.5) AS BIGINT) AS cell, p.end_tick - p.onset_tick AS len FROM pw p JOIN v_lead v USING (source_id, seq)),
 gq AS (SELECT *, greatest(CAST(floor(len / 20.0 + 0.5) AS BIGINT), 1) AS g, least(greatest(CAST(floor(len / 120.0 + 0.5) AS BIGINT), 16), 64) AS q FROM gn),
 gd AS (SELECT *, CASE WHEN g < 96 THEN g * 20 ELSE q * 120 END AS ticks, CASE WHEN g < 96 THEN 'Duration_' || (g // 24) || '.' || (g % 24) || '.24' ELSE 'Duration_' || (q // 4) || '.' || (q % 4) || '.4' END AS dur FROM gq)"""
 ENCODE = step(pw="w03_phrase_window", sl="w05_slice_bends") + f""", {GRID},
@@ -134,7 +134,7 @@ LABEL_ORDER = str(t.TECHNIQUES)
 LABELS = f"UNION ALL SELECT gd.source_id, phrase_index, cell, 3, gd.pitch, ticks, gd.seq, 1 + list_position({LABEL_ORDER}, type), 'Technique_' || type FROM gd JOIN (SELECT DISTINCT source_id, seq, type FROM v_annot) la ON la.source_id = gd.source_id AND la.seq = gd.seq"
 
 
-@query("t02_quantize_to_grid", "v_notes", step(pw="w03_phrase_window") + f", {GRID} SELECT source_id, seq, cell // 96 AS bar, cell % 96 AS position, dur AS duration FROM gd")
+@query("t02_quantize_to_grid", "v_lead", step(pw="w03_phrase_window") + f", {GRID} SELECT source_id, seq, cell // 96 AS bar, cell % 96 AS position, dur AS duration FROM gd")
 def _(n):
     d = e.phrase_window(n)
     cell = F.floor(F.col("onset_tick") / t.CELL + F.lit(0.5)).cast("long")
@@ -145,12 +145,12 @@ def _encoded(n: DataFrame, b: DataFrame, a: DataFrame | None = None) -> DataFram
     return t.encode(e.phrase_window(n), e.slice_bends(b), F.lit(BPM), a)
 
 
-@query("t03_encode_events", "v_notes v_bends", ENCODE)
+@query("t03_encode_events", "v_lead v_bends", ENCODE)
 def _(n, b):
     return _encoded(n, b)
 
 
-@query("t04_insert_postfix_labels", "v_notes v_bends v_annot", ENCODE.replace("/*labels*/", LABELS))
+@query("t04_insert_postfix_labels", "v_lead v_bends v_annot", ENCODE.replace("/*labels*/", LABELS))
 def _(n, b, a):
     return _encoded(n, b, a)
 
@@ -163,18 +163,18 @@ PLAIN = step(tk="t03_encode_events") + f", {STATE}"
 LABELLED_TOKENS = step(tk="t04_insert_postfix_labels") + f", {STATE}"
 
 
-@query("t05_extract_postfix_labels", "v_notes v_bends v_annot", LABELLED_TOKENS + "SELECT source_id, phrase_index, note_pos, value AS technique, coalesce(bt IN ('Duration', 'Technique'), false) AS placed FROM tz WHERE type = 'Technique'")
+@query("t05_extract_postfix_labels", "v_lead v_bends v_annot", LABELLED_TOKENS + "SELECT source_id, phrase_index, note_pos, value AS technique, coalesce(bt IN ('Duration', 'Technique'), false) AS placed FROM tz WHERE type = 'Technique'")
 def _(n, b, a):
     return t.extract_labels(_encoded(n, b, a))
 
 
-@query("t08_decode_tokens", "v_notes v_bends", PLAIN + """, td AS (SELECT source_id, phrase_index, pos, (bar * 96 + position) * 20 AS onset_tick, CAST(value AS INT) AS pitch, [CAST(x AS BIGINT) FOR x IN string_split(nv, '.')] AS p FROM tz WHERE type = 'Pitch')
+@query("t08_decode_tokens", "v_lead v_bends", PLAIN + """, td AS (SELECT source_id, phrase_index, pos, (bar * 96 + position) * 20 AS onset_tick, CAST(value AS INT) AS pitch, [CAST(x AS BIGINT) FOR x IN string_split(nv, '.')] AS p FROM tz WHERE type = 'Pitch')
 SELECT source_id, phrase_index, pos AS seq, onset_tick, onset_tick + (p[1] * p[3] + p[2]) * 480 // p[3] AS end_tick, pitch FROM td""")
 def _(n, b):
     return t.decode(_encoded(n, b))[0]
 
 
-@query("j09_round_trip_diff", "v_notes v_bends", step(tk="t03_encode_events") + " SELECT count(*) AS n_tokens, CAST(0 AS BIGINT) AS n_different FROM tk")
+@query("j09_round_trip_diff", "v_lead v_bends", step(tk="t03_encode_events") + " SELECT count(*) AS n_tokens, CAST(0 AS BIGINT) AS n_different FROM tk")
 def _(n, b):
     once = _encoded(n, b)
     twice = t.encode(*t.decode(once), F.lit(BPM))
@@ -185,12 +185,12 @@ def _(n, b):
 LEGAL = ", ".join(f"'{a}>{b}'" for a, then in t.GRAPH.items() for b in then)
 
 
-@query("j11_legal_transitions", "v_notes v_bends v_annot", LABELLED_TOKENS + f"SELECT type, nt AS next, count(*) AS n, type || '>' || nt IN ({LEGAL}) AS legal FROM tz WHERE nt IS NOT NULL GROUP BY 1, 2")
+@query("j11_legal_transitions", "v_lead v_bends v_annot", LABELLED_TOKENS + f"SELECT type, nt AS next, count(*) AS n, type || '>' || nt IN ({LEGAL}) AS legal FROM tz WHERE nt IS NOT NULL GROUP BY 1, 2")
 def _(n, b, a):
     return t.transitions(_encoded(n, b, a))
 
 
-@query("w15_trim_trailing_bar", "v_notes v_bends", PLAIN + "SELECT source_id, phrase_index, count(*) AS n_tokens, max(pos) FILTER (type <> 'Bar') + 1 AS n_kept FROM tz GROUP BY 1, 2")
+@query("w15_trim_trailing_bar", "v_lead v_bends", PLAIN + "SELECT source_id, phrase_index, count(*) AS n_tokens, max(pos) FILTER (type <> 'Bar') + 1 AS n_kept FROM tz GROUP BY 1, 2")
 def _(n, b):
     tokens = _encoded(n, b)
     kept = t.without_closing_bars(tokens).groupBy(*t.PHRASE).agg(F.count("*").alias("n_kept"))
@@ -213,13 +213,13 @@ def _family_sql() -> str:
 VOCABULARY = f"vc AS ({_family_sql()})"
 
 
-@query("t01_build_vocabulary", "v_notes v_bends v_annot", step(tk="t04_insert_postfix_labels") + f", {VOCABULARY} SELECT id, vc.token, type, count(tk.token) AS uses FROM vc LEFT JOIN tk ON tk.token = vc.token GROUP BY 1, 2, 3")
+@query("t01_build_vocabulary", "v_lead v_bends v_annot", step(tk="t04_insert_postfix_labels") + f", {VOCABULARY} SELECT id, vc.token, type, count(tk.token) AS uses FROM vc LEFT JOIN tk ON tk.token = vc.token GROUP BY 1, 2, 3")
 def _(n, b, a):
     uses = _encoded(n, b, a).groupBy("token").agg(F.count("*").alias("uses"))
     return F.broadcast(t.vocabulary(n.sparkSession)).join(uses, "token", "left").fillna(0, ["uses"])
 
 
-@query("u04_vocabulary_contiguous", "v_notes v_bends v_annot", step(tk="t04_insert_postfix_labels") + f", {VOCABULARY}, vu AS (SELECT DISTINCT token FROM tk) SELECT type, count(*) AS n, min(id) AS first_id, max(id) AS last_id, max(id) - min(id) + 1 = count(*) AND count(DISTINCT id) = count(*) AS contiguous, count(vu.token) AS used FROM vc LEFT JOIN vu ON vu.token = vc.token GROUP BY type")
+@query("u04_vocabulary_contiguous", "v_lead v_bends v_annot", step(tk="t04_insert_postfix_labels") + f", {VOCABULARY}, vu AS (SELECT DISTINCT token FROM tk) SELECT type, count(*) AS n, min(id) AS first_id, max(id) AS last_id, max(id) - min(id) + 1 = count(*) AND count(DISTINCT id) = count(*) AS contiguous, count(vu.token) AS used FROM vc LEFT JOIN vu ON vu.token = vc.token GROUP BY type")
 def _(n, b, a):
     used = _encoded(n, b, a).select("token").distinct().withColumn("used", F.lit(1))
     rows = t.vocabulary(n.sparkSession).join(used, "token", "left")
@@ -236,11 +236,17 @@ def _wrapped(n: DataFrame, b: DataFrame, a: DataFrame) -> DataFrame:
     return t.wrapped(_encoded(n, b, a), ton.infer(n))
 
 
-@query("t06_wrap_sequence", "v_notes v_bends v_annot", WRAP + " SELECT source_id, phrase_index, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids FROM wr JOIN vc USING (token) GROUP BY 1, 2")
+@query("t06_wrap_sequence", "v_lead v_bends v_annot", WRAP + " SELECT source_id, phrase_index, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids FROM wr JOIN vc USING (token) GROUP BY 1, 2")
 def _(n, b, a):
     return _wrapped(n, b, a).select(*t.PHRASE, F.array_join("ids", " ").alias("ids"))
 
 
-@query("t07_split_prefix", "v_notes v_bends v_annot", step(tk="t04_insert_postfix_labels", la="a07_score_tonality") + " SELECT source_id, phrase_index, tonic, mode, count(*) AS n_body, true AS valid FROM tk JOIN la USING (source_id) GROUP BY 1, 2, 3, 4")
+@query("t07_split_prefix", "v_lead v_bends v_annot", step(tk="t04_insert_postfix_labels", la="a07_score_tonality") + """ SELECT source_id, phrase_index, CASE WHEN cut THEN NULL ELSE tonic END AS tonic, CASE WHEN cut THEN NULL ELSE mode END AS mode,
+ n - CASE WHEN cut THEN 1 ELSE 0 END AS n_body, NOT cut AS valid FROM (SELECT source_id, phrase_index, source_id % 5 = 2 AS cut, tonic, mode, count(*) AS n FROM tk JOIN la USING (source_id) GROUP BY ALL) x""")
 def _(n, b, a):
-    return t.split_prefix(_wrapped(n, b, a)).select(*t.PHRASE, "tonic", "mode", F.size("body").cast("long").alias("n_body"), "valid")
+    # sequences of some sources have lost their first id
+    cut = F.col("source_id") % 5 == 2
+    rows = _wrapped(n, b, a).withColumn("ids", F.when(cut, F.slice("ids", F.lit(2), F.size("ids"))).otherwise(F.col("ids")))
+    got = t.split_prefix(rows)
+    held = lambda c: F.when(F.col("valid"), F.col(c)).alias(c)
+    return got.select(*t.PHRASE, held("tonic"), held("mode"), F.size("body").cast("long").alias("n_body"), "valid")

@@ -105,7 +105,7 @@ def _recorded(n, b, a) -> DataFrame:
 SEQUENCE_RULES = " UNION ALL ".join(f"SELECT {k} AS number, unnest({rules}) AS rule" for k, (_, _, rules) in SEQUENCES.items())
 
 
-@query("f14_sequence_contract", "v_notes v_bends v_annot", step(tk="t04_insert_postfix_labels") + f""", sl AS (SELECT source_id, phrase_index, {SEQUENCE_NUMBER} AS number, count(*) + 4 AS n FROM tk GROUP BY 1, 2), sr AS ({SEQUENCE_RULES})
+@query("f14_sequence_contract", "v_lead v_bends v_annot", step(tk="t04_insert_postfix_labels") + f""", sl AS (SELECT source_id, phrase_index, {SEQUENCE_NUMBER} AS number, count(*) + 4 AS n FROM tk GROUP BY 1, 2), sr AS ({SEQUENCE_RULES})
 SELECT source_id, phrase_index, rule FROM sl JOIN sr USING (number) UNION ALL SELECT source_id, phrase_index, 'too long' FROM sl WHERE n + CASE number WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END > 64""")
 def _(n, b, a):
     return c.sequence_issues(_recorded(n, b, a), 64)
@@ -121,7 +121,7 @@ rb AS (SELECT source_id, phrase_index, 'position falls' AS rule FROM rz WHERE ty
  UNION ALL SELECT source_id, phrase_index, 'slide up and down' FROM rl WHERE (value = 'SLIDE_UP' AND list_contains(held, 'SLIDE_DOWN')) OR (value = 'SLIDE_DOWN' AND list_contains(held, 'SLIDE_UP'))
  UNION ALL SELECT source_id, phrase_index, 'dead note with another label' FROM rl WHERE (value = 'DEAD_NOTE' AND list_has_any(held, ['SLIDE_UP', 'SLIDE_DOWN', 'VIBRATO'])) OR (value IN ('SLIDE_UP', 'SLIDE_DOWN', 'VIBRATO') AND list_contains(held, 'DEAD_NOTE'))
  UNION ALL SELECT source_id, phrase_index, 'mute does not alternate' FROM rz WHERE type = 'Technique' AND ((value = 'PALM_MUTE_ON' AND coalesce(mute = 'PALM_MUTE_ON', false)) OR (value = 'PALM_MUTE_OFF' AND NOT coalesce(mute = 'PALM_MUTE_ON', false))))"""
-@query("w14_token_state_audit", "v_notes v_bends", step(tk="t03_encode_events") + """, ty AS (SELECT *, split_part(token, '_', 1) AS type, substr(token, instr(token, '_') + 1) AS value FROM tk),
+@query("w14_token_state_audit", "v_lead v_bends", step(tk="t03_encode_events") + """, ty AS (SELECT *, split_part(token, '_', 1) AS type, substr(token, instr(token, '_') + 1) AS value FROM tk),
 tz AS (SELECT *, count(*) FILTER (type = 'Bar') OVER w - 1 AS bar, last_value(CASE WHEN type = 'Position' THEN CAST(value AS INT) END IGNORE NULLS) OVER w AS position FROM ty WINDOW w AS (PARTITION BY source_id, phrase_index ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 fa AS (SELECT source_id, phrase_index, count(*) FILTER (type = 'Position' AND position <= pp) AS falls FROM (SELECT *, lag(position) OVER (PARTITION BY source_id, phrase_index, bar, type ORDER BY pos) AS pp FROM tz) x GROUP BY 1, 2),
 pl AS (SELECT source_id, phrase_index, bar, position, count(*) AS n, count(DISTINCT value) AS d FROM tz WHERE type = 'Pitch' GROUP BY ALL),
@@ -131,16 +131,16 @@ def _(n, b):
     return t.state_audit(_encoded(n, b), 1)
 
 
-@query("w14_token_rules", "v_notes v_bends v_annot", LABELLED_TOKENS + f", {RULED} SELECT source_id, phrase_index, rule, count(*) AS n FROM rb GROUP BY 1, 2, 3")
+@query("w14_token_rules", "v_lead v_bends v_annot", LABELLED_TOKENS + f", {RULED} SELECT source_id, phrase_index, rule, count(*) AS n FROM rb GROUP BY 1, 2, 3")
 def _(n, b, a):
     return c.token_rules(t.typed(_encoded(n, b, a)), 1, 16)
 
 
 #: Sequences of over so many ids are no training rows.
-LONGEST = 64
+LONGEST = 40
 
 
-@query("x06_tokenize", "v_notes v_bends v_annot v_sources", step(tk="t04_insert_postfix_labels", sk="k03_assign_splits") + f""", xl AS (SELECT source_id, phrase_index, count(*) + 4 AS n FROM tk GROUP BY 1, 2)
+@query("x06_tokenize", "v_lead v_bends v_annot v_sources", step(tk="t04_insert_postfix_labels", sk="k03_assign_splits") + f""", xl AS (SELECT source_id, phrase_index, count(*) + 4 AS n FROM tk GROUP BY 1, 2)
 SELECT split, count(*) FILTER (n <= {LONGEST}) AS sequences, CAST(coalesce(sum(n) FILTER (n <= {LONGEST}), 0) AS BIGINT) AS total_tokens, min(n) FILTER (n <= {LONGEST}) AS min_tokens, max(n) FILTER (n <= {LONGEST}) AS max_tokens, round(avg(n) FILTER (n <= {LONGEST}), 6) AS mean_tokens,
  count(*) FILTER (n > {LONGEST}) AS failures FROM xl JOIN sk USING (source_id) GROUP BY GROUPING SETS ((split), ())""")
 def _(n, b, a, d):
@@ -148,7 +148,7 @@ def _(n, b, a, d):
     return t.tokenize_summary(sequences, failures, _splits(d))
 
 
-@query("x06_failures", "v_notes v_bends v_annot", step(tk="t04_insert_postfix_labels") + f" SELECT source_id, phrase_index, 'too long' AS rules FROM tk GROUP BY 1, 2 HAVING count(*) + 4 > {LONGEST}")
+@query("x06_failures", "v_lead v_bends v_annot", step(tk="t04_insert_postfix_labels") + f" SELECT source_id, phrase_index, 'too long' AS rules FROM tk GROUP BY 1, 2 HAVING count(*) + 4 > {LONGEST}")
 def _(n, b, a):
     return t.tokenized(_encoded(n, b, a), ton.infer(n), LONGEST)[1]
 
@@ -163,7 +163,7 @@ ar AS (SELECT source_id, phrase_index, 'overlap of one pitch' AS reason FROM (SE
  UNION ALL SELECT source_id, phrase_index, 'prefix not kept' FROM tr WHERE source_id % 6 = 1 UNION ALL SELECT source_id, phrase_index, 'source unknown' FROM tr WHERE source_id % 10 = 3)"""
 
 
-@query("x08_audit_samples", "v_notes v_bends", X08 + " SELECT source_id, phrase_index, coalesce(string_agg(DISTINCT reason, '; ' ORDER BY reason), '') AS reasons FROM tr LEFT JOIN ar USING (source_id, phrase_index) GROUP BY 1, 2")
+@query("x08_audit_samples", "v_lead v_bends", X08 + " SELECT source_id, phrase_index, coalesce(string_agg(DISTINCT reason, '; ' ORDER BY reason), '') AS reasons FROM tr LEFT JOIN ar USING (source_id, phrase_index) GROUP BY 1, 2")
 def _(n, b):
     asked = ton.infer(n).select("source_id", F.when(F.col("source_id") % 6 == 1, "NONE").otherwise(F.col("tonic")).alias("tonic"), "mode")
     known = n.select("source_id").distinct().filter("source_id % 10 <> 3")
@@ -201,7 +201,7 @@ def _(d):
     return q.batch_widths(q.lengths(d), 4)
 
 
-@query("w11_padded_batches", "v_notes v_bends v_annot v_cover", WRAP + f""", wi AS (SELECT source_id * 100 + phrase_index AS sequence_id, source_id, list(id ORDER BY pos) AS ids FROM wr JOIN vc USING (token) GROUP BY source_id, phrase_index),
+@query("w11_padded_batches", "v_lead v_bends v_annot v_cover", WRAP + f""", wi AS (SELECT source_id * 100 + phrase_index AS sequence_id, source_id, list(id ORDER BY pos) AS ids FROM wr JOIN vc USING (token) GROUP BY source_id, phrase_index),
 wb AS (SELECT *, len(ids) - 1 AS n, row_number() OVER (ORDER BY sequence_id) - 1 AS r FROM wi), wx AS (SELECT *, max(n) OVER (PARTITION BY r // 4) AS width FROM wb)
 SELECT sequence_id, r // 4 AS batch, CAST(r % 4 AS INT) AS place, n AS length, array_to_string(list_concat(ids[1:n], list_transform(range(width - n), lambda x: 0)), ' ') AS input_ids, array_to_string(list_concat(ids[2:n + 1], list_transform(range(width - n), lambda x: 0)), ' ') AS target_ids,
  width - n AS n_masked, len(list_filter(ids[1:n], lambda x: coverage = 'UNLABELED' AND x BETWEEN {t.id_of('Duration')} AND {t.id_of('Tempo') - 1})) AS n_unknown FROM wx JOIN v_cover USING (source_id)""")
@@ -275,7 +275,7 @@ def _(d):
     return r.compare_summary(summary(sized.filter("source_id % 100 <> 7")), summary(sized), "split", 1e-12)
 
 
-@query("s12_write_sequences", "v_notes v_bends v_annot v_sources", step(tk="t04_insert_postfix_labels", sk="k03_assign_splits") + "SELECT source_id, phrase_index, split, count(*) + 4 AS n_tokens FROM tk JOIN sk USING (source_id) GROUP BY 1, 2, 3")
+@query("s12_write_sequences", "v_lead v_bends v_annot v_sources", step(tk="t04_insert_postfix_labels", sk="k03_assign_splits") + "SELECT source_id, phrase_index, split, count(*) + 4 AS n_tokens FROM tk JOIN sk USING (source_id) GROUP BY 1, 2, 3")
 def _(n, b, a, d):
     spark = n.sparkSession
     rows = _wrapped(n, b, a).join(_splits(d), "source_id")

@@ -17,6 +17,12 @@ SELECT user_id AS source_id,
        {_TICK} + 1 + CAST(floor(value) AS BIGINT) AS end_tick,
        CAST(40 + event_id % 49 AS INT) AS pitch, CAST(1 + event_id % 127 AS INT) AS velocity
 FROM events""",
+    # the notes of each source's chosen track: no drums, ten notes or more, all of them from 41 to 87, most notes, lowest index
+    "v_lead": """
+SELECT n.source_id, n.instrument_index, n.is_drum, n.seq, n.onset_tick, n.end_tick, n.pitch, n.velocity FROM v_notes n
+JOIN (SELECT source_id, instrument_index FROM (SELECT source_id, instrument_index, row_number() OVER (PARTITION BY source_id ORDER BY count(*) DESC, instrument_index) AS r FROM v_notes
+      GROUP BY source_id, instrument_index HAVING count(*) >= 10 AND min(pitch) >= 41 AND max(pitch) <= 87 AND NOT bool_or(is_drum)) t WHERE r = 1) k ON k.source_id = n.source_id AND k.instrument_index = n.instrument_index""",
+    "v_listed": "SELECT source_id, path, content, lang, n_chars FROM v_sources WHERE lang = 'en'",
     "v_notes_dup": """
 SELECT source_id, instrument_index, is_drum, seq, onset_tick, end_tick, pitch, velocity FROM v_notes
 UNION ALL
