@@ -25,9 +25,10 @@ def pair_notes(messages: DataFrame) -> DataFrame:
     low = F.least(F.lit(0), F.coalesce(F.min("s").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     used = signed.withColumn("low", low).filter("on_flag = 1 OR s >= low")
     ranked = used.withColumn("rn", F.row_number().over(Window.partitionBy(*KEY, "on_flag").orderBy("ord")))
-    ons = ranked.filter("on_flag = 1").select(*KEY, "rn", F.col("ord").alias("on_ord"), F.col("tick").alias("onset_tick"), "velocity")
-    offs = ranked.filter("on_flag = 0").select(*KEY, "rn", F.col("ord").alias("off_ord"), F.col("tick").alias("end_tick"))
-    return ons.join(offs, [*KEY, "rn"], "left").drop("rn")
+    # the on and the off of one rank meet in the partition where they were ranked
+    of = lambda flag, c, name: F.max(F.when(F.col("on_flag") == flag, F.col(c))).alias(name)
+    pairs = ranked.groupBy(*KEY, "rn").agg(of(1, "ord", "on_ord"), of(1, "tick", "onset_tick"), of(1, "velocity", "velocity"), of(0, "ord", "off_ord"), of(0, "tick", "end_tick"))
+    return pairs.filter("on_ord IS NOT NULL").select(*KEY, "on_ord", "onset_tick", "velocity", "off_ord", "end_tick")
 
 
 def overlap_violations(messages: DataFrame) -> DataFrame:
