@@ -104,7 +104,7 @@ def measures(text: Column) -> Column:
         out = {
             "n_words": F.size(words),
             "word_chars": F.length(_without(whole, BLANKS)),
-            "n_symbols": F.length(whole) - F.length(_without(whole, SYMBOLS)),
+            "n_symbols": F.regexp_count(whole, F.lit(f"[{SYMBOLS}]")),
             "n_lines": F.size(lines),
             "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
             "n_repeat_words": _repeated_words(words),
@@ -133,7 +133,8 @@ def quality(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE_R
     """docs with its measures, the names of failed rules, base_failed and kept.
 
     Null and empty texts have no words and fail the base rules. Repeated rows are judged
-    alike. A column of docs that has the name of an output column is replaced.
+    alike; an empty table stays empty. A column of docs that has the name of an output column
+    is replaced.
     """
     out = (*MEASURES, "failed_base", "failed_rules", "base_failed", "kept")
     judged = docs.withColumn("__verdict", verdict(text_of(text), base, rules))
