@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -139,12 +140,13 @@ class PieceCounter:
         return total
 
 
-_COUNTERS: dict[str, PieceCounter] = {}
+_COUNTERS: dict[str, tuple[str, PieceCounter]] = {}
 
 
-def piece_counter(path: str, known: dict[str, int]) -> PieceCounter:
-    """One counter for each worker and model; its cache lasts over tasks."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PieceCounter(path, known)
-    _COUNTERS[path].known = known
-    return _COUNTERS[path]
+def piece_counter(path: str, key: str = "", words: str = "", sizes: Sequence[int] = ()) -> PieceCounter:
+    """The worker's counter for a model, whose cache lasts over tasks; the table of known words, parted by spaces, is made once for each key."""
+    held, counter = _COUNTERS.get(path) or (None, PieceCounter(path, {}))
+    if held != key:
+        counter.known = dict(zip(words.split(" "), map(int, sizes), strict=True)) if len(sizes) else {}
+        _COUNTERS[path] = key, counter
+    return counter

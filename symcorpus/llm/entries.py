@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, packing, pfor, quality, sentences, simhash, substrings, token_counts
+from . import alignment, chat, media, mixing, packing, periods, pfor, quality, sentences, simhash, substrings, token_counts, toxicity
 from .shared import table
 
 END_ID = 2
@@ -80,8 +80,39 @@ def op10_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_sentences", "n_removed", F.length("kept").cast("long").alias("kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of two tokenizations of every text; null, empty and changed texts have zeros."""
+    docs = table(spark, sf_dir, "documents")
+    return alignment.link_report(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every text, one of ten with a periodic tail; null and empty texts have no words."""
+    found = periods.word_runs(table(spark, sf_dir, "documents"), made=True)
+    no_run = F.lit(None).cast("struct<start:int,length:int,period:int>")
+    higher = lambda a, b: a["length"].cast("long") * b["period"] > b["length"].cast("long") * a["period"]
+    # runs come by start, then period, so the first of equals stays
+    best = F.aggregate("runs", no_run, lambda a, b: F.when(a.isNull() | higher(b, a), b).otherwise(a))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    told = found.select("doc_id", "runs", "collapsed", best.alias("best"), F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").alias("lines"))
+    return told.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").cast("long").alias(c) for c in ("start", "length", "period")],
+        F.expr("CAST(1000 * CAST(best.length AS BIGINT) DIV best.period AS BIGINT)").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every text by a model of labelled rows that aren't held out; n_passages counts its toxic passages."""
+    judged = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "held_out", "score", "predicted", "n_words", "n_passages")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_gif_media, op2_simhash, op3_quality, op4_mix, op5_token_counts, op6_chat, op7_token_files, op8_suffix_dedup, op9_pack, op10_sentence_dedup)
+    own = (op1_gif_media, op2_simhash, op3_quality, op4_mix, op5_token_counts, op6_chat, op7_token_files, op8_suffix_dedup, op9_pack, op10_sentence_dedup, op11_alignment, op12_periodic_runs, op13_toxicity)
     return {f.__name__: f for f in own}
 
 

@@ -27,10 +27,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+def saved(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Writes df once to the shared folder and reads it back: later steps survive lost executors."""
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.saved_at = path
     return back

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,17 +49,18 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", limit: int = L
     """(doc_id, n_bytes, n_tokens, over_limit) for each row; a null text is empty and has no tokens.
 
     The frequent pre-tokens (FREQUENT words of at most MOST_CHARS characters) are broadcast as
-    one string with one byte a word for its length in tokens; others are encoded once and kept
-    in the worker's bounded cache. Nothing is shuffled. Texts that cannot be cut surely are
+    one string with two bytes a word for its length in tokens (a character has four byte tokens at
+    most, so a word has 4 * MOST_CHARS + 1); a worker makes its table of them once. Others are
+    encoded once and kept in the worker's bounded cache. Nothing is shuffled. Texts that cannot be cut surely are
     encoded whole. Repeated rows stay, an empty table gives none, other columns are not read.
     """
     words = frequent_words(docs, text)
-    counter = piece_counter(model, {})
-    known = docs.sparkSession.sparkContext.broadcast((" ".join(words), bytes(len(counter.library.encode(w)) for w in words)))
+    counter = piece_counter(model)
+    sizes = np.array([len(counter.library.encode(w)) for w in words], np.uint16)
+    known = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, " ".join(words), sizes))
 
     def run(batches):
-        said, sizes = known.value
-        counter = piece_counter(model, dict(zip(said.split(" "), sizes, strict=True)) if sizes else {})
+        counter = piece_counter(model, *known.value)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([counter.count(t) for t in texts], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
