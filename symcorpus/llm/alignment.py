@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoders import _SPELLING, Encoder, byte_cut
-from .shared import freed, saved, text_of
+from .shared import freed, largest, saved, text_of
 
 #: Entries of one round of the product, and characters of the texts that are worked on at once, about.
 BLOCK = 1 << 20
@@ -313,7 +313,7 @@ def link_report(docs: DataFrame, path_a: str, path_b: str, text: str = "text", f
     # one row for each id of B at most
     most = counts.groupBy("b").agg(F.max("n").alias("most"))
     best = saved(counts.join(F.broadcast(most), "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best")), "pair-best")
-    table = best.orderBy(F.desc("n"), "a", "b").limit(frequent).toPandas()
+    table = largest(best, F.col("n"), frequent).toPandas()
     keys = table["a"].to_numpy(np.int64) << 32 | table["b"].to_numpy(np.int64)
     order = np.argsort(keys)
     spread = spark.sparkContext.broadcast((keys[order], table["n"].to_numpy(np.int64)[order], table["best"].to_numpy(bool)[order]))

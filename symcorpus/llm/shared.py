@@ -112,6 +112,36 @@ def looked_up(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFra
     return tagged.join(light, same, "left").select(*left.columns, F.coalesce("__hot", "__light").alias("found"))
 
 
+def largest(rows: DataFrame, size: Column, most: int) -> DataFrame:
+    """The rows of the largest sizes, `most` at most; sizes within an eighth of a doubling go together.
+
+    Rows are counted by steps of size (some hundreds at most, which the driver reads), so no
+    task and no list of each task's own largest is sorted. Sizes below 1 are left out.
+    """
+    step = F.floor(F.log2(size.cast("double")) * 8)
+    kept = rows.filter(size >= 1)
+    total, low = 0, None
+    for at, n in kept.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        total += n
+        if total > most:
+            break
+        low = at
+    return kept.filter(step >= low) if low is not None else kept.limit(0)
+
+
+def among(rows: DataFrame, keys: DataFrame, key: str, bits: int = 25) -> DataFrame:
+    """rows without those whose key is surely not in keys; some others may stay. Saves moving rows that a join would drop.
+
+    keys are hashed to 2 ** bits bits, held as longs in a broadcast table: 2 ** (bits - 6)
+    rows at most, however many keys there are.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    one = F.expr("shiftleft(1L, CAST(__at & 63 AS INT))")
+    held = keys.select(at.alias("__at")).groupBy(F.shiftright("__at", 6).alias("__word")).agg(F.bit_or(one).alias("__bits"))
+    asked = rows.withColumn("__at", at).withColumn("__word", F.shiftright("__at", 6))
+    return asked.join(F.broadcast(held), "__word").filter(F.col("__bits").bitwiseAND(one) != 0).drop("__word", "__bits", "__at")
+
+
 def freed(*frames: DataFrame) -> None:
     """Empties the folders of saved tables that nothing reads any more."""
     for df in frames:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved, text_of
+from .shared import among, freed, largest, saved, text_of
 
 #: Characters of the prefixes that stand behind a word, and of a word that count.
 PREFIXES = (4, 6, 8)
@@ -33,7 +33,7 @@ FEATURES = 200_000
 #: Scores of segments below this are noise; those of a p-value of at most SIGNIFICANT are passages.
 LEAST_SCORE = 2.0
 SIGNIFICANT = 0.05
-#: Labelled rows that the logistic curve is fitted on, at most.
+#: Labelled rows that the logistic curve is fitted on, about, at most.
 CURVE_ROWS = 20_000
 #: Distinct features that a task holds before it hands their counts on.
 HELD = 200_000
@@ -166,13 +166,16 @@ def remainder(doc_id: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic, fold) of each row of docs that has a label and isn't held out.
+    """(text, toxic, fold, pick) of each row of docs that has a label and isn't held out; pick is a hash of the id.
 
     The label of an id that has several is toxic if one of them is; null labels and null ids count for nothing.
+    Rows without a label are left out before texts move.
     """
-    said = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    some = docs.select("doc_id", text_of().alias("text"), remainder().alias("fold")).filter("fold != 1")
-    return some.join(said, "doc_id").select("text", "toxic", "fold")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    said = known.filter((remainder() != 1) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter(remainder() != 1)
+    joined = among(some, said, "doc_id").join(said.hint("merge"), "doc_id")
+    return joined.select("text", "toxic", remainder().alias("fold"), F.xxhash64("doc_id").alias("pick"))
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
@@ -207,12 +210,11 @@ def feature_counts(rows: DataFrame) -> DataFrame:
 
 
 def best_features(counts: DataFrame, toxic: int, clean: int, most: int = FEATURES) -> DataFrame:
-    """Features of two documents or more, `most` of them at most, by how far their share is from that of all documents."""
+    """Features of two documents or more, `most` of them at most, by how far their share is from that of all documents: a z of 1 or more."""
     share = toxic / (toxic + clean)
     one, n = F.col("a1") + F.col("b1"), F.col("a1") + F.col("a0") + F.col("b1") + F.col("b0")
     z = F.abs(one - n * share) / F.sqrt(n * (share * (1 - share)))
-    kept = counts.withColumn("z", z).filter((n >= 2) & (F.col("feature") != ""))
-    return kept.orderBy(F.desc("z"), "feature").limit(most).drop("z")
+    return largest(counts.withColumn("z", z).filter((n >= 2) & (F.col("feature") != "")), F.col("z"), most).drop("z")
 
 
 def fitted_tail(clean: list[tuple[float, float, float, float]]) -> Tail:
@@ -243,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FEATURES) -> Model:
 
     The texts of each fold are scored by the counts of the other fold, so the tail and the curve
     are those of unseen texts. All labelled rows count for features and tail; the curve is
-    fitted on CURVE_ROWS of them at most. Without rows of both labels every score is that share.
+    fitted on a part of them by the hash of their ids, CURVE_ROWS at most, about. Without rows of both labels every score is that share.
     """
     rows = saved(training_rows(docs, labels), "labelled")
     counts = saved(feature_counts(rows), "feature-counts")
@@ -262,15 +264,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FEATURES) -> Model:
         by = {fold: LogOdds(dict(zip(names, map(tuple, numbers[:, at : at + 2].tolist()), strict=True)), all_[at], all_[at + 1]) for fold, at in ((0, 2), (2, 0))}
         for b in batches:
             out = []
-            for text, toxic, fold in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
+            for text, toxic, fold, pick in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "fold", "pick")), strict=True):
                 scores = scored(text, by[int(fold)])
                 found = [s.score for s in segments(scores)]
-                out.append((int(toxic > 0), len(scores), max(found, default=0.0), [s for s in found if s >= LEAST_SCORE]))
-            columns = zip(*out, strict=True) if out else [[]] * 4
-            kinds = (pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["toxic", "n", "highest", "scores"])
+                out.append((pick, int(toxic > 0), len(scores), max(found, default=0.0), [s for s in found if s >= LEAST_SCORE]))
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["pick", "toxic", "n", "highest", "scores"])
 
-    seen = saved(rows.mapInArrow(run, "toxic int, n long, highest double, scores array<double>"), "segments")
+    seen = saved(rows.mapInArrow(run, "pick long, toxic int, n long, highest double, scores array<double>"), "segments")
     quiet = seen.filter("toxic = 0 AND n > 0").agg(F.count("*"), F.avg("highest"), F.var_samp("highest"), F.avg(F.ln("n")))
     tail = fitted_tail([tuple(r) for r in quiet.collect()])
 
@@ -279,8 +281,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FEATURES) -> Model:
             evidence = [tail.evidence(s, n) for s, n in zip(b.column("scores").to_pylist(), b.column("n").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(evidence, pa.float64())], ["toxic", "evidence"])
 
-    judged = seen.mapInArrow(judge, "toxic int, evidence double")
-    some = judged.orderBy(F.xxhash64("evidence", "toxic"), "evidence", "toxic").limit(CURVE_ROWS).toPandas()
+    parts = max(1, math.ceil((toxic + clean) / CURVE_ROWS))
+    picked = seen.filter(F.pmod("pick", F.lit(parts)) == 0).orderBy("pick", "toxic", "n", "highest")
+    some = picked.mapInArrow(judge, "toxic int, evidence double").toPandas()
+    freed(rows, counts, seen)
     slope, offset = fitted_curve(np.log1p(some["evidence"].to_numpy()), some["toxic"].to_numpy().astype(float))
     return Model({f: (int(x[0] + x[2]), int(x[1] + x[3])) for f, x in zip(names, numbers, strict=True)}, toxic, clean, tail, slope, offset)
 
