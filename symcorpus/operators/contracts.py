@@ -177,3 +177,8 @@ def limit_issues(annotations: DataFrame, notes: DataFrame, ranges: DataFrame, li
     both = own.join(ranges.groupBy("source_id").agg(F.count("*").alias("n_ranges")), "source_id", "full_outer").join(muted, "source_id", "left").fillna(0)
     rows = both.select("source_id", (F.col("declared") + F.col("n_ranges")).alias("declared"), (F.col("declared") + F.col("n_muted")).alias("expanded"))
     return rows.filter((F.col("declared") > limit) | (F.col("expanded") > limit))
+
+
+def repeated_keys(rows: DataFrame, *keys: str) -> DataFrame:
+    """Values of the keys that several rows share, and how many."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")

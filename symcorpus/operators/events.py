@@ -49,41 +49,26 @@ def dedupe_counts(notes: DataFrame) -> DataFrame:
     return once.groupBy("source_id", "instrument_index").agg(F.sum("n").alias("raw"), F.count("*").alias("unique_notes"), (F.sum("n") - F.count("*")).alias("collapsed"))
 
 
-def track_profile(notes: DataFrame, bends: DataFrame) -> DataFrame:
-    tracks = notes.groupBy("source_id", "instrument_index").agg(F.count("*").alias("n_notes"), F.min("pitch").alias("min_pitch"), F.max("pitch").alias("max_pitch"), F.bool_or("is_drum").alias("is_drum"))
-    wheel = bends.groupBy("source_id").agg(F.count("*").alias("n_bends"), F.count_if(F.col("value") != 0).alias("n_expressive"))
-    return tracks.join(wheel, "source_id", "left").fillna(0, ["n_bends", "n_expressive"])
-
-
-def issues_to_reason(profile: DataFrame, low: int, high: int, least: int) -> DataFrame:
-    """All rules in order; a track without issues is compatible."""
-    rules = [(F.col("is_drum"), "drum track"), (F.col("n_notes") < least, "too few notes"), ((F.col("min_pitch") < low) | (F.col("max_pitch") > high), "pitch out of range")]
-    issues = F.filter(F.array(*[F.when(bad, F.lit(text)) for bad, text in rules]), lambda x: x.isNotNull())
-    return profile.withColumn("issues", issues).withColumn("compatible", F.size("issues") == 0).withColumn("reason", F.array_join("issues", "; "))
-
-
-def track_rules(profile: DataFrame, low: int, high: int, least: int) -> DataFrame:
-    """By source: tracks of drums, of too few notes, and with a pitch outside the range."""
-    outside = (F.col("min_pitch") < low) | (F.col("max_pitch") > high)
-    return profile.groupBy("source_id").agg(F.count_if("is_drum").alias("drums"), F.count_if(F.col("n_notes") < least).alias("short"), F.count_if(outside).alias("outside"))
-
-
-def select_track(tracks: DataFrame) -> DataFrame:
-    """The track of most notes of each source, the lowest index of equals."""
-    rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("n_notes"), "instrument_index"))
-    return tracks.withColumn("rank", rank).filter("rank = 1").drop("rank")
-
-
-def constant_tempo(tempi: DataFrame, tolerance: float) -> DataFrame:
-    """First tempo, number of events, and whether any is off it or not a positive number."""
+def constant_tempo(tempi: DataFrame, tolerance: float, sources: DataFrame | None = None, default: float = 120.0) -> DataFrame:
+    """First tempo, number of events, and whether any is off it or not a positive number; given sources without events have the default."""
+    if sources is not None:
+        found = constant_tempo(tempi, tolerance)
+        return sources.select("source_id").distinct().join(found, "source_id", "left").fillna(default, ["first_bpm"]).fillna(0, ["n_events"]).fillna(False, ["varies"])
     first = tempi.groupBy("source_id").agg(F.min_by("bpm", "seq").alias("first_bpm"))
     off = (F.abs(F.col("bpm") - F.col("first_bpm")) > tolerance) | (F.col("bpm") <= 0) | F.isnan("bpm")
     return tempi.join(first, "source_id").groupBy("source_id", "first_bpm").agg(F.count("*").alias("n_events"), F.bool_or(off).alias("varies"))
 
 
-def meter_check(meters: DataFrame) -> DataFrame:
-    odd = F.when(~((F.col("numerator") == 4) & (F.col("denominator") == 4)), F.concat_ws("/", "numerator", "denominator"))
-    return meters.groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_set(odd)), ", ").alias("unsupported"))
+def meter_check(meters: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Distinct meters other than 4/4 by number, and all meters; given sources without one have it implied."""
+    text = lambda x: F.concat_ws("/", x["numerator"], x["denominator"])
+    pair = F.struct("numerator", "denominator")
+    said = lambda pairs: F.array_join(F.transform(F.array_sort(pairs), text), ", ")
+    odd = F.when(~((F.col("numerator") == 4) & (F.col("denominator") == 4)), pair)
+    by = meters.groupBy("source_id").agg(said(F.collect_set(odd)).alias("unsupported"), said(F.collect_set(pair)).alias("meters"))
+    if sources is None:
+        return by
+    return sources.select("source_id").distinct().join(by, "source_id", "left").fillna("", ["unsupported"]).fillna("4/4 (implicit)", ["meters"])
 
 
 def invalid_events(notes: DataFrame, bends: DataFrame) -> DataFrame:
@@ -92,23 +77,6 @@ def invalid_events(notes: DataFrame, bends: DataFrame) -> DataFrame:
     return bad_notes.join(bad_bends, "source_id", "full_outer").fillna(0)
 
 
-def bend_range_state(controls: DataFrame) -> DataFrame:
-    """Each data entry with the registered parameter that is selected when it comes, and the first issue of its source."""
-    order = Window.partitionBy("source_id").orderBy("tick", "seq")
-    of = lambda n: F.last(F.when(F.col("number") == n, F.col("value")), True).over(order)
-    at = controls.withColumn("msb", of(101)).withColumn("lsb", of(100)).withColumn("pos", F.row_number().over(order))
-    selected = (F.col("msb") == 0) & (F.col("lsb") == 0)
-    issue = (
-        F.when(~F.col("number").isin(6, 38, 100, 101), "unsupported controller")
-        .when(F.col("number").isin(6, 38) & ~F.coalesce(selected, F.lit(False)), "data entry without parameter")
-        .when((F.col("number") == 6) & (F.col("value") <= 0), "range not positive")
-    )
-    entry = F.when((F.col("number") == 6) & F.coalesce(selected, F.lit(False)), F.col("value"))
-    marked = at.withColumn("issue", issue).withColumn("entry", entry)
-    by = marked.groupBy("source_id").agg(F.min_by("issue", F.when(F.col("issue").isNotNull(), F.col("pos"))).alias("first_issue"), F.min("entry").alias("low"), F.max("entry").alias("high"))
-    return by.select("source_id", "first_issue", F.col("high").alias("bend_range"), (F.col("low") != F.col("high")).alias("varies"))
-
-
 def last_per_tick(bends: DataFrame) -> DataFrame:
     return bends.groupBy("source_id", "tick").agg(F.max_by("value", "seq").alias("value"))
 
@@ -263,6 +231,11 @@ def same_pitch_overlap(notes: DataFrame) -> DataFrame:
     return notes.withColumn("before", F.lag("end_tick").over(order)).filter("onset_tick < before").select("source_id", "instrument_index", "pitch", "seq")
 
 
+def repeated_identities(notes: DataFrame) -> DataFrame:
+    """Notes of a source that are there twice or more, by onset, end, pitch and velocity."""
+    return notes.groupBy("source_id", *NOTE).agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def note_index(notes: DataFrame) -> DataFrame:
     order = Window.partitionBy("source_id").orderBy("onset_tick", "pitch", "end_tick", "velocity", "seq")
     return notes.select("source_id", "seq", (F.row_number().over(order) - 1).alias("note_index"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from .events import NOTE, PHRASE, last_per_tick, phrase_window, range_label, sliced_bends
+from .inspection import Inspection
 from .tokens import TECHNIQUES
 
 FRAGMENT = ["source_id", "phrase_index", "semitones"]
@@ -27,27 +28,6 @@ class Limits(NamedTuple):
     augmented: tuple[str, ...] = ("train",)
 
 
-def choose_tracks(tracks: DataFrame, index: int | None = None) -> DataFrame:
-    """(source_id, instrument_index, reason) for each source of tracks (source_id, instrument_index, n_notes, compatible, reason).
-
-    The compatible track of most notes, the lowest index of equals; with an index that very
-    track. Where there is none, instrument_index is null and reason says why.
-    """
-    ranked = F.struct(-F.col("n_notes"), "instrument_index")
-    told = F.concat(F.lit("instrument "), F.col("instrument_index").cast("string"), F.lit(": "), F.col("reason"))
-    if index is None:
-        by = tracks.groupBy("source_id").agg(
-            F.min(F.when(F.col("compatible"), ranked)).alias("best"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("instrument_index", told.alias("told")))), lambda x: x["told"]), "; ").alias("all"),
-        )
-        why = F.concat(F.lit("no valid track ("), F.col("all"), F.lit(")"))
-        return by.select("source_id", F.col("best.instrument_index").alias("instrument_index"), F.when(F.col("best").isNull(), why).alias("reason"))
-    own = F.col("instrument_index") == index
-    by = tracks.groupBy("source_id").agg(F.max(F.col("instrument_index")).alias("last"), F.max(F.when(own, F.struct("compatible", "reason"))).alias("own"))
-    why = F.when(F.col("own").isNull(), F.concat(F.lit(f"track {index} asked, the last is "), F.col("last").cast("string"))).when(~F.col("own.compatible"), F.concat(F.lit(f"track {index} is invalid: "), F.col("own.reason")))
-    return by.select("source_id", F.when(why.isNull(), F.lit(index)).alias("instrument_index"), why.alias("reason"))
-
-
 def notes_of_tracks(notes: DataFrame, chosen: DataFrame) -> DataFrame:
     """Distinct notes of the chosen track of each source, under the least seq of equal ones."""
     own = chosen.filter("instrument_index IS NOT NULL").select("source_id", "instrument_index")
@@ -158,15 +138,23 @@ def fragments(phrases: DataFrame, wheel: DataFrame, labels: DataFrame, splits: D
     )
 
 
-def preprocess(notes: DataFrame, bends: DataFrame, ranges: DataFrame, tracks: DataFrame, splits: DataFrame, coverage: DataFrame, annotations: DataFrame, mutes: DataFrame, limits: Limits = Limits(), stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+def wheel_of_tracks(bends: DataFrame, found: Inspection) -> tuple[DataFrame, DataFrame]:
+    """The wheel of each source's chosen track, and (source_id, bend_range) of that track."""
+    own = found.sources.filter("instrument_index IS NOT NULL").select("source_id", "instrument_index")
+    return bends.join(own, ["source_id", "instrument_index"]).drop("instrument_index"), found.tracks.join(own, ["source_id", "instrument_index"]).select("source_id", "bend_range")
+
+
+def preprocess(notes: DataFrame, bends: DataFrame, found: Inspection, splits: DataFrame, coverage: DataFrame, annotations: DataFrame, mutes: DataFrame, limits: Limits = Limits(), stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """The whole stage: (sources with their track or the reason to discard them, fragments).
 
-    Tables are those of the operators above; tracks come from issues_to_reason. Every source
-    of tracks is in the first table once. stage is called on tables that several steps read;
-    writing them to a shared folder there keeps plans short.
+    Tables are those of the operators above; found comes from inspection.inspect, and only
+    compatible sources go on. Every inspected source is in the first table once. stage is called
+    on tables that several steps read; writing them to a shared folder there keeps plans short.
     """
-    chosen, splits, coverage = stage(choose_tracks(tracks)), stage(splits), stage(coverage)
-    clean, wheel, gone = normalized(stage(notes_of_tracks(notes, chosen)), bends, ranges, limits.cell)
+    found = found._replace(sources=stage(found.sources))
+    chosen, splits, coverage = found.sources.select("source_id", "instrument_index", "reason"), stage(splits), stage(coverage)
+    wheel, ranges = wheel_of_tracks(bends, found)
+    clean, wheel, gone = normalized(stage(notes_of_tracks(notes, chosen)), wheel, ranges, limits.cell)
     gone, phrases = stage(gone), stage(phrases_of(clean, limits.least_notes))
     made = fragments(phrases, wheel, phrase_labels(phrases, annotations, mutes, coverage), splits, limits).join(coverage, "source_id", "left").fillna("UNLABELED", ["coverage"])
     made = stage(made)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..operators import contracts
 from ..operators import events as e
 from ..operators import sequences as q
 from ..operators import splits as sp
@@ -121,7 +122,7 @@ def _(d):
 
 @query("p05_note_identity", "v_notes_dup", "SELECT source_id, onset_tick, end_tick, pitch, velocity, count(*) AS n FROM v_notes_dup GROUP BY ALL HAVING count(*) > 1")
 def _(d):
-    return d.groupBy("source_id", *e.NOTE).agg(F.count("*").alias("n")).filter("n > 1")
+    return e.repeated_identities(d)
 
 
 @query("p06_note_index", "v_notes", "SELECT source_id, seq, row_number() OVER (PARTITION BY source_id ORDER BY onset_tick, pitch, end_tick, velocity, seq) - 1 AS note_index FROM v_notes")
@@ -191,27 +192,23 @@ def _(d):
     return e.duplicate_end_mismatch(e.pair_notes(d))
 
 
-@query("f05_constant_tempo", "v_tempi", """
+@query("f05_constant_tempo", "v_tempi v_customers", """
 WITH f AS (SELECT source_id, arg_min(bpm, seq) AS first_bpm FROM v_tempi GROUP BY source_id)
-SELECT t.source_id, first_bpm, count(*) AS n_events, bool_or(abs(bpm - first_bpm) > 0.001 OR bpm <= 0) AS varies FROM v_tempi t JOIN f USING (source_id) GROUP BY t.source_id, first_bpm""")
-def _(d):
-    return e.constant_tempo(d, 0.001)
-
+SELECT c.source_id, coalesce(first_bpm, 120.0) AS first_bpm, count(t.seq) AS n_events, coalesce(bool_or(abs(bpm - first_bpm) > 0.001 OR bpm <= 0), false) AS varies
+FROM v_customers c LEFT JOIN v_tempi t ON t.source_id = c.source_id LEFT JOIN f ON f.source_id = c.source_id GROUP BY c.source_id, first_bpm""")
+def _(d, c):
+    return e.constant_tempo(d, 0.001, c)
 
-@query("f06_meter_check", "v_meters", "SELECT source_id, coalesce(string_agg(DISTINCT m, ', ' ORDER BY m), '') AS unsupported FROM (SELECT source_id, CASE WHEN numerator <> 4 OR denominator <> 4 THEN numerator || '/' || denominator END AS m FROM v_meters) t GROUP BY source_id")
-def _(d):
-    return e.meter_check(d)
 
-
-@query("f07_bend_range_state", "v_controls", """
-WITH a AS (SELECT *, last_value(CASE WHEN number = 101 THEN value END IGNORE NULLS) OVER w AS msb, last_value(CASE WHEN number = 100 THEN value END IGNORE NULLS) OVER w AS lsb,
-  row_number() OVER w AS pos FROM v_controls WINDOW w AS (PARTITION BY source_id ORDER BY tick, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-b AS (SELECT *, coalesce(msb = 0 AND lsb = 0, false) AS sel FROM a),
-c AS (SELECT *, CASE WHEN number NOT IN (6, 38, 100, 101) THEN 'unsupported controller' WHEN number IN (6, 38) AND NOT sel THEN 'data entry without parameter' WHEN number = 6 AND value <= 0 THEN 'range not positive' END AS issue,
-  CASE WHEN number = 6 AND sel THEN value END AS entry FROM b)
-SELECT source_id, arg_min(issue, pos) FILTER (issue IS NOT NULL) AS first_issue, max(entry) AS bend_range, min(entry) <> max(entry) AS varies FROM c GROUP BY source_id""")
-def _(d):
-    return e.bend_range_state(d)
+@query("f06_meter_check", "v_meters v_file_meters v_file_headers", """
+WITH a AS (SELECT source_id, numerator, denominator FROM v_meters UNION SELECT CAST(source_id AS VARCHAR), numerator, denominator FROM v_file_meters),
+s AS (SELECT DISTINCT source_id FROM v_meters UNION SELECT CAST(source_id AS VARCHAR) FROM v_file_headers)
+SELECT s.source_id, coalesce(string_agg(numerator || '/' || denominator, ', ' ORDER BY numerator, denominator) FILTER (numerator <> 4 OR denominator <> 4), '') AS unsupported,
+  coalesce(string_agg(numerator || '/' || denominator, ', ' ORDER BY numerator, denominator), '4/4 (implicit)') AS meters FROM s LEFT JOIN a USING (source_id) GROUP BY 1""")
+def _(m, fm, fh):
+    text = F.col("source_id").cast("string").alias("source_id")
+    rows = m.select("source_id", "numerator", "denominator").union(fm.select(text, "numerator", "denominator"))
+    return e.meter_check(rows, m.select("source_id").union(fh.select(text)))
 
 
 @query("f09_invalid_events", "v_notes v_bends", """
@@ -222,45 +219,6 @@ def _(n, b):
     return e.invalid_events(n, b)
 
 
-PROFILE_SQL = """
-WITH t AS (SELECT source_id, instrument_index, count(*) AS n_notes, min(pitch) AS min_pitch, max(pitch) AS max_pitch, bool_or(is_drum) AS is_drum FROM v_notes GROUP BY 1, 2),
-b AS (SELECT source_id, count(*) AS n_bends, count(*) FILTER (value <> 0) AS n_expressive FROM v_bends GROUP BY 1),
-p AS (SELECT t.*, coalesce(n_bends, 0) AS n_bends, coalesce(n_expressive, 0) AS n_expressive FROM t LEFT JOIN b USING (source_id)),
-i AS (SELECT *, concat_ws('; ', CASE WHEN is_drum THEN 'drum track' END, CASE WHEN n_notes < 10 THEN 'too few notes' END, CASE WHEN min_pitch < 41 OR max_pitch > 87 THEN 'pitch out of range' END) AS reason FROM p) """
-
-
-@query("a02_track_profile", "v_notes v_bends", PROFILE_SQL + "SELECT * FROM p")
-def _(n, b):
-    return e.track_profile(n, b)
-
-
-@query("f11_issues_to_reason", "v_notes v_bends", PROFILE_SQL + "SELECT source_id, instrument_index, reason = '' AS compatible, reason FROM i")
-def _(n, b):
-    return e.issues_to_reason(e.track_profile(n, b), 41, 87, 10).select("source_id", "instrument_index", "compatible", "reason")
-
-
-@query("f10_track_rules", "v_notes v_bends", PROFILE_SQL + "SELECT source_id, count(*) FILTER (is_drum) AS drums, count(*) FILTER (n_notes < 10) AS short, count(*) FILTER (min_pitch < 41 OR max_pitch > 87) AS outside FROM p GROUP BY source_id")
-def _(n, b):
-    return e.track_rules(e.track_profile(n, b), 41, 87, 10)
-
-
-@query("k01_select_track", "v_notes v_bends", PROFILE_SQL + "SELECT source_id, instrument_index, n_notes FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY n_notes DESC, instrument_index) AS r FROM i WHERE reason = '') x WHERE r = 1")
-def _(n, b):
-    return e.select_track(e.issues_to_reason(e.track_profile(n, b), 41, 87, 10).filter("compatible")).select("source_id", "instrument_index", "n_notes")
-
-
-@query("a16_top_reasons", "v_notes v_bends", PROFILE_SQL + "SELECT reason, count(*) AS n FROM i WHERE reason <> '' GROUP BY reason ORDER BY n DESC, reason LIMIT 3")
-def _(n, b):
-    bad = e.issues_to_reason(e.track_profile(n, b), 41, 87, 10).filter("reason <> ''")
-    return bad.groupBy(F.substring(F.regexp_replace("reason", r"\s+", " "), 1, 180).alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(3)
-
-
-@query("s14_inspection_report", "v_notes v_bends", PROFILE_SQL + "SELECT count(*) AS inspected, count(*) FILTER (reason = '') AS compatible, count(*) FILTER (reason <> '') AS discarded FROM i")
-def _(n, b):
-    p = e.issues_to_reason(e.track_profile(n, b), 41, 87, 10)
-    return p.agg(F.count("*").alias("inspected"), F.count_if("compatible").alias("compatible"), F.count_if(~F.col("compatible")).alias("discarded"))
-
-
 @query("a01_dedupe_exact", "v_notes_dup", """
 SELECT source_id, instrument_index, CAST(sum(n) AS BIGINT) AS raw, count(*) AS unique_notes, CAST(sum(n) - count(*) AS BIGINT) AS collapsed
 FROM (SELECT source_id, instrument_index, onset_tick, end_tick, pitch, velocity, count(*) AS n FROM v_notes_dup GROUP BY ALL) t GROUP BY 1, 2""")
@@ -382,7 +340,7 @@ def _(d):
 
 @query("f15_unique_keys", "v_notes_dup", "SELECT onset_tick, pitch, count(*) AS n FROM v_notes_dup GROUP BY 1, 2 HAVING count(*) > 1")
 def _(d):
-    return d.groupBy("onset_tick", "pitch").agg(F.count("*").alias("n")).filter("n > 1")
+    return contracts.repeated_keys(d, "onset_tick", "pitch")
 
 
 @query("f23_same_pitch_overlap", "v_notes", "SELECT source_id, instrument_index, pitch, seq FROM (SELECT *, lag(end_tick) OVER (PARTITION BY source_id, instrument_index, pitch ORDER BY onset_tick, end_tick, velocity, seq) AS b FROM v_notes) t WHERE onset_tick < b")

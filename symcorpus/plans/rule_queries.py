@@ -17,24 +17,6 @@ from .registry import EXCLUDED, QUERIES, SCORE_SQL, SQL, query
 from .token_queries import _encoded, step
 
 
-def _issues(n: DataFrame, b: DataFrame) -> DataFrame:
-    return e.issues_to_reason(e.track_profile(n, b), 41, 87, 10)
-
-
-@query("u01_merge_records", "v_notes v_bends", step(i="f11_issues_to_reason", p="a02_track_profile") + "SELECT source_id, instrument_index, CASE WHEN compatible THEN 'accepted' ELSE 'discarded' END AS status, CASE WHEN compatible THEN n_notes END AS n_notes, CASE WHEN NOT compatible THEN reason END AS reason FROM i JOIN p USING (source_id, instrument_index)")
-def _(n, b):
-    rows = _issues(n, b)
-    good = rows.filter("compatible").select("source_id", "instrument_index", F.lit("accepted").alias("status"), "n_notes")
-    bad = rows.filter("NOT compatible").select("source_id", "instrument_index", F.lit("discarded").alias("status"), "reason")
-    return good.unionByName(bad, allowMissingColumns=True)
-
-
-@query("f12_compatible_only", "v_notes v_bends", step(i="f11_issues_to_reason", w="w03_phrase_window") + "SELECT source_id, phrase_index, count(*) AS num_notes FROM w JOIN v_notes n USING (source_id, seq) JOIN i USING (source_id, instrument_index) WHERE compatible GROUP BY 1, 2")
-def _(n, b):
-    good = _issues(n, b).filter("compatible").select("source_id", "instrument_index")
-    return e.phrase_window(n).join(good, ["source_id", "instrument_index"], "left_semi").groupBy("source_id", "phrase_index").agg(F.count("*").alias("num_notes"))
-
-
 SQL["u02_key_set_diff"] = "WITH k AS (SELECT event_id, json_keys(props::JSON) AS held FROM events) SELECT event_id, array_to_string(list_sort(list_filter(['k', 'v'], lambda x: NOT list_contains(held, x))), ',') AS missing, array_to_string(list_sort(list_filter(held, lambda x: NOT list_contains(['k', 'v'], x))), ',') AS unknown FROM k"
 SQL["s10_read_annotations"] = "SELECT event_id, CAST(json_extract(props::JSON, '$.k') AS INT) AS k, json_extract(props::JSON, '$.k') IS NOT NULL AND len(json_keys(props::JSON)) = 1 AND strlen(props) <= 1048576 AS valid FROM events"
 SQL["p17_run_stamp"] = "SELECT event_id, strftime(ts, '%Y%m%dT%H%M%SZ') || '-' || left(sha256(props), 10) AS stamp FROM events"

@@ -16,33 +16,32 @@ from ..operators import tokens as t
 from ..operators import tonality as ton
 from ..sources import runs
 from ..views import oracle, view
+from .inspection_queries import FILES, N_FILES, inspected
 from .registry import QUERIES, SQL, query
 from .token_queries import TONIC_LIST, step
 
 #: The given tables are sparse, so two notes make a phrase.
 LIMITS = st.Limits(least_notes=2)
-VIEWS = "v_notes v_bends v_controls v_sources v_sidecars v_annot v_ranges"
-
-
-def _tracks(n: DataFrame, b: DataFrame) -> DataFrame:
-    return e.issues_to_reason(e.track_profile(n, b), 41, 87, 10)
+VIEWS = f"{FILES} v_sources v_sidecars v_annot v_ranges"
 
 
 def _splits(d: DataFrame) -> DataFrame:
     return sp.assign_splits(sp.fingerprint(d)).select("source_id", "split")
 
 
-def _preprocessed(n, b, k, d, side, a, m) -> tuple[DataFrame, DataFrame]:
-    return st.preprocess(n, b, e.bend_range_state(k), _tracks(n, b), _splits(d), st.coverage_label(d, side), a, m, LIMITS, runs.staged)
+def _preprocessed(*tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    d, side, a, m = tables[N_FILES:]
+    return st.preprocess(tables[0], tables[1], inspected(*tables), _splits(d), st.coverage_label(d, side), a, m, LIMITS, runs.staged)
 
 
 def _text(techniques: str = "techniques"):
     return F.array_join(F.transform(techniques, lambda x: F.concat(x["type"], F.lit(":"), x["note_index"])), ",")
 
 
-NORMAL = """u AS (SELECT n.source_id, n.instrument_index, min(n.seq) AS seq, n.onset_tick, n.end_tick, n.pitch, n.velocity FROM {notes} n JOIN k USING (source_id, instrument_index) GROUP BY ALL),
+NORMAL = """wb AS (SELECT b.source_id, b.tick, b.value, b.seq FROM v_file_bends b JOIN k USING (source_id, instrument_index)), fr AS (SELECT source_id, bend_range FROM it JOIN k USING (source_id, instrument_index)),
+u AS (SELECT n.source_id, n.instrument_index, min(n.seq) AS seq, n.onset_tick, n.end_tick, n.pitch, n.velocity FROM v_notes_dup n JOIN k USING (source_id, instrument_index) GROUP BY ALL),
 ld AS (SELECT source_id, min(onset_tick) AS lead FROM u GROUP BY 1),
-bl AS (SELECT source_id, tick, arg_max(value, seq) AS value FROM v_bends GROUP BY 1, 2), bx AS (SELECT source_id FROM bl GROUP BY 1 HAVING bool_or(value <> 0)),
+bl AS (SELECT source_id, tick, arg_max(value, seq) AS value FROM wb GROUP BY 1, 2), bx AS (SELECT source_id FROM bl GROUP BY 1 HAVING bool_or(value <> 0)),
 gw AS (SELECT source_id, 'bends without a range' AS reason FROM bx JOIN ld USING (source_id) LEFT JOIN fr USING (source_id) WHERE coalesce(bend_range, 0) <= 0
   UNION ALL SELECT DISTINCT source_id, 'bend beyond six semitones' FROM bl JOIN bx USING (source_id) JOIN ld USING (source_id) JOIN fr USING (source_id) WHERE bend_range > 0 AND abs(value * bend_range / 8192.0) > 6 + 1e-9),
 ws AS (SELECT bl.source_id, tick - lead AS tick, CAST(round_even(value * bend_range / 6.0, 0) AS INT) AS x FROM bl JOIN bx USING (source_id) JOIN ld USING (source_id) JOIN fr USING (source_id) WHERE bend_range > 0),
@@ -53,19 +52,23 @@ mg AS (SELECT source_id, onset_tick, onset_tick + length AS end_tick, pitch, vel
 gn AS (SELECT source_id, min(reason) AS reason FROM (SELECT * FROM gw UNION ALL SELECT source_id, 'notes meet on the grid' FROM mg GROUP BY source_id, onset_tick, end_tick, pitch, velocity HAVING count(*) > 1) x GROUP BY 1)"""
 
 
-@query("x01_normalize_source", "v_notes v_notes_dup v_bends v_controls", step(k="k01_select_track", fr="f07_bend_range_state") + ", " + NORMAL.format(notes="v_notes_dup") + f", {GRID} " + """
+CHOSEN = step(so="f11_issues_to_reason", it="a02_track_profile", sk="k03_assign_splits") + ", k AS (SELECT source_id, instrument_index FROM so WHERE compatible), "
+
+
+@query("x01_normalize_source", f"{FILES} v_sources", CHOSEN + NORMAL + f", {GRID} " + """
 SELECT source_id, 'note' AS kind, onset_tick AS tick, end_tick, pitch, velocity, CAST(NULL AS INT) AS value FROM mg WHERE source_id NOT IN (SELECT source_id FROM gn)
 UNION ALL SELECT source_id, 'bend', tick, NULL, NULL, NULL, value FROM wc WHERE source_id NOT IN (SELECT source_id FROM gn)
 UNION ALL SELECT source_id, reason, NULL, NULL, NULL, NULL, NULL FROM gn""")
-def _(n, twice, b, k):
-    notes, wheel, gone = st.normalized(st.notes_of_tracks(twice, st.choose_tracks(_tracks(n, b))), b, e.bend_range_state(k), 120)
+def _(*tables):
+    found = inspected(*tables)
+    notes, wheel, gone = st.normalized(st.notes_of_tracks(tables[0], found.sources), *st.wheel_of_tracks(tables[1], found), 120)
     rows = notes.select("source_id", F.lit("note").alias("kind"), F.col("onset_tick").alias("tick"), "end_tick", "pitch", "velocity")
     rows = rows.unionByName(wheel.select("source_id", F.lit("bend").alias("kind"), "tick", "value"), allowMissingColumns=True)
     return rows.unionByName(gone.select("source_id", F.col("reason").alias("kind")), allowMissingColumns=True)
 
 
 RANK = f"list_position({t.TECHNIQUES}, type)"
-STAGE = step(k="k01_select_track", fr="f07_bend_range_state", sk="k03_assign_splits") + ", " + NORMAL.format(notes="v_notes") + f", {PLAIN}," + f"""
+STAGE = CHOSEN + NORMAL + f", {PLAIN}," + f"""
 pc AS (SELECT *, CAST(floor(onset_tick / 7680.0) AS BIGINT) AS phrase_index FROM mv WHERE source_id NOT IN (SELECT source_id FROM gn)),
 pw AS (SELECT source_id, instrument_index, seq, phrase_index, pitch, velocity, onset_tick - phrase_index * 7680 AS onset_tick, least(end_tick, (phrase_index + 1) * 7680) - phrase_index * 7680 AS end_tick, source_tick, source_end FROM pc WHERE least(end_tick, (phrase_index + 1) * 7680) > onset_tick),
 pn AS (SELECT *, row_number() OVER (PARTITION BY source_id, phrase_index ORDER BY onset_tick, pitch, end_tick, velocity, seq) - 1 AS note_index FROM pw QUALIFY count(*) OVER (PARTITION BY source_id, phrase_index) >= 2),
@@ -91,14 +94,12 @@ def _(*tables):
     return _preprocessed(*tables)[1].withColumn("techniques", _text()).select(*FRAGMENT_COLUMNS.split(", "))
 
 
-SOURCES = STAGE + """, tr AS (SELECT source_id, instrument_index, reason FROM ti), tk AS (SELECT source_id, string_agg('instrument ' || instrument_index || ': ' || reason, '; ' ORDER BY instrument_index) AS told, bool_or(reason = '') AS good FROM tr GROUP BY 1),
-nb AS (SELECT source_id, count(DISTINCT phrase_index) AS num_base_fragments FROM bn GROUP BY 1), nf AS (SELECT source_id, count(*) AS num_fragments FROM fx GROUP BY 1),
-so AS (SELECT tk.source_id, split, k.instrument_index, CASE WHEN NOT good THEN 'no valid track (' || told || ')' WHEN gn.reason IS NOT NULL THEN gn.reason WHEN num_base_fragments IS NULL THEN 'no phrase of enough notes' WHEN num_fragments IS NULL THEN 'no variant inside the pitches' END AS reason,
-  coalesce(num_base_fragments, 0) AS num_base_fragments, coalesce(num_fragments, 0) AS num_fragments FROM tk LEFT JOIN k USING (source_id) LEFT JOIN sk USING (source_id) LEFT JOIN gn USING (source_id) LEFT JOIN nb USING (source_id) LEFT JOIN nf USING (source_id))"""
-SOURCES = SOURCES.replace("WITH ", f"WITH ti AS ({SQL['f11_issues_to_reason']}), ", 1)
+SOURCES = STAGE + """, nb AS (SELECT source_id, count(DISTINCT phrase_index) AS num_base_fragments FROM bn GROUP BY 1), nf AS (SELECT source_id, count(*) AS num_fragments FROM fx GROUP BY 1),
+sz AS (SELECT so.source_id, split, so.instrument_index, CASE WHEN so.reason IS NOT NULL THEN so.reason WHEN gn.reason IS NOT NULL THEN gn.reason WHEN num_base_fragments IS NULL THEN 'no phrase of enough notes' WHEN num_fragments IS NULL THEN 'no variant inside the pitches' END AS reason,
+  coalesce(num_base_fragments, 0) AS num_base_fragments, coalesce(num_fragments, 0) AS num_fragments FROM so LEFT JOIN sk USING (source_id) LEFT JOIN gn USING (source_id) LEFT JOIN nb USING (source_id) LEFT JOIN nf USING (source_id))"""
 
 
-@query("x05_sources", VIEWS, SOURCES + " SELECT source_id, split, instrument_index, reason IS NULL AS compatible, reason, num_base_fragments, num_fragments FROM so")
+@query("x05_sources", VIEWS, SOURCES + " SELECT source_id, split, instrument_index, reason IS NULL AS compatible, reason, num_base_fragments, num_fragments FROM sz")
 def _(*tables):
     return _preprocessed(*tables)[0]
 
@@ -108,12 +109,6 @@ def _(*tables):
     return _preprocessed(*tables)[1].select("source_id", "phrase_index", "semitones", F.inline("techniques")).select("source_id", "phrase_index", "semitones", "note_index", "type")
 
 
-@query("k01_track_by_index", "v_notes v_bends", step(i="f11_issues_to_reason") + """ SELECT source_id, CASE WHEN bool_or(instrument_index = 1 AND compatible) THEN 1 END AS instrument_index,
- CASE WHEN NOT bool_or(instrument_index = 1) THEN 'track 1 asked, the last is ' || max(instrument_index) WHEN NOT bool_or(instrument_index = 1 AND compatible) THEN 'track 1 is invalid: ' || max(reason) FILTER (instrument_index = 1) END AS reason FROM i GROUP BY 1""")
-def _(n, b):
-    return st.choose_tracks(_tracks(n, b), 1)
-
-
 @query("t16_coverage_label", "v_sources v_sidecars", "SELECT source_id, CASE WHEN source_id IN (SELECT source_id FROM v_sidecars) THEN 'COMPLETE' ELSE 'UNLABELED' END AS coverage FROM v_sources")
 def _(d, side):
     return st.coverage_label(d, side)
@@ -226,7 +221,7 @@ def _write_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["s08_write_manifest"] = _write_manifest
-SQL["s08_write_manifest"] = oracle(SOURCES + " SELECT count(*) AS discovered_files, count(*) FILTER (reason IS NULL) AS compatible_sources, count(*) FILTER (reason IS NOT NULL) AS discarded_sources, (SELECT count(*) FROM fx) AS generated_fragments FROM so")
+SQL["s08_write_manifest"] = oracle(SOURCES + " SELECT count(*) AS discovered_files, count(*) FILTER (reason IS NULL) AS compatible_sources, count(*) FILTER (reason IS NOT NULL) AS discarded_sources, (SELECT count(*) FROM fx) AS generated_fragments FROM sz")
 QUERIES["s09_read_manifest"] = lambda spark, sf_dir: runs.read_manifest(spark, _published(spark, sf_dir)[0]).fragments.select(*FRAGMENT_COLUMNS.split(", "))
 SQL["s09_read_manifest"] = SQL["x05_preprocess"]
 

@@ -48,7 +48,37 @@ SELECT source_id, instrument_index AS track,
        on_flag, pitch, velocity
 FROM (SELECT source_id, instrument_index, onset_tick AS tick, 1 AS on_flag, pitch % 4 AS pitch, velocity, seq FROM v_notes WHERE seq % 89 <> 0
       UNION ALL
-      SELECT source_id, instrument_index, end_tick AS tick, 0 AS on_flag, pitch % 4 AS pitch, 0 AS velocity, seq FROM v_notes WHERE seq % 97 <> 0) m""",
+      SELECT source_id, instrument_index, end_tick AS tick, 0 AS on_flag, pitch % 4 AS pitch, 0 AS velocity, seq FROM v_notes WHERE seq % 97 <> 0
+      UNION ALL
+      SELECT source_id, instrument_index, onset_tick + 7 * k * (end_tick - onset_tick) AS tick, 1 - k AS on_flag, pitch % 4 AS pitch, (1 - k) * velocity AS velocity, seq FROM v_notes CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) t WHERE seq % 53 = 0) m""",
+    # the first stage's files: most rules are broken by some of them, and some break none
+    "v_file_messages": """
+SELECT source_id, instrument_index AS track, row_number() OVER (PARTITION BY source_id, instrument_index ORDER BY tick, on_flag, seq, more) AS ord,
+       tick - coalesce(lag(tick) OVER (PARTITION BY source_id, instrument_index ORDER BY tick, on_flag, seq, more), 0) AS delta, on_flag, pitch, velocity
+FROM (SELECT source_id, instrument_index, CASE WHEN k = 1 THEN onset_tick ELSE end_tick + more END AS tick, k AS on_flag, CASE WHEN source_id % 19 = 5 THEN pitch % 4 ELSE pitch END AS pitch, k * velocity AS velocity, seq, more
+      FROM v_notes CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) a CROSS JOIN (SELECT 0 AS more UNION ALL SELECT 1 AS more) b
+      WHERE (more = 0 OR (source_id % 19 = 6 AND seq % 5 = 0)) AND NOT (source_id % 19 = 3 AND k = 0 AND seq % 7 = 0)) m""",
+    "v_file_bends": f"""
+SELECT user_id AS source_id, CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS instrument_index, event_id AS seq, {_TICK} AS tick,
+       CAST(CASE WHEN event_id % 5 = 0 THEN 0 WHEN user_id % 29 = 7 AND event_id % 3 = 0 THEN 9000 ELSE (event_id * 37) % 16384 - 8192 END AS INT) AS value
+FROM events WHERE event_type IN ('click', 'view')""",
+    "v_file_controls": """
+SELECT source_id, instrument_index, k AS seq, CASE WHEN x = 7 AND k = 2 THEN -5 WHEN x = 8 THEN 44000 WHEN k < 5 THEN 0 ELSE 100 END AS tick,
+       CASE WHEN x = 3 AND k = 3 THEN 7 WHEN k IN (1, 5) THEN 101 WHEN k IN (2, 6) THEN 100 WHEN k IN (3, 7) THEN 6 ELSE 38 END AS number,
+       CASE WHEN x = 2 AND k = 2 THEN 1 WHEN x = 4 AND k = 3 THEN 0 WHEN x = 1 AND k = 8 THEN 25 WHEN k IN (3, 7) THEN CASE WHEN source_id % 23 = 0 THEN 12 ELSE 2 + source_id % 4 END WHEN k IN (4, 8) THEN 50 ELSE 0 END AS value
+FROM (SELECT source_id, instrument_index, k, source_id % 24 AS x FROM (SELECT DISTINCT source_id, instrument_index FROM v_notes WHERE instrument_index < 2) t
+      CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8) r) c
+WHERE x <> 9 AND NOT (x = 5 AND k > 2) AND NOT (x = 6 AND k = 3) AND (k NOT IN (4, 8) OR source_id % 3 = 0 OR x IN (1, 6))""",
+    "v_file_tempi": """
+SELECT source_id, k AS seq, CAST(CASE WHEN source_id % 31 = 1 THEN -1 WHEN source_id % 10 = 1 AND k = 2 THEN 60 ELSE 92 + source_id % 100 END AS DOUBLE) AS bpm
+FROM (SELECT DISTINCT source_id FROM v_notes) t CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) r WHERE source_id % 10 <> 4 AND (k = 1 OR source_id % 10 IN (1, 2))""",
+    "v_file_meters": """
+SELECT source_id, k AS seq, CASE WHEN source_id % 9 = 2 AND k = 1 THEN 10 WHEN source_id % 9 = 2 THEN 3 ELSE 4 END AS numerator, 4 AS denominator
+FROM (SELECT DISTINCT source_id FROM v_notes) t CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) r WHERE source_id % 9 <> 1 AND (k = 1 OR source_id % 9 = 2)""",
+    "v_file_headers": """
+SELECT source_id, CASE WHEN source_id % 20 = 3 THEN 2 WHEN source_id % 20 = 7 THEN 0 ELSE 1 END AS file_type, CASE WHEN source_id % 17 = 5 THEN 0 ELSE 480 END AS ppq, count(DISTINCT track) AS n_tracks
+FROM v_file_messages GROUP BY source_id""",
+    "v_file_meta": "SELECT DISTINCT source_id, track, CASE WHEN source_id % 13 = 4 THEN 'set_tempo' WHEN source_id % 13 = 8 AND track = 2 THEN 'time_signature' ELSE 'text' END AS kind FROM v_file_messages",
     "v_controls": f"""
 SELECT source_id, seq, tick,
        CASE WHEN source_id % 11 = 0 AND rn = 5 THEN 7 WHEN rn % 4 = 1 THEN 101 WHEN rn % 4 = 2 THEN 100 WHEN rn % 4 = 3 THEN 6 ELSE 38 END AS number,
@@ -56,6 +86,7 @@ SELECT source_id, seq, tick,
 FROM (SELECT user_id AS source_id, event_id AS seq, {_TICK} AS tick, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
       FROM events WHERE event_type = 'signup') c""",
     "v_tempi": "SELECT o_custkey AS source_id, o_orderkey AS seq, CASE WHEN o_custkey % 3 = 0 THEN 120.0 ELSE CAST(o_totalprice AS DOUBLE) END AS bpm FROM orders",
+    "v_customers": "SELECT c_custkey AS source_id FROM customer",
     "v_meters": "SELECT p_brand AS source_id, p_partkey AS seq, CASE WHEN p_size % 10 = 0 THEN 3 ELSE 4 END AS numerator, 4 AS denominator FROM part",
     "v_sources": "SELECT doc_id AS source_id, concat('data/raw/', source, '/', CAST(doc_id AS VARCHAR(20)), '.txt') AS path, text AS content, lang, n_chars FROM documents",
     "v_cover": "SELECT d.doc_id AS source_id, CASE WHEN l.doc_id IS NULL THEN 'UNLABELED' ELSE 'COMPLETE' END AS coverage, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",

@@ -16,19 +16,6 @@ def notes_of(spark, rows):
     return spark.createDataFrame([(s, 0, False, i, a, z, p, 90) for i, (s, a, z, p) in enumerate(rows)], NOTES)
 
 
-def tracks(spark, rows):
-    return spark.createDataFrame(rows, "source_id long, instrument_index int, n_notes long, compatible boolean, reason string")
-
-
-def test_the_longest_valid_track_is_chosen(spark):
-    given = tracks(spark, [(1, 0, 9, True, ""), (1, 1, 9, True, ""), (1, 2, 30, False, "drum track"), (2, 0, 3, False, "too few notes"), (2, 1, 40, False, "drum track")])
-    got = {r["source_id"]: (r["instrument_index"], r["reason"]) for r in stages.choose_tracks(given).collect()}
-    assert got == {1: (0, None), 2: (None, "no valid track (instrument 0: too few notes; instrument 1: drum track)")}
-    asked = {r["source_id"]: (r["instrument_index"], r["reason"]) for r in stages.choose_tracks(given, 2).collect()}
-    assert asked == {1: (None, "track 2 is invalid: drum track"), 2: (None, "track 2 asked, the last is 1")}
-    assert {r["source_id"]: r["instrument_index"] for r in stages.choose_tracks(given, 1).collect()} == {1: 1, 2: None}
-
-
 def test_notes_of_other_tracks_never_reach_a_phrase(spark):
     rows = [(1, 0, False, 0, 0, 480, 60, 90), (1, 0, False, 1, 0, 480, 60, 90), (1, 3, True, 2, 0, 480, 36, 90)]
     chosen = spark.createDataFrame([(1, 0, None)], "source_id long, instrument_index int, reason string")
