@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as s
 from ..operators import contracts as c
 from ..operators import events as e
+from ..operators import fitting
 from ..operators import rules as r
 from ..operators import sequences as q
 from ..operators import splits as sp
@@ -282,3 +283,63 @@ def _(n, b, a, d):
     ids, root = sp.run_id(sp.fingerprint(d)).first()[0], f"{runs.shared_root(spark)}/sequences"
     runs.publish(rows, root, ids, ["split"], t.PHRASE)
     return runs.read(spark, root, ids).select(*t.PHRASE, "split", F.size("ids").cast("long").alias("n_tokens"))
+
+
+#: The fit of the queries: every fifth sequence tunes the weights.
+SETTINGS = fitting.Settings(epochs=8, min_delta=0.0005, patience=2)
+
+
+def _fit_sql() -> str:
+    """The epochs written out one after the other, with the fold of early stopping beside them."""
+    mixed = lambda w: f"({w}.a * p0 + {w}.b * p1 + {w}.c * p2)"
+    parts = [step(sk="k03_assign_splits") + """, o AS (SELECT split, sequence_id % 5 = 0 AS tuning, prev, next FROM (SELECT sequence_id, token AS prev, lead(token) OVER (PARTITION BY sequence_id ORDER BY pos) AS next FROM v_words) x JOIN sk ON sk.source_id = sequence_id WHERE next IS NOT NULL AND split <> 'test'),
+pt AS (SELECT prev, next, count(*) FILTER (split = 'train' AND NOT tuning) AS nc, count(*) FILTER (split = 'train' AND tuning) AS nt, count(*) FILTER (split = 'validation') AS nv FROM o GROUP BY 1, 2),
+tp AS (SELECT prev, sum(nc) AS total FROM pt GROUP BY 1), tn AS (SELECT next, sum(nc) AS c FROM pt GROUP BY 1), ts AS (SELECT sum(c) AS n, count(*) AS v FROM tn),
+pp AS MATERIALIZED (SELECT CAST(nt AS DOUBLE) AS nt, CAST(nv AS DOUBLE) AS nv, CAST(1 AS DOUBLE) / v AS p0, CAST(c AS DOUBLE) / n AS p1, CASE WHEN total > 0 THEN CAST(nc AS DOUBLE) / total ELSE 0 END AS p2 FROM pt JOIN tp USING (prev) JOIN tn USING (next) CROSS JOIN ts WHERE nt + nv > 0),
+w0 AS (SELECT CAST(1 AS DOUBLE) / 3 AS a, CAST(1 AS DOUBLE) / 3 AS b, CAST(1 AS DOUBLE) / 3 AS c), s0 AS (SELECT CAST('inf' AS DOUBLE) AS best, 0 AS without)"""]
+    for k in range(1, SETTINGS.epochs + 1):
+        w, v = f"w{k - 1}", f"w{k}"
+        share = ", ".join(f"sum(nt * {w}.{x} * {p} / {mixed(w)}) / sum(nt) AS {x}" for x, p in zip("abc", ("p0", "p1", "p2"), strict=True))
+        parts.append(f"w{k} AS MATERIALIZED (SELECT {share}, -sum(nt * ln({mixed(w)})) / sum(nt) AS loss, CAST(sum(nt) AS BIGINT) AS n FROM pp CROSS JOIN {w})")
+        parts.append(f"v{k} AS MATERIALIZED (SELECT -sum(nv * ln({mixed(v)})) / sum(nv) AS loss, CAST(sum(nv) AS BIGINT) AS n FROM pp CROSS JOIN {v})")
+        better = f"v{k}.loss < best - {SETTINGS.min_delta}"
+        parts.append(f"s{k} AS MATERIALIZED (SELECT CASE WHEN {better} THEN v{k}.loss ELSE best END AS best, CASE WHEN without >= {SETTINGS.patience} THEN without WHEN {better} THEN 0 ELSE without + 1 END AS without FROM s{k - 1} CROSS JOIN v{k})")
+    rows = " UNION ALL ".join(
+        f"SELECT {k} AS epoch, '{phase}' AS phase, {t}{k}.loss AS loss, {t}{k}.n AS tokens, a AS uniform, b AS unigram, c AS bigram FROM w{k} CROSS JOIN v{k} CROSS JOIN s{k - 1} WHERE without < {SETTINGS.patience}"
+        for k in range(1, SETTINGS.epochs + 1) for phase, t in (("train", "w"), ("validation", "v"))
+    )
+    return ", ".join(parts) + f", hs AS ({rows})"
+
+
+FIT = _fit_sql()
+
+
+def _history(d):
+    rows = sp.assign_splits(sp.fingerprint(d)).select("source_id", "split", F.split("content", " ").alias("tokens"))
+    return fitting.fitted(rows, F.col("source_id") % 5 == 0, SETTINGS, runs.staged)
+
+
+@query("x07_history", "v_sources", FIT + " SELECT epoch, phase, round(loss, 5) AS loss, tokens, round(uniform, 5) AS uniform, round(unigram, 5) AS unigram, round(bigram, 5) AS bigram FROM hs")
+def _(d):
+    rounded = [F.round(c, 5).alias(c) for c in fitting.PARTS]
+    return _history(d).select("epoch", "phase", F.round("loss", 5).alias("loss"), "tokens", *rounded)
+
+
+@query("x07_stopping", "v_sources", FIT + f""", hv AS (SELECT epoch, loss FROM hs WHERE phase = 'validation'), hb AS (SELECT max(epoch) AS last FROM hv),
+hr AS (SELECT min(epoch) FILTER (abs(loss - (SELECT best FROM s{SETTINGS.epochs})) < 1e-12) AS best_epoch FROM hv)
+SELECT round((SELECT min(loss) FROM hv WHERE epoch = best_epoch), 5) AS best_loss, best_epoch, last - best_epoch AS epochs_without, CASE WHEN last - best_epoch >= {SETTINGS.patience} THEN last END AS stopped_epoch FROM hr CROSS JOIN hb""")
+def _(d):
+    told = e.early_stopping(fitting.phase_losses(_history(d)), SETTINGS.min_delta, SETTINGS.patience)
+    return told.select(F.round("best_loss", 5).alias("best_loss"), "best_epoch", "epochs_without", "stopped_epoch")
+
+
+@query("s13_history_scalars", "v_sources", FIT + """ SELECT 'loss/' || phase AS tag, epoch, round(loss, 4) AS value FROM hs UNION ALL SELECT 'perplexity/' || phase, epoch, round(exp(least(loss, 50)) / 100, 2) FROM hs
+UNION ALL SELECT 'weights/uniform', epoch, round(uniform, 4) FROM hs WHERE phase = 'train' UNION ALL SELECT 'weights/unigram', epoch, round(unigram, 4) FROM hs WHERE phase = 'train' UNION ALL SELECT 'weights/bigram', epoch, round(bigram, 4) FROM hs WHERE phase = 'train'""")
+def _(d):
+    perplexity = F.col("tag").startswith("perplexity")
+    return fitting.history_scalars(_history(d)).select("tag", "epoch", F.when(perplexity, F.round(F.col("value") / 100, 2)).otherwise(F.round("value", 4)).alias("value"))
+
+
+@query("w13_fitted_history", "v_sources", FIT + " SELECT count(*) = max(epoch) AND min(epoch) = 1 AS contiguous, bool_and(loss >= 0) AS finite, round(min(loss), 5) AS best_loss, arg_min(epoch, (loss, epoch)) AS best_epoch, max(epoch) - arg_min(epoch, (loss, epoch)) AS without FROM hs WHERE phase = 'validation'")
+def _(d):
+    return r.history_audit(fitting.phase_losses(_history(d))).select("contiguous", "finite", F.round("best_loss", 5).alias("best_loss"), "best_epoch", "without")
