@@ -303,7 +303,7 @@ w0 AS (SELECT CAST(1 AS DOUBLE) / 3 AS a, CAST(1 AS DOUBLE) / 3 AS b, CAST(1 AS
         parts.append(f"w{k} AS MATERIALIZED (SELECT {share}, -sum(nt * ln({mixed(w)})) / sum(nt) AS loss, CAST(sum(nt) AS BIGINT) AS n FROM pp CROSS JOIN {w})")
         parts.append(f"v{k} AS MATERIALIZED (SELECT -sum(nv * ln({mixed(v)})) / sum(nv) AS loss, CAST(sum(nv) AS BIGINT) AS n FROM pp CROSS JOIN {v})")
         better = f"v{k}.loss < best - {SETTINGS.min_delta}"
-        parts.append(f"s{k} AS MATERIALIZED (SELECT CASE WHEN {better} THEN v{k}.loss ELSE best END AS best, CASE WHEN without >= {SETTINGS.patience} THEN without WHEN {better} THEN 0 ELSE without + 1 END AS without FROM s{k - 1} CROSS JOIN v{k})")
+        parts.append(f"s{k} AS MATERIALIZED (SELECT CASE WHEN without < {SETTINGS.patience} AND {better} THEN v{k}.loss ELSE best END AS best, CASE WHEN without >= {SETTINGS.patience} THEN without WHEN {better} THEN 0 ELSE without + 1 END AS without FROM s{k - 1} CROSS JOIN v{k})")
     rows = " UNION ALL ".join(
         f"SELECT {k} AS epoch, '{phase}' AS phase, {t}{k}.loss AS loss, {t}{k}.n AS tokens, a AS uniform, b AS unigram, c AS bigram FROM w{k} CROSS JOIN v{k} CROSS JOIN s{k - 1} WHERE without < {SETTINGS.patience}"
         for k in range(1, SETTINGS.epochs + 1) for phase, t in (("train", "w"), ("validation", "v"))
