@@ -96,28 +96,58 @@ def unknown_mask(inputs: Column, coverage: Column, unknown_inputs: list) -> Colu
     return F.transform(inputs, lambda x: (coverage == "UNLABELED") & x.isin(unknown_inputs))
 
 
-def scored(predictions: DataFrame, excluded: list[int], k: int = 5) -> DataFrame:
-    """Per-row measures: full and objective loss, hits in the top 1 and k, and whether the argmax has the target's type."""
+def scored(predictions: DataFrame, excluded: list[int], types: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """Per-row measures: full and objective loss, and hits in the top 1 and k.
+
+    With types (id, type) of the vocabulary, also the target's type and whether the argmax has
+    it; they are broadcast, a row for each logit at most. An id without a type has none that agrees.
+    """
     logits = F.transform("logits", lambda x: x.cast("double"))
     rows = predictions.withColumn("logits", logits)
     best = scalars.argmax(F.col("logits"))
-    return rows.select(
-        "row_id", "target", "unknown",
+    measured = rows.select(
+        "row_id", "target", "unknown", best.alias("best"),
         scalars.nll(F.col("logits"), F.col("target")).alias("full_nll"),
         scalars.restricted_nll(F.col("logits"), F.col("target"), F.col("unknown"), excluded).alias("objective_nll"),
         (best == F.col("target")).alias("top1"),
         scalars.topk_hit(F.col("logits"), F.col("target"), k).alias("topk"),
-        (F.floor(best / 8) == F.floor(F.col("target") / 8)).alias("type_top1"),
     )
+    if types is None:
+        return measured.drop("best")
+    own = F.broadcast(types.select(F.col("id").alias("target"), "type"))
+    other = F.broadcast(types.select(F.col("id").alias("best"), F.col("type").alias("best_type")))
+    typed = measured.join(own, "target", "left").join(other, "best", "left")
+    return typed.withColumn("type_top1", F.coalesce(F.col("best_type") == F.col("type"), F.lit(False))).drop("best", "best_type")
 
 
-def token_metrics(rows: DataFrame, *by: str) -> DataFrame:
+def _measures() -> list[Column]:
     rate = lambda c: F.round(F.avg(F.col(c).cast("double")), 6)
     full, own = F.avg("full_nll"), F.avg("objective_nll")
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("tokens"), F.round(full, 6).alias("full_nll"), F.round(own, 6).alias("objective_nll"),
-        F.round(scalars.perplexity(own), 4).alias("perplexity"), rate("top1").alias("top1"), rate("topk").alias("top5"), rate("type_top1").alias("type_top1"),
-    )
+    return [
+        F.count("row_id").alias("tokens"), F.round(full, 6).alias("full_nll"), F.round(own, 6).alias("objective_nll"),
+        F.when(own.isNotNull(), F.round(scalars.perplexity(own), 4)).alias("perplexity"), rate("top1").alias("top1"), rate("topk").alias("top5"), rate("type_top1").alias("type_top1"),
+    ]
+
+
+def token_metrics(rows: DataFrame, *by: str) -> DataFrame:
+    """Token-weighted measures of scored rows with types; nulls where there is no row."""
+    return rows.groupBy(*by).agg(*_measures())
+
+
+def metrics_by_type(rows: DataFrame, types: DataFrame) -> DataFrame:
+    """(scope, type, measures): of all rows, of each type of the vocabulary, and of unknown positions.
+
+    One pass with grouping sets; every type is there, and the unknown slice too, with no tokens
+    and null measures where nothing falls on it.
+    """
+    slices = rows.select("row_id", "full_nll", "objective_nll", "top1", "topk", "type_top1", "type", F.when(F.col("unknown"), True).alias("unknown"))
+    cube = slices.groupingSets([[F.col("type")], [F.col("unknown")], []], F.col("type"), F.col("unknown")).agg(F.grouping_id("type", "unknown").alias("level"), *_measures())
+    scope = F.when(F.col("level") == 1, "type").when(F.col("level") == 2, "unknown").otherwise("all")
+    kept = cube.filter("level = 3 OR (level = 1 AND type IS NOT NULL) OR (level = 2 AND unknown)").select(scope.alias("scope"), F.coalesce("type", F.lit("")).alias("type"), *[c for c in cube.columns if c not in ("type", "unknown", "level")])
+    named = types.select(F.lit("type").alias("scope"), "type").distinct()
+    every = named.union(rows.sparkSession.createDataFrame([("all", ""), ("unknown", "")], "scope string, type string"))
+    # a row a type
+    return kept.join(F.broadcast(every), ["scope", "type"], "right").fillna(0, ["tokens"])
 
 
 def nucleus(logits: DataFrame, top_p: float) -> DataFrame:

@@ -385,14 +385,22 @@ def _(d):
     return d.join(q.vocabulary(d), "token").groupBy("sequence_id").agg(F.count("*").alias("n_tokens"), F.sum("id").alias("id_sum"))
 
 
+#: Eight ids of the given logits play each type of token.
+TYPE_NAMES = ["Special", "Bar", "Position", "Pitch", "Duration", "Tempo", "PitchBend", "Technique"]
+
+
+def types_of(d: DataFrame) -> DataFrame:
+    return d.sparkSession.createDataFrame([(i, TYPE_NAMES[i // 8]) for i in range(64)], "id int, type string")
+
+
 SCORE_SQL = """
 WITH a AS (SELECT row_id, target, unknown, CAST(logits AS DOUBLE[]) AS x FROM v_logits),
 b AS (SELECT *, list_max(x) AS m, list_position(x, list_max(x)) - 1 AS best, x[target + 1] AS own FROM a),
 c AS (SELECT *, m + ln(list_sum(list_transform(x, lambda v: exp(v - m)))) - own AS full_nll,
   CASE WHEN unknown THEN list_max(x[1:60]) + ln(list_sum(list_transform(x[1:60], lambda v: exp(v - list_max(x[1:60]))))) - own END AS rest FROM b),
 r AS (SELECT row_id, target, unknown, full_nll, coalesce(rest, full_nll) AS objective_nll, best = target AS top1,
-  len(list_filter(x, lambda v, i: v > own OR (v = own AND i - 1 < target))) < 5 AS topk, best // 8 = target // 8 AS type_top1 FROM c) """
-METRICS_SQL = "count(*) AS tokens, round(avg(full_nll), 6) AS full_nll, round(avg(objective_nll), 6) AS objective_nll, round(exp(least(avg(objective_nll), 50)), 4) AS perplexity, round(avg(top1::INT), 6) AS top1, round(avg(topk::INT), 6) AS top5, round(avg(type_top1::INT), 6) AS type_top1 FROM r"
+  len(list_filter(x, lambda v, i: v > own OR (v = own AND i - 1 < target))) < 5 AS topk, TYPES[best // 8 + 1] = TYPES[target // 8 + 1] AS type_top1, TYPES[target // 8 + 1] AS type FROM c) """.replace("TYPES", str(TYPE_NAMES))
+METRICS_SQL = "count(*) AS tokens, round(avg(full_nll), 6) AS full_nll, round(avg(objective_nll), 6) AS objective_nll, CASE WHEN count(objective_nll) > 0 THEN round(exp(least(avg(objective_nll), 50)), 4) END AS perplexity, round(avg(top1::INT), 6) AS top1, round(avg(topk::INT), 6) AS top5, round(avg(type_top1::INT), 6) AS type_top1 FROM r"
 EXCLUDED = [60, 61, 62, 63]
 
 
@@ -413,17 +421,19 @@ def _(d):
 
 @query("t15_type_top1", "v_logits", SCORE_SQL + "SELECT row_id, type_top1 FROM r")
 def _(d):
-    return q.scored(d, EXCLUDED).select("row_id", "type_top1")
+    return q.scored(d, EXCLUDED, types_of(d)).select("row_id", "type_top1")
 
 
 @query("a12_token_metrics", "v_logits", SCORE_SQL + "SELECT " + METRICS_SQL)
 def _(d):
-    return q.token_metrics(q.scored(d, EXCLUDED))
+    return q.token_metrics(q.scored(d, EXCLUDED, types_of(d)))
 
 
-@query("a13_metrics_by_type", "v_logits", SCORE_SQL + "SELECT target, unknown, " + METRICS_SQL + " GROUP BY target, unknown")
+@query("a13_metrics_by_type", "v_logits", SCORE_SQL + f""", u AS (SELECT 'all' AS scope, '' AS type UNION ALL SELECT 'unknown', '' UNION ALL SELECT 'type', unnest({TYPE_NAMES})),
+x AS (SELECT u.scope, u.type AS slice, r.* EXCLUDE (type) FROM u LEFT JOIN r ON u.scope = 'all' OR (u.scope = 'unknown' AND r.unknown) OR (u.scope = 'type' AND r.type = u.type))
+SELECT scope, slice AS type, """ + METRICS_SQL.replace("count(*)", "count(row_id)").replace("FROM r", "FROM x") + " GROUP BY ALL")
 def _(d):
-    return q.token_metrics(q.scored(d, EXCLUDED), "target", "unknown")
+    return q.metrics_by_type(q.scored(d, EXCLUDED, types_of(d)), types_of(d))
 
 
 @query("k06_truncate_topk", "v_logits", "SELECT row_id, len(list_filter(x, lambda v: v >= list_sort(x, 'DESC')[10])) AS kept, round(list_sum(list_filter(x, lambda v: v >= list_sort(x, 'DESC')[10])), 5) AS total FROM (SELECT row_id, CAST(logits AS DOUBLE[]) AS x FROM v_logits) t")

@@ -13,7 +13,7 @@ from ..operators import splits as sp
 from ..operators import tokens as t
 from ..sources import runs
 from ..views import view
-from .registry import EXCLUDED, QUERIES, SCORE_SQL, SQL, query
+from .registry import EXCLUDED, QUERIES, SCORE_SQL, SQL, query, types_of
 from .token_queries import _encoded, step
 
 
@@ -115,5 +115,5 @@ def _(d):
 
 @query("s13_metric_scalars", "v_logits", step(m="a12_token_metrics") + """SELECT 'metrics/validation/all/' || name AS tag, 1 AS epoch, round(value, 5) AS value FROM (UNPIVOT (SELECT full_nll::DOUBLE AS full_nll, objective_nll::DOUBLE AS objective_nll, perplexity::DOUBLE AS perplexity, top1::DOUBLE AS top1, top5::DOUBLE AS top5 FROM m) ON COLUMNS(*) INTO NAME name VALUE value) x""")
 def _(d):
-    report = q.token_metrics(q.scored(d, EXCLUDED)).withColumn("epoch", F.lit(1))
+    report = q.token_metrics(q.scored(d, EXCLUDED, types_of(d))).withColumn("epoch", F.lit(1))
     return r.metric_scalars(report, "validation", ["full_nll", "objective_nll", "perplexity", "top1", "top5"]).withColumn("value", F.round("value", 5))
