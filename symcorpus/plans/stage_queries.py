@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -226,6 +228,33 @@ QUERIES["s09_read_manifest"] = lambda spark, sf_dir: runs.read_manifest(spark, _
 SQL["s09_read_manifest"] = SQL["x05_preprocess"]
 
 
+def _prints(d: DataFrame) -> DataFrame:
+    return sp.fingerprint(d).select(F.col("source_id").alias("key"), "sha256")
+
+
+@query("s03_guarded_commit", "v_sources", """WITH b AS (SELECT source_id AS key, CASE WHEN source_id % 50 = 0 THEN 'removed' WHEN source_id % 50 = 1 THEN 'changed' END AS status, source_id % 3 AS part FROM v_sources),
+f AS (SELECT key, status FROM b WHERE status IS NOT NULL ORDER BY key LIMIT 5), n AS (SELECT count(*) AS n, count(*) FILTER (part = 1) AS m FROM b)
+SELECT 1 AS attempt, 'committed' AS outcome, n AS rows_of_current FROM n UNION ALL SELECT 2, (SELECT count(*) FILTER (status IS NOT NULL) FROM b) || ' inputs changed before publication: ' || (SELECT string_agg(key || ' (' || status || ')', ', ' ORDER BY key) FROM f), n FROM n
+UNION ALL SELECT 3, 'committed', m FROM n UNION ALL SELECT 4, 'version 2 of the current run was made by another writer', m FROM n UNION ALL SELECT 5, 'run fragments-one exists with other content', m FROM n""")
+def _(d):
+    """Five attempts on one root: a clean one, one whose inputs drift, a second version, one that follows a version already followed, another content under a known id."""
+    spark, root = d.sparkSession, f"{runs.shared_root(d.sparkSession)}/guarded-{uuid.uuid4().hex}"
+    sources = d.select("source_id", (F.col("source_id") % 2 == 0).alias("compatible"), F.lit("all").alias("split"))
+    part = lambda k: sources.filter(F.col("source_id") % 3 == k)
+    text = F.when(F.col("source_id") % 50 == 1, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    drifted = lambda: (_prints(d), _prints(d.filter("source_id % 50 <> 0").withColumn("content", text)))
+    tries = [("one", sources, lambda: (_prints(d), _prints(d)), None), ("two", part(0), drifted, None), ("three", part(1), None, 1), ("four", part(2), None, 1), ("one", part(2), None, None)]
+    told = []
+    for k, (name, rows, recheck, follows) in enumerate(tries, 1):
+        try:
+            runs.write_manifest(root, name, {}, sources, rows, recheck, follows)
+            outcome = "committed"
+        except (runs.Drift, runs.Conflict, ValueError) as stopped:
+            outcome = str(stopped)
+        told.append((k, outcome, runs.read_manifest(spark, root).fragments.count()))
+    return spark.createDataFrame(told, "attempt int, outcome string, rows_of_current long")
+
+
 @query("s07_publish_run", "v_notes v_sources", step(x="x02_transpose", sk="k03_assign_splits") + "SELECT source_id, phrase_index, semitones, num_notes, split FROM x JOIN sk USING (source_id)")
 def _(n, d):
     rows = e.transposed(e.phrase_window(n), -6, 6, 38, 90).join(_splits(d), "source_id")

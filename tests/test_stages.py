@@ -1,5 +1,7 @@
 """Hand-made cases of the first stage, of contracts, batches, histories, listings and manifests."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -187,3 +189,58 @@ def test_run_id_covers_configuration_and_sidecars(spark):
 def test_donor_ties_of_splits():
     assert splits.allocate_splits(4, (0.475, 0.475, 0.05)) == [1, 2, 1]
     assert splits.allocate_splits(0) == [0, 0, 0] and splits.allocate_splits(10**12) == [8 * 10**11, 10**11, 10**11]
+
+
+def _tables(spark):
+    sources = spark.createDataFrame([(1, True, "train"), (2, False, "none")], "source_id int, compatible boolean, split string")
+    return sources, spark.createDataFrame([(1, 0, "train"), (1, 1, "train")], "source_id int, phrase_index int, split string")
+
+
+def test_drift_stops_a_publication(spark, tmp_path):
+    sources, parts = _tables(spark)
+    before = spark.createDataFrame([(k, "x") for k in range(9)], "key int, sha256 string")
+    after = spark.createDataFrame([(k, "y" if k > 1 else "x") for k in range(1, 10)], "key int, sha256 string")
+    runs.write_manifest(str(tmp_path), "one", {}, sources, parts, lambda: (before, before))
+    with pytest.raises(runs.Drift, match=r"9 inputs .*: 0 \(removed\), 2 \(changed\), 3 \(changed\), 4 \(changed\), 5 \(changed\)$"):
+        runs.write_manifest(str(tmp_path), "two", {}, sources, parts, lambda: (before, after))
+    assert runs.read_manifest(spark, str(tmp_path)).run_id == "one"
+    with pytest.raises(ValueError, match="not declared"):
+        runs.read(spark, str(tmp_path), "fragments-two")
+
+
+def test_one_of_many_writers_declares(spark, tmp_path):
+    made = [runs.prepare(spark.createDataFrame([(k, "train")], "x int, split string"), str(tmp_path), "r") for k in (1, 2, 1)]
+
+    def attempt(m):
+        try:
+            return runs.declare(spark, str(tmp_path), "r", m)[1]
+        except (ValueError, runs.Conflict) as lost:
+            return type(lost).__name__
+
+    with ThreadPoolExecutor(12) as pool:
+        assert sum(pool.map(lambda k: runs.create_once(spark, f"{tmp_path}/once", str(k)), range(12))) == 1
+    assert [attempt(m) for m in made] == ["created", "ValueError", "reused"]
+    assert [r["x"] for r in runs.read(spark, str(tmp_path), "r", verify=True).collect()] == [1]
+
+
+def test_a_later_version_needs_the_one_it_follows(spark, tmp_path):
+    sources, parts = _tables(spark)
+    root = str(tmp_path)
+    runs.write_manifest(root, "one", {}, sources, parts)
+    runs.write_manifest(root, "two", {}, sources, parts.limit(1), follows=1)
+    with pytest.raises(runs.Conflict):
+        runs.write_manifest(root, "three", {}, sources, parts.limit(0), follows=1)
+    assert runs.read_manifest(spark, root).run_id == "two"
+    assert runs.write_manifest(root, "two", {}, sources, parts.limit(1), follows=1)["generated_fragments"] == 1  # says the same
+    assert runs.write_manifest(root, "none", {}, sources.limit(0), parts.limit(0)) == {"discovered_files": 0, "compatible_sources": 0, "discarded_sources": 0, "generated_fragments": 0}
+
+
+def test_rows_that_are_not_what_was_declared_are_refused(spark, tmp_path):
+    sources, parts = _tables(spark)
+    runs.write_manifest(str(tmp_path), "one", {}, sources, parts)
+    place = runs._entry(spark, str(tmp_path), "fragments-one")["place"]
+    parts.limit(1).write.mode("append").partitionBy("split").parquet(place)
+    with pytest.raises(ValueError, match="does not hold"):
+        runs.read_manifest(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="plain name"):
+        runs.publish(parts, str(tmp_path), "../x")
