@@ -6,15 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from .ranks import Keep, global_rank, looked_up
 
 
-def vocabulary(words: DataFrame) -> DataFrame:
-    """(token, id): the rank of each distinct token in binary order, counted in two steps by the first three characters."""
-    tokens = words.select("token").distinct().withColumn("head", F.substring("token", 1, 3))
-    sizes = tokens.groupBy("head").agg(F.count("*").alias("n"))
-    bases = sizes.select("head", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("head").orderBy("token"))
-    return tokens.join(bases, "head").select("token", (F.col("base") + rank - 1).alias("id"))
+def vocabulary(words: DataFrame, keep: Keep) -> DataFrame:
+    """(token, id): the rank of each distinct token in binary order."""
+    return global_rank(words.select("token").distinct(), ["token"], keep, "id")
+
+
+def ids_of(words: DataFrame, tokens: DataFrame, keep: Keep) -> DataFrame:
+    """words with the id of each token in (token, id), null where it is unknown; frequent tokens are not shuffled."""
+    return looked_up(words, tokens, "token", keep)
+
+
+def texts_of(ids: DataFrame, tokens: DataFrame, keep: Keep) -> DataFrame:
+    """Rows of ids with their tokens, the way back of ids_of."""
+    return looked_up(ids, tokens, "id", keep)
 
 
 def pairs_of(sequences: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -51,26 +58,22 @@ def overlong(words: DataFrame, limit: int) -> DataFrame:
     return lengths(words).filter(F.col("n_tokens") > limit).agg(F.count("*").alias("n_overlong"), F.min("sequence_id").alias("first_id"))
 
 
-def batch_ranks(sequences: DataFrame, size: int) -> DataFrame:
+def batch_ranks(sequences: DataFrame, size: int, keep: Keep) -> DataFrame:
     """sequences with `batch` and `place`: `size` sequences a batch in the order of sequence_id.
 
-    Ranks come in two steps, inside blocks of ids and over blocks, so no task ranks all rows.
     Repeated ids follow each other in the order of n_tokens.
     """
-    rows = sequences.withColumn("block", F.floor(F.col("sequence_id") / 4096))
-    sizes = rows.groupBy("block").agg(F.count("*").alias("n"))
-    bases = sizes.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rank = F.col("base") + F.row_number().over(Window.partitionBy("block").orderBy("sequence_id", "n_tokens")) - 1
-    return rows.join(bases, "block").withColumn("batch", F.floor(rank / size)).withColumn("place", (rank % size).cast("int")).drop("block", "base")
+    ranked = global_rank(sequences, ["sequence_id", "n_tokens"], keep, "_rank")
+    return ranked.withColumn("batch", F.floor(F.col("_rank") / size)).withColumn("place", (F.col("_rank") % size).cast("int")).drop("_rank")
 
 
-def batch_widths(sequences: DataFrame, size: int) -> DataFrame:
+def batch_widths(sequences: DataFrame, size: int, keep: Keep) -> DataFrame:
     """(sequence_id, batch, n_tokens, padding) from (sequence_id, n_tokens)."""
     width = F.max("n_tokens").over(Window.partitionBy("batch"))
-    return batch_ranks(sequences, size).select("sequence_id", "batch", "n_tokens", (width - F.col("n_tokens")).alias("padding"))
+    return batch_ranks(sequences, size, keep).select("sequence_id", "batch", "n_tokens", (width - F.col("n_tokens")).alias("padding"))
 
 
-def padded_batches(sequences: DataFrame, size: int, pad: int, unknown_inputs: list[int]) -> DataFrame:
+def padded_batches(sequences: DataFrame, size: int, pad: int, unknown_inputs: list[int], keep: Keep) -> DataFrame:
     """A row a sequence of (sequence_id, ids, coverage), padded to the longest of its batch of `size`.
 
     input_ids and target_ids are next-token pairs with pad behind; attention_mask marks what is
@@ -79,7 +82,7 @@ def padded_batches(sequences: DataFrame, size: int, pad: int, unknown_inputs: li
     """
     n = F.size("ids") - 1
     rows = sequences.withColumn("n_tokens", n.cast("long"))
-    rows = batch_ranks(rows, size).withColumn("width", F.max("n_tokens").over(Window.partitionBy("batch")).cast("int"))
+    rows = batch_ranks(rows, size, keep).withColumn("width", F.max("n_tokens").over(Window.partitionBy("batch")).cast("int"))
     tail = F.col("width") - F.col("n_tokens").cast("int")
     real = F.transform(F.sequence(F.lit(1), F.greatest("width", F.lit(1))), lambda k: k <= F.col("n_tokens"))
     cut = lambda at: F.concat(F.slice("ids", F.lit(at), F.col("n_tokens").cast("int")), F.array_repeat(F.lit(pad), tail))

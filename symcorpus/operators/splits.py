@@ -44,9 +44,9 @@ def assign_splits(sources: DataFrame, ratios: tuple[float, ...] = (0.8, 0.1, 0.1
     """Every source with a split, the same for equal content and for any input order.
 
     Groups are ranked by a seeded hash in two steps, within prefixes of the hash and over the
-    256 prefixes, so no task holds all groups; the driver holds their number alone.
+    4,096 prefixes, so no task holds all groups; the driver holds their number alone.
     """
-    groups = sources.select("sha256").distinct().withColumn("mark", F.sha2(F.concat(F.lit(seed), "sha256"), 256)).withColumn("prefix", F.substring("mark", 1, 2))
+    groups = sources.select("sha256").distinct().withColumn("mark", F.sha2(F.concat(F.lit(seed), "sha256"), 256)).withColumn("prefix", F.substring("mark", 1, 3))
     sizes = groups.groupBy("prefix").agg(F.count("*").alias("n"))
     before = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("prefix", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -12,6 +12,7 @@ from ..operators import contracts
 from ..operators import events as e
 from ..operators import sequences as q
 from ..operators import splits as sp
+from ..sources import runs
 from ..views import oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -382,7 +383,20 @@ def _(d):
 WITH v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM (SELECT DISTINCT token FROM v_words) x)
 SELECT sequence_id, count(*) AS n_tokens, CAST(sum(id) AS BIGINT) AS id_sum FROM v_words JOIN v USING (token) GROUP BY sequence_id""")
 def _(d):
-    return d.join(q.vocabulary(d), "token").groupBy("sequence_id").agg(F.count("*").alias("n_tokens"), F.sum("id").alias("id_sum"))
+    keep = runs.staged
+    return q.ids_of(d, keep(q.vocabulary(d, keep)), keep).groupBy("sequence_id").agg(F.count("*").alias("n_tokens"), F.sum("id").alias("id_sum"))
+
+
+@query("j07_texts_of_ids", "v_words", """
+WITH v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM (SELECT DISTINCT token FROM v_words) x)
+SELECT sequence_id, count(*) AS n_tokens, sum(CASE WHEN id % 50 <> 3 THEN 1 ELSE 0 END)::BIGINT AS n_known, sum(CASE WHEN id % 50 <> 3 THEN strlen(token) ELSE 0 END)::BIGINT AS n_bytes FROM v_words JOIN v USING (token) GROUP BY sequence_id""")
+def _(d):
+    # a vocabulary that lacks every fiftieth id, so that some ids have no text
+    keep = runs.staged
+    words = keep(q.vocabulary(d, keep))
+    ids = q.ids_of(d, words, keep).select("sequence_id", "id")
+    back = q.texts_of(ids, words.filter("id % 50 <> 3"), keep)
+    return back.groupBy("sequence_id").agg(F.count("*").alias("n_tokens"), F.count("token").alias("n_known"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).cast("long").alias("n_bytes"))
 
 
 #: Eight ids of the given logits play each type of token.

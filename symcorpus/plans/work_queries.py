@@ -199,7 +199,7 @@ def _(w, cover):
 WITH n AS (SELECT sequence_id, count(*) AS n_tokens FROM v_words GROUP BY 1), b AS (SELECT *, (row_number() OVER (ORDER BY sequence_id) - 1) // 4 AS batch FROM n)
 SELECT sequence_id, batch, n_tokens, max(n_tokens) OVER (PARTITION BY batch) - n_tokens AS padding FROM b""")
 def _(d):
-    return q.batch_widths(q.lengths(d), 4)
+    return q.batch_widths(q.lengths(d), 4, runs.staged)
 
 
 @query("w11_padded_batches", "v_lead v_bends v_annot v_cover", WRAP + f""", wi AS (SELECT source_id * 100 + phrase_index AS sequence_id, source_id, list(id ORDER BY pos) AS ids FROM wr JOIN vc USING (token) GROUP BY source_id, phrase_index),
@@ -208,7 +208,7 @@ SELECT sequence_id, r // 4 AS batch, CAST(r % 4 AS INT) AS place, n AS length, a
  width - n AS n_masked, len(list_filter(ids[1:n], lambda x: coverage = 'UNLABELED' AND x BETWEEN {t.id_of('Duration')} AND {t.id_of('Tempo') - 1})) AS n_unknown FROM wx JOIN v_cover USING (source_id)""")
 def _(n, b, a, cover):
     rows = _wrapped(n, b, a).join(cover.select("source_id", "coverage"), "source_id").select((F.col("source_id") * 100 + F.col("phrase_index")).alias("sequence_id"), "ids", "coverage")
-    made = q.padded_batches(rows, 4, 0, list(range(t.id_of("Duration"), t.id_of("Tempo"))))
+    made = q.padded_batches(rows, 4, 0, list(range(t.id_of("Duration"), t.id_of("Tempo"))), runs.staged)
     size = lambda c, yes: F.size(F.filter(c, lambda x: x == F.lit(yes))).cast("long")
     return made.select("sequence_id", "batch", "place", "length", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("target_ids", " ").alias("target_ids"), size("attention_mask", False).alias("n_masked"), size("unknown_mask", True).alias("n_unknown"))
 

@@ -10,10 +10,11 @@ from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.ranks import global_rank
 from ..operators.splits import snapshot_drift
 
 EXTENSIONS = (".mid", ".midi")
@@ -30,17 +31,10 @@ def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXT
 
 
 def listed(files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """(path, size_bytes, rank) of the files with one of the extensions, ranked by lower-case path, then path.
-
-    Ranks come in two steps, inside beginnings of 32 characters and over these, so that no task
-    ranks all files.
-    """
+    """(path, size_bytes, rank) of the files with one of the extensions, ranked by lower-case path, then path."""
     ends = F.lower("path").rlike("(" + "|".join(e.replace(".", r"\.") for e in extensions) + ")$")
-    own = files.filter(ends).withColumn("low", F.lower("path")).withColumn("head", F.substring("low", 1, 32))
-    sizes = own.groupBy("head").agg(F.count("*").alias("n"))
-    bases = sizes.select("head", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("head").orderBy("low", "path"))
-    return own.join(bases, "head").select("path", "size_bytes", (F.col("base") + rank - 1).alias("rank"))
+    own = files.filter(ends).select("path", "size_bytes", F.lower("path").alias("low"))
+    return global_rank(own, ["low", "path"], staged).drop("low")
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -111,12 +111,12 @@ def test_manifest_names_one_run_and_strays_are_not_read(spark, tmp_path):
 def test_batches_are_padded_to_their_longest(spark):
     rows = [(1, [5, 6, 7], "UNLABELED"), (2, [5, 8], "COMPLETE"), (3, [5, 6, 6, 9, 7], "UNLABELED")]
     frame = spark.createDataFrame(rows, "sequence_id long, ids array<int>, coverage string")
-    got = {r["sequence_id"]: r.asDict() for r in sequences.padded_batches(frame, 2, 0, [6]).collect()}
+    got = {r["sequence_id"]: r.asDict() for r in sequences.padded_batches(frame, 2, 0, [6], runs.staged).collect()}
     assert (got[1]["input_ids"], got[1]["target_ids"], got[1]["unknown_mask"]) == ([5, 6], [6, 7], [False, True])
     assert (got[2]["input_ids"], got[2]["target_ids"], got[2]["attention_mask"], got[2]["unknown_mask"]) == ([5, 0], [8, 0], [True, False], [False, False])
     assert (got[3]["batch"], got[3]["place"], got[3]["length"], got[3]["unknown_mask"]) == (1, 0, 4, [False, True, True, False])
     with pytest.raises(Exception, match="pad inside sequence 4"):
-        sequences.padded_batches(spark.createDataFrame([(4, [1, 0, 2], "COMPLETE")], frame.schema), 2, 0, []).collect()
+        sequences.padded_batches(spark.createDataFrame([(4, [1, 0, 2], "COMPLETE")], frame.schema), 2, 0, [], runs.staged).collect()
 
 
 def test_pairs_of_arrays(spark):
