@@ -114,9 +114,31 @@ def phrase_window(notes: DataFrame, width: int = PHRASE) -> DataFrame:
     return cut.withColumn("onset_tick", F.col("onset_tick") - base).withColumn("end_tick", F.col("end_tick") - base)
 
 
-def phrase_counts(notes: DataFrame, width: int = PHRASE) -> DataFrame:
-    """(source_id, n_phrases): windows that a source's notes reach into, a part of one counted whole."""
-    return notes.groupBy("source_id").agg(F.ceil(F.max("end_tick") / width).alias("n_phrases"))
+def phrase_counts(notes: DataFrame, width: int = PHRASE, durations: DataFrame | None = None, partial: bool = True) -> DataFrame:
+    """(source_id, n_phrases): windows that a source with notes fills, a rest of one counted whole if partial.
+
+    durations is (source_id, duration), structural ends in ticks: the later of it and the last end of a note
+    counts, so closing rests are phrases too. A rest of up to 1e-9 of a window is none. A duration that is
+    null, negative or not finite says nothing.
+    """
+    ends = notes.groupBy("source_id").agg(F.max("end_tick").cast("double").alias("until"))
+    if durations is not None:
+        told = durations.groupBy("source_id").agg(F.max(F.when((F.col("duration") >= 0) & (F.col("duration") < float("inf")), F.col("duration").cast("double"))).alias("told"))
+        ends = ends.join(told, "source_id", "left").withColumn("until", F.greatest("until", "told"))
+    full = F.floor((F.col("until") + width * 1e-9) / width)
+    rest = F.when(F.lit(partial) & (F.col("until") - full * width > width * 1e-9), 1).otherwise(0)
+    return ends.select("source_id", (full + rest).cast("long").alias("n_phrases"))
+
+
+def structural_ends(messages: DataFrame) -> DataFrame:
+    """(source_id, duration): the tick of the last message of any track, whatever it says."""
+    return messages.groupBy("source_id", "track").agg(F.sum("delta").alias("ticks")).groupBy("source_id").agg(F.max("ticks").alias("duration"))
+
+
+def counted_phrases(phrases: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows of phrases that their source's count holds; notes behind it are dropped, and so are sources without a count."""
+    held = phrases.join(counts.select("source_id", "n_phrases"), "source_id")
+    return held.filter(F.col("phrase_index").between(0, F.col("n_phrases") - 1)).drop("n_phrases")
 
 
 def full_phrases(phrases: DataFrame, least: int) -> DataFrame:

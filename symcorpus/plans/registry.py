@@ -276,6 +276,26 @@ def _(d):
     return e.phrase_counts(d)
 
 
+ENDS = "sd AS (SELECT source_id, max(t) + CASE source_id % 4 WHEN 1 THEN 0.000004 WHEN 2 THEN 9000.5 ELSE 0 END AS d FROM (SELECT source_id, track, sum(delta) AS t FROM v_file_messages GROUP BY 1, 2) x GROUP BY 1), sn AS (SELECT source_id, max(end_tick) AS n FROM v_notes GROUP BY 1), su AS (SELECT source_id, greatest(n, CAST(coalesce(d, 0) AS DOUBLE)) AS u FROM sn LEFT JOIN sd USING (source_id))"
+
+
+def _ends(m):
+    more = F.when(F.col("source_id") % 4 == 1, 0.000004).when(F.col("source_id") % 4 == 2, 9000.5).otherwise(0.0)
+    return e.structural_ends(m).withColumn("duration", F.col("duration") + more)
+
+
+@query("w04_structural_count", "v_notes v_file_messages", f"WITH {ENDS} SELECT source_id, CAST(floor((u + 7.68e-6) / 7680) AS BIGINT) AS n_full, CAST(ceil((u - 7.68e-6) / 7680) AS BIGINT) AS n_phrases FROM su")
+def _(n, m):
+    full = e.phrase_counts(n, durations=_ends(m), partial=False).withColumnRenamed("n_phrases", "n_full")
+    return full.join(e.phrase_counts(n, durations=_ends(m)), "source_id")
+
+
+@query("w04_counted_phrases", "v_notes", "WITH u AS (SELECT source_id, max(end_tick) // 7680 AS n FROM v_notes GROUP BY 1) SELECT source_id, seq, onset_tick // 7680 AS phrase_index FROM v_notes JOIN u USING (source_id) WHERE onset_tick // 7680 < n")
+def _(n):
+    # windows that are filled alone count, so notes of a source's last part go
+    return e.counted_phrases(e.phrase_window(n), e.phrase_counts(n, partial=False)).select("source_id", "seq", "phrase_index")
+
+
 @query("w05_slice_bends", "v_bends", LAST_SQL + """, v AS (SELECT *, CAST(floor(tick / 7680.0) AS BIGINT) AS i FROM t),
 n AS (SELECT source_id, unnest(range(min(i), max(i) + 1)) AS i FROM v GROUP BY source_id),
 c AS (SELECT n.source_id, n.i, coalesce(t.value, 0) AS value FROM n ASOF LEFT JOIN t ON n.source_id = t.source_id AND n.i * 7680 >= t.tick),

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import TONICS
 from ..operators import events as e
+from ..operators import grids as gr
 from ..operators import splits as sp
 from ..operators import tokens as t
 from ..operators import tonality as ton
-from .registry import SQL, query
+from ..views import oracle, view
+from .registry import QUERIES, SQL, query
 
 BPM = 120.0
 VOCABULARY_SIZE = sum(n for _, n in t.families())
@@ -141,6 +143,44 @@ def _(n):
     return d.select("source_id", "seq", F.floor(cell / t.BAR).alias("bar"), (cell % t.BAR).alias("position"), F.concat(F.lit("Duration_"), t.duration_text(t.grid(F.col("end_tick") - F.col("onset_tick")))).alias("duration"))
 
 
+SETTINGS = """gs AS (SELECT p_brand AS grid_id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS ord, p_size, p_partkey FROM part),
+gr AS (SELECT grid_id, ord, CASE WHEN ord = 1 THEN CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END ELSE 4 * (ord - 1) + CASE WHEN p_size % 10 = 0 THEN 1 ELSE 0 END END AS start_beat, CASE WHEN p_size % 50 = 7 THEN 4 * (ord - 1) ELSE 4 * ord END AS end_beat, CASE WHEN p_partkey % 11 = 0 THEN 65 + p_size ELSE 1 + p_size % 24 END AS resolution FROM gs WHERE ord <= 3)"""
+GRID_RULES = f"""WITH {SETTINGS}, gw AS (SELECT *, lag(end_beat) OVER (PARTITION BY grid_id ORDER BY ord) AS was FROM gr),
+gi AS (SELECT grid_id, ord, unnest(list_filter([CASE WHEN start_beat >= end_beat OR end_beat > 64 THEN 'range of beats' END, CASE WHEN resolution NOT BETWEEN 1 AND 64 THEN 'resolution' END, CASE WHEN ord = 1 AND start_beat <> 0 THEN 'does not start at beat 0' END,
+  CASE WHEN ord > 1 AND start_beat <> was THEN 'does not follow the range before' END], lambda x: x IS NOT NULL)) AS rule FROM gw)"""
+
+
+def _settings(parts: DataFrame) -> DataFrame:
+    """Three ranges for each brand, some of which break a rule."""
+    first = F.when(F.col("p_partkey") % 7 == 0, 1).otherwise(0)
+    rows = parts.withColumn("ord", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))).filter("ord <= 3")
+    start = F.when(F.col("ord") == 1, first).otherwise(4 * (F.col("ord") - 1) + F.when(F.col("p_size") % 10 == 0, 1).otherwise(0))
+    end = F.when(F.col("p_size") % 50 == 7, 4 * (F.col("ord") - 1)).otherwise(4 * F.col("ord"))
+    steps = F.when(F.col("p_partkey") % 11 == 0, 65 + F.col("p_size")).otherwise(1 + F.col("p_size") % 24)
+    return rows.select(F.col("p_brand").alias("grid_id"), "ord", start.alias("start_beat"), end.alias("end_beat"), steps.alias("resolution"))
+
+
+def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet")
+
+
+QUERIES["t02_grid_issues"] = lambda spark, sf_dir: gr.grid_issues(_settings(_part(spark, sf_dir)))
+SQL["t02_grid_issues"] = oracle(GRID_RULES + " SELECT grid_id, ord, rule FROM gi")
+
+
+def _on_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # each brand's grid takes the lengths of the notes whose number ends in it
+    brands = F.concat(F.lit("Brand#"), F.col("seq") % 5 + 1, F.floor(F.col("seq") / 5) % 5 + 1)
+    rows = view(spark, sf_dir, "v_notes").select("seq", brands.alias("grid_id"), ((F.col("end_tick") - F.col("onset_tick")) * 7).alias("ticks"))
+    return gr.on_grids(rows, "ticks", _settings(_part(spark, sf_dir)), 480).select("seq", "grid_id", "length")
+
+
+QUERIES["t02_on_grids"] = _on_grids
+SQL["t02_on_grids"] = oracle(GRID_RULES + """, gk AS (SELECT DISTINCT grid_id, start_beat * 480 + CAST(floor(k * 480 / resolution) AS BIGINT) AS x FROM gr, unnest(range(1, 12 * 24 + 1)) u(k) WHERE k <= (end_beat - start_beat) * resolution AND grid_id NOT IN (SELECT grid_id FROM gi)),
+gt AS (SELECT seq, 'Brand#' || (seq % 5 + 1) || ((seq // 5) % 5 + 1) AS grid_id, (end_tick - onset_tick) * 7 AS ticks FROM v_notes)
+SELECT seq, gt.grid_id, arg_min(x, (abs(x - ticks), -x)) AS length FROM gt LEFT JOIN gk ON gk.grid_id = gt.grid_id GROUP BY 1, 2""")
+
+
 def _encoded(n: DataFrame, b: DataFrame, a: DataFrame | None = None) -> DataFrame:
     return t.encode(e.phrase_window(n), e.slice_bends(b), F.lit(BPM), a)
 
