@@ -106,8 +106,8 @@ def label_issues(labels: DataFrame, records: DataFrame) -> DataFrame:
     return broken_rules(marked, rules).groupBy("key", "rule").agg(F.count("*").alias("n"))
 
 
-def sequence_issues(sequences: DataFrame, limit: int) -> DataFrame:
-    """(PHRASE, rule) of wrapped sequences: PHRASE, ids, and what their record declares.
+def sequence_issues(sequences: DataFrame, limit: int, keys: list[str] = PHRASE) -> DataFrame:
+    """(keys, rule) of wrapped sequences: keys, ids, and what their record declares.
 
     Declared are length, n_notes, n_bends, n_labels, tonic and mode; each is counted again
     from the ids. Ids are those of the vocabulary of tokens.families.
@@ -131,7 +131,7 @@ def sequence_issues(sequences: DataFrame, limit: int) -> DataFrame:
         (F.size("ids") != F.col("length"), "length differs"), (count("Pitch") != F.col("n_notes"), "note count differs"), (count("Duration") != F.col("n_notes"), "duration count differs"),
         (count("PitchBend") != F.col("n_bends"), "bend count differs"), (count("Technique") != F.col("n_labels"), "label count differs"),
     ]
-    return broken_rules(sequences, rules).select(*PHRASE, "rule")
+    return broken_rules(sequences, rules).select(*keys, "rule")
 
 
 def token_rules(typed: DataFrame, most: int, least_tokens: int) -> DataFrame:

@@ -144,8 +144,18 @@ def wheel_of_tracks(bends: DataFrame, found: Inspection) -> tuple[DataFrame, Dat
     return bends.join(own, ["source_id", "instrument_index"]).drop("instrument_index"), found.tracks.join(own, ["source_id", "instrument_index"]).select("source_id", "bend_range")
 
 
-def preprocess(notes: DataFrame, bends: DataFrame, found: Inspection, splits: DataFrame, coverage: DataFrame, annotations: DataFrame, mutes: DataFrame, limits: Limits = Limits(), stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
-    """The whole stage: (sources with their track or the reason to discard them, fragments).
+class Preprocessed(NamedTuple):
+    """sources: a row an inspected file, with its track or the reason to discard it; phrases, wheel and labels: what fragments are made of."""
+
+    sources: DataFrame
+    fragments: DataFrame
+    phrases: DataFrame
+    wheel: DataFrame
+    labels: DataFrame
+
+
+def preprocess(notes: DataFrame, bends: DataFrame, found: Inspection, splits: DataFrame, coverage: DataFrame, annotations: DataFrame, mutes: DataFrame, limits: Limits = Limits(), stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> Preprocessed:
+    """The whole stage.
 
     Tables are those of the operators above; found comes from inspection.inspect, and only
     compatible sources go on. Every inspected source is in the first table once. stage is called
@@ -156,14 +166,15 @@ def preprocess(notes: DataFrame, bends: DataFrame, found: Inspection, splits: Da
     wheel, ranges = wheel_of_tracks(bends, found)
     clean, wheel, gone = normalized(stage(notes_of_tracks(notes, chosen)), wheel, ranges, limits.cell)
     gone, phrases = stage(gone), stage(phrases_of(clean, limits.least_notes))
-    made = fragments(phrases, wheel, phrase_labels(phrases, annotations, mutes, coverage), splits, limits).join(coverage, "source_id", "left").fillna("UNLABELED", ["coverage"])
+    labels = phrase_labels(phrases, annotations, mutes, coverage)
+    made = fragments(phrases, wheel, labels, splits, limits).join(coverage, "source_id", "left").fillna("UNLABELED", ["coverage"])
     made = stage(made)
     counts = phrases.groupBy("source_id").agg(F.count_distinct("phrase_index").alias("num_base_fragments"))
     total = made.groupBy("source_id").agg(F.count("*").alias("num_fragments"))
     rows = chosen.join(gone.withColumnRenamed("reason", "later"), "source_id", "left").join(counts, "source_id", "left").join(total, "source_id", "left").fillna(0, ["num_base_fragments", "num_fragments"])
     why = F.coalesce("reason", "later", F.when(F.col("num_base_fragments") == 0, "no phrase of enough notes"), F.when(F.col("num_fragments") == 0, "no variant inside the pitches"))
     sources = rows.join(splits.select("source_id", "split"), "source_id", "left").select("source_id", "split", "instrument_index", why.isNull().alias("compatible"), why.alias("reason"), "num_base_fragments", "num_fragments")
-    return sources, made
+    return Preprocessed(sources, made, phrases, wheel, labels)
 
 
 def label_summary(rows: DataFrame, names: dict[str, list[str]]) -> DataFrame:

@@ -80,11 +80,12 @@ def encode(notes: DataFrame, bends: DataFrame, bpm: Column, labels: DataFrame |
     """(phrase, pos, token) of notes and wheel values of phrases that hold a note.
 
     Bars, positions and closing bars follow from neighbours in one window over the phrase, so
-    events are shuffled once by phrase and never joined with a list of bars.
+    events are shuffled once by phrase and never joined with a list of bars. bpm may be a column
+    of the notes, one value a phrase. Without labels, notes may carry their own, in order.
     """
     cell = lambda c: F.floor(F.col(c) / CELL + F.lit(0.5)).cast("long")
     if labels is None:
-        notes = notes.withColumn("labels", F.array().cast("array<string>"))
+        notes = notes if "labels" in notes.columns else notes.withColumn("labels", F.array().cast("array<string>"))
     else:
         order = F.array(*map(F.lit, TECHNIQUES))
         held = labels.groupBy("source_id", "seq").agg(F.collect_set("type").alias("held"))
@@ -96,8 +97,8 @@ def encode(notes: DataFrame, bends: DataFrame, bpm: Column, labels: DataFrame |
     last = F.greatest(F.floor(F.col("cell") / BAR), F.floor((F.col("cell") * CELL + F.col("ticks") - 1) / (BAR * CELL))).cast("long")
     sounds = at.select(*PHRASE, "cell", F.lit(3).alias("kind"), F.col("pitch").cast("long").alias("a"), F.col("ticks").alias("b"), F.col("seq").alias("c"), last.alias("last"), tokens.alias("own"))
     none = [F.lit(0).cast("long").alias(x) for x in "abc"]
-    head = notes.select(*PHRASE).distinct()
-    tempo = head.select(*PHRASE, F.lit(0).cast("long").alias("cell"), F.lit(1).alias("kind"), *none, F.lit(0).cast("long").alias("last"), F.array(F.concat(F.lit("Tempo_"), tempo_text(bpm))).alias("own"))
+    head = notes.select(*PHRASE, bpm.alias("bpm")).distinct()
+    tempo = head.select(*PHRASE, F.lit(0).cast("long").alias("cell"), F.lit(1).alias("kind"), *none, F.lit(0).cast("long").alias("last"), F.array(F.concat(F.lit("Tempo_"), tempo_text(F.col("bpm")))).alias("own"))
     wheel = bends.withColumn("cell", cell("tick")).groupBy(*PHRASE, "cell").agg(F.max_by("value", "tick").alias("value")).join(head, PHRASE, "left_semi")
     wheel = wheel.select(*PHRASE, "cell", F.lit(2).alias("kind"), *none, F.floor(F.col("cell") / BAR).cast("long").alias("last"), F.array(F.concat(F.lit("PitchBend_"), bend_text(F.col("value")))).alias("own"))
 

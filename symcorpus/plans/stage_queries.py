@@ -31,9 +31,15 @@ def _splits(d: DataFrame) -> DataFrame:
     return sp.assign_splits(sp.fingerprint(d)).select("source_id", "split")
 
 
-def _preprocessed(*tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _stage(*tables: DataFrame) -> tuple[st.Preprocessed, DataFrame]:
+    """The first stage over the given tables, and its inspected sources."""
     d, side, a, m = tables[N_FILES:]
-    return st.preprocess(tables[0], tables[1], inspected(*tables), _splits(d), st.coverage_label(d, side), a, m, LIMITS, runs.staged)
+    found = inspected(*tables)
+    return st.preprocess(tables[0], tables[1], found, _splits(d), st.coverage_label(d, side), a, m, LIMITS, runs.staged), found.sources
+
+
+def _preprocessed(*tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return _stage(*tables)[0][:2]
 
 
 def _text(techniques: str = "techniques"):
@@ -166,15 +172,23 @@ def _declared(tables) -> tuple[DataFrame, DataFrame]:
     from .token_queries import _resolved
 
     sources, made = _preprocessed(*tables[:-1])
+    return sources, spoiled(declared(made, _resolved(tables[-1])))
+
+
+def declared(made: DataFrame, tonality: DataFrame) -> DataFrame:
+    """Fragments as their files are declared, with their own tonic, and a number that says which field will be spoiled."""
     name = F.concat(F.lit("src"), F.col("source_id"), F.lit("_"), F.col("phrase_index"), F.lit("_"), F.col("semitones"))
-    rows = made.join(_resolved(tables[-1]).select("source_id", "tonic", "mode"), "source_id").withColumns({
-        "number": F.expr(NUMBER), "track_number": F.col("instrument_index"), "output_file": F.concat(F.lit(f"{RUN}/"), "split", F.lit("/"), name, F.lit(".mid")), "output_sha256": F.sha2(name, 256),
+    return made.join(tonality.select("source_id", "tonic", "mode"), "source_id").withColumns({
+        "tonic": s.transpose_tonic(F.col("tonic"), F.col("semitones")), "number": F.expr(NUMBER), "track_number": F.col("instrument_index"), "output_file": F.concat(F.lit(f"{RUN}/"), "split", F.lit("/"), name, F.lit(".mid")), "output_sha256": F.sha2(name, 256),
         "output_size_bytes": F.col("num_notes") * 8 + 40, "nominal_duration": F.lit(7680 / 960.0), "actual_duration": F.col("last_end") / 960.0,
     })
+
+
+def spoiled(rows: DataFrame) -> DataFrame:
     whole = rows
     for k, (field, value, _) in SPOILED.items():
         whole = whole.withColumn(field, F.when(F.col("number") == k, F.expr(value).cast(rows.schema[field].dataType)).otherwise(F.col(field)))
-    return sources, whole
+    return whole
 
 
 def _expected() -> str:
@@ -182,10 +196,13 @@ def _expected() -> str:
     return " UNION ALL ".join(parts)
 
 
-@query("f13_fragment_contract", f"{VIEWS} v_lead", STAGE + f""", fn AS (SELECT *, {NUMBER} AS number FROM fx), xr AS ({_expected()}), fb AS (SELECT fn.*, rule FROM fn JOIN xr USING (number)
+BROKEN = f"""fn AS (SELECT *, {NUMBER} AS number FROM fx), xr AS ({_expected()}), fb AS (SELECT fn.*, rule FROM fn JOIN xr USING (number)
  UNION ALL SELECT *, 'more expressive bends than bends' FROM fn WHERE number = 3
- UNION ALL SELECT *, 'bend count below zero' FROM fn WHERE number = 3 AND num_expressive = 0 UNION ALL SELECT *, 'label outside the notes' FROM fn WHERE number = 0 AND techniques <> '')
-SELECT CASE WHEN number = 12 THEN -source_id - 1 ELSE source_id END AS source_id, CASE WHEN number = 13 THEN -1 ELSE phrase_index END AS phrase_index, semitones, rule FROM fb""")
+ UNION ALL SELECT *, 'bend count below zero' FROM fn WHERE number = 3 AND num_expressive = 0 UNION ALL SELECT *, 'label outside the notes' FROM fn WHERE number = 0 AND techniques <> ''),
+fr2 AS (SELECT CASE WHEN number = 12 THEN -source_id - 1 ELSE source_id END AS source_id, CASE WHEN number = 13 THEN -1 ELSE phrase_index END AS phrase_index, semitones, rule FROM fb)"""
+
+
+@query("f13_fragment_contract", f"{VIEWS} v_lead", STAGE + f", {BROKEN} SELECT * FROM fr2")
 def _(*tables):
     sources, rows = _declared(tables)
     return c.fragment_issues(rows, sources, RUN)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import uuid
@@ -73,6 +74,10 @@ class Conflict(RuntimeError):
     """Another writer came first."""
 
 
+class Rejected(RuntimeError):
+    """Declared inputs of a stage break its rules, so that nothing of it is published."""
+
+
 def create_once(spark: SparkSession, path: str, text: str) -> bool:
     """Writes a small file unless there is one of that name; says whether it did.
 
@@ -226,12 +231,16 @@ def write_manifest(root: str, run_id: str, configuration: dict, sources: DataFra
     good = one.also["compatible"]
     summary = {"discovered_files": one.n, "compatible_sources": good, "discarded_sources": one.n - good, "generated_fragments": two.n}
     said = {"run_id": run_id, "configuration": configuration, "summary": summary}
+    if follows is not None or held != json.loads(json.dumps(said)):
+        _follow(spark, root, version, said)
+    return summary
+
+
+def _follow(spark: SparkSession, root: str, version: int, said: dict) -> None:
+    """Makes the version after `version` of the current run, unless another writer did and says something else."""
     text = json.dumps(said, sort_keys=True)
-    if follows is None and held is not None and json.dumps(held, sort_keys=True) == text:
-        return summary  # it is the current run already
     if not create_once(spark, f"{root}/versions/{version + 1:012d}.json", text) and json.dumps(_current(spark, root)[1], sort_keys=True) != text:
         raise Conflict(f"version {version + 1} of the current run was made by another writer")
-    return summary
 
 
 def read_manifest(spark: SparkSession, root: str) -> Manifest:
@@ -248,6 +257,49 @@ def read_manifest(spark: SparkSession, root: str) -> Manifest:
     return Manifest(held["run_id"], held["configuration"], summary, sources, fragments)
 
 
+class Tokenized(NamedTuple):
+    """The current run of the second stage: its id, the run of the first stage it was made from, configuration, summary and rows."""
+
+    run_id: str
+    first_run: str
+    configuration: dict
+    summary: dict
+    rows: DataFrame
+
+
+def write_sequences(root: str, first: Manifest, configuration: dict, rows: DataFrame, failures: DataFrame, keys: list[str], most: int = 5) -> str:
+    """Publishes the sequences (keys, split, ids) made from a run of the first stage, all or none; returns the run id.
+
+    The id follows from the first stage's run and the configuration. Where failures (keys, rules) has
+    a row, Rejected names the first ones and nothing is declared. The summary is observed
+    while rows are written.
+    """
+    spark = rows.sparkSession
+    named = failures.orderBy(*keys).limit(most).collect()
+    if named:
+        told = "; ".join("/".join(str(r[k]) for k in keys) + f": {r['rules']}" for r in named)
+        raise Rejected(f"{failures.count()} declared fragments rejected: {told}")
+    version, held = _current(spark, root)
+    run_id = hashlib.sha256(json.dumps([first.run_id, configuration], sort_keys=True).encode()).hexdigest()[:20]
+    length = F.size("ids").cast("long")
+    made = prepare(rows, root, run_id, total_tokens=F.sum(length), min_tokens=F.min(length), max_tokens=F.max(length))
+    declare(spark, root, run_id, made)
+    said = {"run_id": run_id, "first_run": first.run_id, "configuration": configuration, "summary": {"sequences": made.n, **made.also}}
+    if held != json.loads(json.dumps(said)):
+        _follow(spark, root, version, said)
+    return run_id
+
+
+def read_sequences(spark: SparkSession, root: str, first: Manifest | None = None) -> Tokenized:
+    """The current run of the second stage, its rows compared with what was declared. With `first`, it must have been made from that run."""
+    _, held = _current(spark, root)
+    if held is None:
+        raise ValueError("no current run")
+    if first is not None and held["first_run"] != first.run_id:
+        raise Drift(f"sequences were made from run {held['first_run']}, the current one is {first.run_id}")
+    return Tokenized(held["run_id"], held["first_run"], held["configuration"], held["summary"], read(spark, root, held["run_id"], verify=True))
+
+
 def declared_only(rows: DataFrame, fragments: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of fragments that a manifest declares."""
     return rows.join(fragments.select(*keys).distinct(), keys, "left_semi")
