@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import pairwise
 from zlib import crc32
 
@@ -23,6 +24,8 @@ LONG = 16
 SAMPLE_DOCS = 2_000
 OFTEN = 512
 PARTS = 256
+#: Spans that a task holds before they go back to Spark, whatever the number and length of texts.
+ROWS = 1 << 14
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+[\x20\x09-\x0D]*|$)")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
@@ -65,7 +68,7 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def spans(parts: list[str], run: int = RUN, words: int = WORDS) -> list[tuple[int, int, bytes]]:
+def spans(parts: list[str], run: int = RUN, words: int = WORDS) -> Iterator[tuple[int, int, bytes]]:
     """(first, end, text) of the shortest spans that begin and that end at each sentence, blanks made single.
 
     Each longer span is covered by these, so a repeated run of sentences is found up to its last
@@ -80,26 +83,32 @@ def spans(parts: list[str], run: int = RUN, words: int = WORDS) -> list[tuple[in
     starts = np.where(starts == at, starts, np.minimum(starts, at + 1 - run))
     both = {(i, e) for i, e in enumerate(ends.tolist()) if e <= len(parts)} | {(i, e) for e, i in enumerate(starts.tolist(), 1) if i >= 0}
     joined, place = b" ".join(clean), np.cumsum([0, *(len(c) + 1 for c in clean)]).tolist()
-    if not both:
-        return [(0, len(parts), joined.strip())] if counts[-1] else []
-    return [(i, e, joined[place[i] : place[e] - 1]) for i, e in sorted(both)]
+    if both:
+        yield from ((i, e, joined[place[i] : place[e] - 1]) for i, e in sorted(both))
+    elif counts[-1]:
+        yield 0, len(parts), joined.strip()
 
 
-def _span_table(docs: DataFrame, run_of: int, words: int) -> DataFrame:
+def _span_table(docs: DataFrame, run_of: int, words: int, most: int = ROWS) -> DataFrame:
+    """Places and hashes of all spans; texts are taken one by one, and `most` rows go back at once."""
     names = ["doc_id", "k", "first", "end", "h1", "h2"]
 
+    def batch_of(rows):
+        ids, keys, firsts, ends, digests = zip(*rows, strict=True) if rows else ((),) * 5
+        h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(firsts, pa.int32()), pa.array(ends, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], names)
+
     def run(batches):
         for b in batches:
-            ids, keys, firsts, ends, digests = [], [], [], [], []
-            for doc_id, k, text in zip(*(b.column(n).to_pylist() for n in ("doc_id", "k", "text")), strict=True):
-                for first, end, said in spans(sentences(text), run_of, words):
-                    ids.append(doc_id)
-                    keys.append(k)
-                    firsts.append(first)
-                    ends.append(end)
-                    digests.append(xxhash.xxh3_128_digest(said))
-            h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(firsts, pa.int32()), pa.array(ends, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], names)
+            rows = []
+            for doc_id, k, text in zip(*(b.column(n) for n in ("doc_id", "k", "text")), strict=True):
+                own = doc_id.as_py(), k.as_py()
+                for first, end, said in spans(sentences(text.as_py()), run_of, words):
+                    rows.append((*own, first, end, xxhash.xxh3_128_digest(said)))
+                    if len(rows) >= most:
+                        yield batch_of(rows)
+                        rows = []
+            yield batch_of(rows)
 
     return docs.mapInArrow(run, "doc_id long, k long, first int, end int, h1 long, h2 long")
 

@@ -747,3 +747,12 @@ def test_every_query_runs_over_the_smallest_tables(spark):
     for name, query in entries.queries().items():
         got = query(spark, sf)
         assert got.count() >= n or name == "op6_chat"
+
+
+def test_spans_of_a_long_text_among_many_go_back_in_parts(spark):
+    long = " ".join(f"Word {i} of sentence {i} goes on with {i % 97} others." for i in range(6_000))
+    rows = [(k, k, f"Short text number {k} has a few words. It ends here.") for k in range(40)] + [(90, 90, long), (91, 91, ""), (None, 92, "One.")]
+    docs = spark.createDataFrame(rows, "doc_id long, k long, text string").coalesce(1)
+    names = ("doc_id", "k", "first", "end", "h1", "h2")
+    whole = collected(sentences._span_table(docs, sentences.RUN, sentences.WORDS, 1 << 30), *names)
+    assert len(whole) > 6_000 and whole == collected(sentences._span_table(docs, sentences.RUN, sentences.WORDS, 7), *names) == collected(sentences._span_table(docs, sentences.RUN, sentences.WORDS), *names)
