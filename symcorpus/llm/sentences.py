@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import islice, pairwise
 from zlib import crc32
 
 import numpy as np
@@ -93,22 +93,23 @@ def _span_table(docs: DataFrame, run_of: int, words: int, most: int = ROWS) -> D
     """Places and hashes of all spans; texts are taken one by one, and `most` rows go back at once."""
     names = ["doc_id", "k", "first", "end", "h1", "h2"]
 
-    def batch_of(rows):
-        ids, keys, firsts, ends, digests = zip(*rows, strict=True) if rows else ((),) * 5
+    def batch_of(ids, keys, firsts, ends, digests):
         h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(firsts, pa.int32()), pa.array(ends, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], names)
 
     def run(batches):
         for b in batches:
-            rows = []
-            for doc_id, k, text in zip(*(b.column(n) for n in ("doc_id", "k", "text")), strict=True):
-                own = doc_id.as_py(), k.as_py()
-                for first, end, said in spans(sentences(text.as_py()), run_of, words):
-                    rows.append((*own, first, end, xxhash.xxh3_128_digest(said)))
-                    if len(rows) >= most:
-                        yield batch_of(rows)
-                        rows = []
-            yield batch_of(rows)
+            held = [], [], [], [], []
+            for doc_id, k, text in zip(b.column("doc_id").to_pylist(), b.column("k").to_pylist(), b.column("text"), strict=True):
+                left = spans(sentences(text.as_py()), run_of, words)
+                while some := list(islice(left, most - len(held[0]))):
+                    firsts, ends, said = zip(*some, strict=True)
+                    for column, values in zip(held, ([doc_id] * len(some), [k] * len(some), firsts, ends, map(xxhash.xxh3_128_digest, said)), strict=True):
+                        column.extend(values)
+                    if len(held[0]) >= most:
+                        yield batch_of(*held)
+                        held = [], [], [], [], []
+            yield batch_of(*held)
 
     return docs.mapInArrow(run, "doc_id long, k long, first int, end int, h1 long, h2 long")
 
