@@ -228,7 +228,8 @@ def read_sidecars(sidecars: DataFrame, sources: DataFrame, notes: DataFrame, dur
     expanded = whole_rows.groupBy("source_id").agg(F.count("*").alias("n"))
     many = declared.unionByName(expanded).filter(F.col("n") > MOST_ANNOTATIONS).select("source_id", F.lit(0).alias("at"), F.lit("too many annotations").alias("reason")).distinct()
     told = first(marks, "reason", 1).unionByName(first(wide, "reason", 2)).unionByName(first(muted, "reason", 3)).unionByName(first(muted, "between", 4)).unionByName(first(many, "reason", 5))
-    later = told.groupBy("source_id").agg(F.min("x").alias("x")).select("source_id", F.lit("techniques").alias("kind"), F.col("x.reason").alias("later"))
+    # dealt anew, as the parts are dealt by source already and their partitions are not the same rows
+    later = told.repartition("source_id").groupBy("source_id").agg(F.min("x").alias("x")).select("source_id", F.lit("techniques").alias("kind"), F.col("x.reason").alias("later"))
     judged = read.join(later, ["source_id", "kind"], "left").select("source_id", "kind", "doc", F.coalesce("reason", "later").alias("reason"))
     good = judged.filter("reason IS NULL")
     labelled = good.filter("kind = 'techniques'").select("source_id")

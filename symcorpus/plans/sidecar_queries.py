@@ -27,7 +27,7 @@ HEAD = _first(
 ENTRY = _first(
     *[(f"NOT {_int('e', f'note.{c}')} OR CAST(e->>'$.note.{c}' AS BIGINT) NOT BETWEEN {low} AND {high}", f"note {c}") for c, low, high in (("onset_tick", 0, 1 << 40), ("end_tick", 1, 1 << 40), ("pitch", 0, 127), ("velocity", 1, 127))],
     ("NOT EXISTS (SELECT 1 FROM v_lead n WHERE n.source_id = se.source_id AND n.onset_tick = CAST(e->>'$.note.onset_tick' AS BIGINT) AND n.end_tick = CAST(e->>'$.note.end_tick' AS BIGINT) AND n.pitch = CAST(e->>'$.note.pitch' AS INT) AND n.velocity = CAST(e->>'$.note.velocity' AS DOUBLE))", "no such note"),
-    ("json_array_length(e, '$.techniques') = 0", "no techniques"), ("broken IS NOT NULL", "BROKEN"), ("len(list_distinct(kinds)) < len(kinds)", "technique twice"),
+    ("again > 1", "note twice"), ("json_array_length(e, '$.techniques') = 0", "no techniques"), ("broken IS NOT NULL", "BROKEN"), ("len(list_distinct(kinds)) < len(kinds)", "technique twice"),
     ("list_contains(kinds, 'SLIDE_UP') AND list_contains(kinds, 'SLIDE_DOWN')", "slide up and down"), ("list_contains(kinds, 'DEAD_NOTE') AND len(kinds) > 1", "dead note with another"),
 ).replace("'BROKEN'", "broken")
 MARK = _first(
@@ -40,7 +40,7 @@ sx AS (SELECT source_id, unnest(json_extract(j, '$.note_techniques[*]')) AS e, g
 sm AS (SELECT source_id, pos, unnest(json_extract(e, '$.techniques[*]')) AS x, generate_subscripts(json_extract(e, '$.techniques[*]'), 1) AS k, TRY_CAST(e->>'$.note.pitch' AS INT) AS pitch FROM sx),
 sk AS (SELECT *, {MARK} AS issue, concat_ws('_', x->>'$.type', x->>'$.direction') AS type FROM sm),
 sq AS (SELECT source_id, pos, list(type ORDER BY k) AS kinds, list(issue ORDER BY k) FILTER (issue IS NOT NULL)[1] AS broken FROM sk GROUP BY 1, 2),
-se AS (SELECT sx.*, kinds, broken FROM sx LEFT JOIN sq USING (source_id, pos)), si AS (SELECT source_id, 1 AS stage, pos, {ENTRY} AS reason FROM se),
+se AS (SELECT sx.*, kinds, broken, row_number() OVER (PARTITION BY sx.source_id, {', '.join(f"e->>'$.note.{c}'" for c in NOTE)} ORDER BY sx.pos) AS again FROM sx LEFT JOIN sq USING (source_id, pos)), si AS (SELECT source_id, 1 AS stage, pos, {ENTRY} AS reason FROM se),
 sr AS (SELECT source_id, fin, unnest(json_extract(j, '$.palm_mute_ranges[*]')) AS e, generate_subscripts(json_extract(j, '$.palm_mute_ranges[*]'), 1) AS pos FROM sg WHERE json_type(j, '$.palm_mute_ranges') = 'ARRAY'),
 sp AS (SELECT source_id, fin, pos, CAST(e->>'$.start_tick' AS BIGINT) AS start_tick, CAST(e->>'$.end_tick' AS BIGINT) AS end_tick FROM sr), sl AS (SELECT *, lag(end_tick) OVER (PARTITION BY source_id ORDER BY start_tick, end_tick) AS was FROM sp),
 sa AS (SELECT * FROM si UNION ALL SELECT source_id, 2, 0, 'palm_mute_ranges' FROM sg WHERE coalesce(json_type(j, '$.palm_mute_ranges'), 'NULL') <> 'ARRAY' UNION ALL SELECT source_id, 3, pos, 'range beyond the source' FROM sp WHERE end_tick > fin

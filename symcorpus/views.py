@@ -105,14 +105,14 @@ SELECT yr AS run_id, CAST(mo AS INT) AS epoch, round(avg(price) / 1000.0, 6) AS
 FROM (SELECT year(o_orderdate) AS yr, month(o_orderdate) AS mo, CAST(o_totalprice AS DOUBLE) AS price FROM orders) o GROUP BY yr, mo""",
 }
 
-#: Sidecars of the chosen tracks; braces are < and > until the end, and listing, hash and order are said in each engine's words.
+#: Sidecars of the chosen tracks; braces are < and > until the end, and listing, hash and order are said in each engine's words. A source without a text has sidecars without one (concat takes nulls differently in each engine).
 _SIDE_SOURCES = """
 SELECT k.source_id, concat(CAST(k.source_id AS VARCHAR(20)), '.txt') AS name, HASH(content) AS sha256, 480 AS ppq, k.instrument_index, 5 AS n_tracks, fin
 FROM (SELECT source_id, min(instrument_index) AS instrument_index, max(end_tick) AS fin FROM v_lead GROUP BY source_id) k JOIN v_sources s ON s.source_id = k.source_id"""
 _SIDE_TEXTS = """
-SELECT source_id, 'techniques' AS kind, translate(concat('<"schema_version":', CASE x WHEN 1 THEN '2' WHEN 11 THEN '1.0' WHEN 8 THEN '1,"schema_version":1' ELSE '1' END, ',"source_midi":"', CASE WHEN x = 2 THEN 'other' ELSE name END, '","source_sha256":"', CASE WHEN x = 3 THEN upper(sha256) ELSE sha256 END,
+SELECT source_id, 'techniques' AS kind, CASE WHEN sha256 IS NOT NULL THEN translate(concat('<"schema_version":', CASE x WHEN 1 THEN '2' WHEN 11 THEN '1.0' WHEN 8 THEN '1,"schema_version":1' ELSE '1' END, ',"source_midi":"', CASE WHEN x = 2 THEN 'other' ELSE name END, '","source_sha256":"', CASE WHEN x = 3 THEN upper(sha256) ELSE sha256 END,
   '","ticks_per_quarter":', CASE WHEN x = 4 THEN '240' ELSE '480' END, ',"instrument_index":', CAST(instrument_index + CASE WHEN x = 5 THEN 1 ELSE 0 END AS VARCHAR(20)), CASE x WHEN 9 THEN '' WHEN 6 THEN ',"coverage":"PARTIAL"' WHEN 10 THEN ',"coverage":"COMPLETE","more":[]' ELSE ',"coverage":"COMPLETE"' END,
-  ',"note_techniques":', CASE WHEN x = 12 THEN '<>' ELSE concat('[', coalesce(marks, ''), ']') END, ',"palm_mute_ranges":', CASE WHEN x = 13 THEN 'null' ELSE concat('[', coalesce(spans, ''), ']') END, '>', CASE WHEN x = 7 THEN ' x' ELSE '' END), '<>', concat(chr(123), chr(125))) AS text
+  ',"note_techniques":', CASE WHEN x = 12 THEN '<>' ELSE concat('[', coalesce(marks, ''), ']') END, ',"palm_mute_ranges":', CASE WHEN x = 13 THEN 'null' ELSE concat('[', coalesce(spans, ''), ']') END, '>', CASE WHEN x = 7 THEN ' x' ELSE '' END), '<>', concat(chr(123), chr(125))) END AS text
 FROM (SELECT source_id, name, sha256, instrument_index, source_id % 31 AS x FROM v_sidecar_sources) f
 LEFT JOIN (SELECT source_id AS ms, LISTED(concat('<"note":<"onset_tick":', CAST(onset_tick AS VARCHAR(20)), ',"end_tick":', CAST(end_tick AS VARCHAR(20)), ',"pitch":', CAST(CASE WHEN source_id % 31 = 18 THEN pitch + 60 ELSE pitch END AS VARCHAR(20)), ',"velocity":', CASE WHEN source_id % 31 = 15 THEN '0' WHEN source_id % 31 = 19 THEN concat(CAST(velocity AS VARCHAR(20)), '.0') ELSE CAST(velocity AS VARCHAR(20)) END,
     '>,"techniques":[', CASE WHEN source_id % 31 = 16 THEN '' ELSE kinds END, ']>')) ORDERED(seq) AS marks
@@ -122,8 +122,8 @@ LEFT JOIN (SELECT source_id AS ms, LISTED(concat('<"note":<"onset_tick":', CAST(
 LEFT JOIN (SELECT source_id AS rs, LISTED(concat('<"start_tick":', CAST(onset_tick - 1 AS VARCHAR(20)), ',"end_tick":', CAST(onset_tick + CASE WHEN source_id % 31 = 14 THEN 99999 ELSE 20 END AS VARCHAR(20)), '>')) ORDERED(onset_tick) AS spans
   FROM (SELECT DISTINCT source_id, onset_tick FROM v_lead WHERE onset_tick > 0 AND seq % 6 = 0) g GROUP BY source_id) r ON rs = source_id
 UNION ALL
-SELECT source_id, 'tonality', translate(concat('<"schema_version":1,"source_midi":"', name, '","source_sha256":"', sha256, '","instrument_index":', CAST(instrument_index AS VARCHAR(20)), ',"tonic":"', CASE source_id % 7 WHEN 0 THEN 'C' WHEN 1 THEN 'F_SHARP' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'Db' ELSE 'A' END,
-  '","mode":', CASE source_id % 5 WHEN 0 THEN '"MINOR"' WHEN 1 THEN '"UNKNOWN"' WHEN 2 THEN '"dorian"' WHEN 3 THEN '"BLUES"' ELSE 'null' END, '>'), '<>', concat(chr(123), chr(125)))
+SELECT source_id, 'tonality', CASE WHEN sha256 IS NOT NULL THEN translate(concat('<"schema_version":1,"source_midi":"', name, '","source_sha256":"', sha256, '","instrument_index":', CAST(instrument_index AS VARCHAR(20)), ',"tonic":"', CASE source_id % 7 WHEN 0 THEN 'C' WHEN 1 THEN 'F_SHARP' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'Db' ELSE 'A' END,
+  '","mode":', CASE source_id % 5 WHEN 0 THEN '"MINOR"' WHEN 1 THEN '"UNKNOWN"' WHEN 2 THEN '"dorian"' WHEN 3 THEN '"BLUES"' ELSE 'null' END, '>'), '<>', concat(chr(123), chr(125))) END
 FROM v_sidecar_sources CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) t WHERE k = 0 OR source_id % 23 = 3"""
 
 
