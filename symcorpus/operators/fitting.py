@@ -26,17 +26,18 @@ class Settings(NamedTuple):
     patience: int = 8
 
 
-def pair_table(sequences: DataFrame, tuning: Column, train: str = "train", validation: str = "validation") -> DataFrame:
+def pair_table(sequences: DataFrame, tuning: Column, train: str = "train", validation: str = "validation", keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(n_tune, n_valid, uniform, unigram, bigram) of each distinct pair that is tuned or validated on.
 
     sequences holds (split, tokens) and what tuning asks; train sequences for which tuning is
     true are kept from the counts. uniform is 1 over the number of tokens that follow another
-    anywhere. A pair or token that the counts lack has 0 there.
+    anywhere. A pair or token that the counts lack has 0 there. keep may write the counted pairs and read
+    them back, as totals and pairs ask for different counts and would each deal all pairs again.
     """
     part = F.when((F.col("split") == train) & tuning, "tune").when(F.col("split") == train, "count").when(F.col("split") == validation, "valid")
     rows = pairs_of(sequences.withColumn("sequence_id", part).filter("sequence_id IS NOT NULL"))
     of = lambda name: F.count_if(F.col("sequence_id") == name).alias(f"n_{name}")
-    counted = rows.groupBy(F.col("input").alias("prev"), F.col("target").alias("next")).agg(of("count"), of("tune"), of("valid"))
+    counted = keep(rows.groupBy(F.col("input").alias("prev"), F.col("target").alias("next")).agg(of("count"), of("tune"), of("valid")))
     before = counted.groupBy("prev").agg(F.sum("n_count").alias("n_prev"))
     after = counted.groupBy("next").agg(F.sum("n_count").alias("n_next"))
     size = after.agg(F.sum("n_next").alias("n_all"), F.count("*").alias("n_tokens"))
@@ -84,7 +85,7 @@ def fit(spark: SparkSession, table: DataFrame, settings: Settings = Settings())
 
 def fitted(sequences: DataFrame, tuning: Column, settings: Settings = Settings(), stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """HISTORY of sequences (split, tokens); stage writes the pairs to the shared folder, so epochs don't count again."""
-    return fit(sequences.sparkSession, stage(pair_table(sequences, tuning)), settings)
+    return fit(sequences.sparkSession, stage(pair_table(sequences, tuning, keep=stage)), settings)
 
 
 def phase_losses(history: DataFrame) -> DataFrame:
