@@ -5,6 +5,8 @@ A phrase is (source_id, phrase_index). One tick is 1/480 beat, a grid cell 1/24
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -234,26 +236,28 @@ def tokenize_summary(sequences: DataFrame, failures: DataFrame, splits: DataFram
     )
 
 
-def audit_samples(tokens: DataFrame, labels: DataFrame, asked: DataFrame, known: DataFrame, most: int, least_tokens: int) -> DataFrame:
+def audit_samples(tokens: DataFrame, labels: DataFrame, asked: DataFrame, known: DataFrame, most: int, least_tokens: int, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """(PHRASE, reasons) of generated streams: all that speaks against a stream, joined; empty where nothing does.
 
     A stream keeps the tonic and mode that were asked for, comes from a known source, decodes to
     notes of which none overlaps one of its pitch, breaks no rule of sampling (token_rules) and
-    does not end in bars.
+    does not end in bars. keep may write rows and read them back: the parts are all dealt by
+    phrase, and without it one task would hold the sorts of all of them at once.
     """
     from .contracts import token_rules
 
-    end = tokens.groupBy(*PHRASE).agg((F.max("pos") + 1).alias("pos"), F.max_by("token", "pos").alias("last"))
+    tokens = keep(tokens)
+    end = keep(tokens.groupBy(*PHRASE).agg((F.max("pos") + 1).alias("pos"), F.max_by("token", "pos").alias("last")))
     whole = tokens.unionByName(end.select(*PHRASE, "pos", F.lit("EOS_None").alias("token")))
-    rules = token_rules(typed(whole), most, least_tokens).select(*PHRASE, F.col("rule").alias("reason"))
-    notes = decode(tokens)[0]
+    rules = token_rules(keep(typed(whole)), most, least_tokens).select(*PHRASE, F.col("rule").alias("reason"))
+    notes = keep(decode(tokens)[0])
     over = Window.partitionBy(*PHRASE, "pitch").orderBy("onset_tick", "end_tick", "seq")
     overlaps = notes.withColumn("before", F.lag("end_tick").over(over)).filter("onset_tick < before").select(*PHRASE, F.lit("overlap of one pitch").alias("reason"))
-    told = split_prefix(wrapped(tokens, labels)).select(*PHRASE, F.col("tonic").alias("own_tonic"), F.col("mode").alias("own_mode"), "valid").join(asked, "source_id", "left")
+    told = split_prefix(keep(wrapped(tokens, labels))).select(*PHRASE, F.col("tonic").alias("own_tonic"), F.col("mode").alias("own_mode"), "valid").join(asked, "source_id", "left")
     kept = F.coalesce(F.col("valid") & (F.col("own_tonic") == F.col("tonic")) & (F.col("own_mode") == F.col("mode")), F.lit(False))
     prefix = told.filter(~kept).select(*PHRASE, F.lit("prefix not kept").alias("reason"))
     stray = end.join(known.select("source_id").distinct(), "source_id", "left_anti").select(*PHRASE, F.lit("source unknown").alias("reason"))
     silent = end.join(notes.select(*PHRASE).distinct(), PHRASE, "left_anti").select(*PHRASE, F.lit("no notes").alias("reason"))
     bars = end.filter("last = 'Bar_None'").select(*PHRASE, F.lit("closing bars").alias("reason"))
-    all_ = rules.union(overlaps).union(prefix).union(stray).union(silent).union(bars).groupBy(*PHRASE).agg(F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("reasons"))
+    all_ = keep(rules).union(keep(overlaps)).union(prefix).union(stray).union(silent).union(bars).groupBy(*PHRASE).agg(F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("reasons"))
     return end.select(*PHRASE).join(all_, PHRASE, "left").fillna("", ["reasons"])

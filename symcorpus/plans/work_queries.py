@@ -168,7 +168,7 @@ ar AS (SELECT source_id, phrase_index, 'overlap of one pitch' AS reason FROM (SE
 def _(n, b):
     asked = ton.infer(n).select("source_id", F.when(F.col("source_id") % 6 == 1, "NONE").otherwise(F.col("tonic")).alias("tonic"), "mode")
     known = n.select("source_id").distinct().filter("source_id % 10 <> 3")
-    return t.audit_samples(_encoded(n, b), ton.infer(n), asked, known, 1, 0)
+    return t.audit_samples(_encoded(n, b), ton.infer(n), asked, known, 1, 0, runs.staged)
 
 
 @query("t14_objective_rows", "v_logits", "SELECT row_id, target FROM v_logits WHERE target NOT IN (0, 8, 9)")
