@@ -6,6 +6,7 @@ of the variant, and the prefix holds the variant's own tonic and mode.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -85,20 +86,22 @@ def without(rows: DataFrame, others: DataFrame) -> DataFrame:
     return rows.join(keys, same, "left_anti")
 
 
-def tokenized_fragments(fragments: DataFrame, sources: DataFrame, contents: DataFrame, run: str, limit: int) -> Sequences:
+def tokenized_fragments(fragments: DataFrame, sources: DataFrame, contents: DataFrame, run: str, limit: int, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Sequences:
     """Sequences of declared fragments, and every rule that the others break, in one text each.
 
     Fragments that break their contract are not encoded. Sequences are checked against what
     the contents and the fragment's record declare; over `limit` ids is too long and never cut.
+    keep may write rows and read them back: what the gate stops, the encoded fragments and the
+    failures are read by several steps, and without it each of them would encode all phrases again.
     """
     twice = repeated_keys(fragments, *FRAGMENT).select(*FRAGMENT, F.lit("declared twice").alias("rule"))
-    gate = fragment_issues(fragments, sources, run).unionByName(twice)
-    made = framed(without(fragments, gate), bodies(contents))
+    gate = keep(fragment_issues(fragments, sources, run).unionByName(twice))
+    made = keep(framed(without(fragments, gate), bodies(contents)))
     empty = made.filter("ids IS NULL").select(*FRAGMENT, F.lit("phrase without contents").alias("rule"))
     full = made.filter("ids IS NOT NULL")
     odd = full.filter(F.col("num_notes") != F.col("n_notes")).select(*FRAGMENT, F.lit("declared notes differ").alias("rule"))
     broken = gate.unionByName(empty).unionByName(odd).unionByName(sequence_issues(full, limit, FRAGMENT))
-    failures = broken.groupBy(*FRAGMENT).agg(F.array_join(F.array_sort(F.collect_set("rule")), "; ").alias("rules"))
+    failures = keep(broken.groupBy(*FRAGMENT).agg(F.array_join(F.array_sort(F.collect_set("rule")), "; ").alias("rules")))
     return Sequences(without(full, failures).select(*FRAGMENT, "split", "ids"), failures)
 
 

@@ -36,8 +36,7 @@ def _first(spark: SparkSession, sf_dir: str, spoil: bool) -> tuple[runs.Manifest
 
 def _tokenized(spark: SparkSession, sf_dir: str, spoil: bool = True) -> two.Sequences:
     held, contents, _ = _first(spark, sf_dir, spoil)
-    made = two.tokenized_fragments(held.fragments, held.sources, contents, RUN, LIMIT)
-    return two.Sequences(runs.staged(made.rows), runs.staged(made.failures))
+    return two.tokenized_fragments(held.fragments, held.sources, contents, RUN, LIMIT, runs.staged)
 
 
 def _encode_sql() -> str:
@@ -82,8 +81,7 @@ SELECT sk.split, semitones, grouping(sk.split) = 1 AS every_split, grouping(semi
 def _publication(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three attempts: all that is declared, of which some is spoiled; what keeps the rules; that again, which is the same run."""
     held, contents, root = _first(spark, sf_dir, True)
-    made = two.tokenized_fragments(held.fragments, held.sources, contents, RUN, LIMIT)
-    whole = two.Sequences(runs.staged(made.rows), runs.staged(made.failures))
+    whole = two.tokenized_fragments(held.fragments, held.sources, contents, RUN, LIMIT, runs.staged)
     place, told = f"{root}/tokenized", []
     for k, failures in enumerate([whole.failures, whole.failures.limit(0), whole.failures.limit(0)], 1):
         try:

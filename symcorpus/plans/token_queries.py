@@ -11,6 +11,7 @@ from ..operators import grids as gr
 from ..operators import splits as sp
 from ..operators import tokens as t
 from ..operators import tonality as ton
+from ..sources import runs
 from ..views import oracle, view
 from .registry import QUERIES, SQL, query
 
@@ -58,6 +59,7 @@ def _manual(n: DataFrame) -> DataFrame:
 
 
 def _resolved(n: DataFrame) -> DataFrame:
+    n = runs.staged(n)  # profiles and labels read it many times
     return ton.resolve(n.select("source_id").distinct(), _manual(n), ton.infer(n.filter("source_id % 7 <> 0")), "infer_source")
 
 

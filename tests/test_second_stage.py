@@ -95,3 +95,19 @@ def test_sequences_are_published_all_or_none(spark, stage, tmp_path):
     with pytest.raises(runs.Drift, match="made from run one"):
         runs.read_sequences(spark, place, held._replace(run_id="other"))
     assert runs.write_sequences(place, held, {"limit": 32}, made.rows, made.failures, two.FRAGMENT) != first
+
+
+def test_phrases_are_encoded_once(spark, stage, tmp_path):
+    rows = spark.createDataFrame([record(mode=mode_name()), record(semitones=1, mode=mode_name(), notes=3), record(semitones=2, mode=mode_name(), file="run/train/a.wav")], RECORD)
+    plans = []
+
+    def keep(frame):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        frame.write.parquet(place := str(tmp_path / str(len(plans))))
+        return spark.read.schema(frame.schema).parquet(place)
+
+    plain, once = (two.tokenized_fragments(rows, stage[1], stage[0], "run", 64, *more) for more in ((), (keep,)))
+    assert sum("Window" in p for p in plans) == 1
+    assert not any("Window" in x._jdf.queryExecution().optimizedPlan().toString() for x in once)
+    for a, b in zip(plain, once):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) != []
