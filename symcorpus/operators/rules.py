@@ -147,18 +147,24 @@ def evaluate_pairs(pairs: DataFrame, words: DataFrame, alpha: float = 1.0, pad:
     """Metrics of next tokens by split under bigrams counted in the train split alone.
 
     Only objective rows are counted and scored. A pair that train lacks has the smoothed value;
-    where train lacks the token before, all tokens are equal and the least one is the guess.
+    where train lacks the token before, all tokens are equal and the least one is the guess. Pairs are
+    dealt once, to be counted; what follows a token is then added up where it lies.
     """
     pairs = objective_rows(pairs, pad, list(prompt))
     count = lambda name: F.count(F.when(F.col("split") == name, 1)).alias(name)
     counted = pairs.groupBy(F.col("input").alias("prev"), F.col("target").alias("next")).agg(*[count(x) for x in SPLITS])
-    over = Window.partitionBy("prev")
-    best = F.min(F.when(F.col("train") > 0, F.struct(-F.col("train"), "next"))).over(over)["next"]
-    both = counted.select("*", F.sum("train").over(over).alias("total"), best.alias("best"))
-    size = words.agg(F.count_distinct("token").alias("v"), F.min("token").alias("least"))
-    nll = -F.ln((F.col("train") + alpha) / (F.col("total") + alpha * F.col("v")))
-    top1 = (F.col("next") == F.coalesce("best", "least")).cast("long")
-    by = F.inline(F.array(*[F.struct(F.lit(x).alias("split"), F.col(x).alias("n")) for x in SPLITS]))
-    rows = both.crossJoin(F.broadcast(size)).select(by, nll.alias("nll"), top1.alias("top1")).filter("n > 0")  # size is one row
-    mean = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
+    size = words.select("token").distinct().agg(F.count("token").alias("v"), F.min("token").alias("least"))
+    # of a pair's loss ln(total + alpha v) - ln(train + alpha), the first part is the same for all that follow a token
+    own = lambda x: F.sum(F.col(x) * F.ln(F.col("train") + alpha))
+    sums = [f.alias(f"{kind}_{x}") for x in SPLITS for kind, f in (("n", F.sum(x)), ("own", own(x)), ("least", F.sum(F.when(F.col("next") == F.col("least"), F.col(x)))))]
+    if alpha <= 0:  # pairs that train lacks have no loss then
+        sums += [F.sum(F.when(F.col("train") > 0, F.col(x))).alias(f"known_{x}") for x in SPLITS]
+    best = F.min(F.when(F.col("train") > 0, F.struct((-F.col("train")).alias("order"), "next", *SPLITS)))
+    followed = counted.crossJoin(F.broadcast(size)).groupBy("prev", "v").agg(best.alias("best"), *sums)  # size is one row
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    loss = lambda x: zero(F.col(f"{'known' if alpha <= 0 else 'n'}_{x}") * F.ln(F.col("n_train") + alpha * F.col("v")) - F.col(f"own_{x}"))
+    hits = lambda x: zero(F.when(F.col("best").isNull(), F.col(f"least_{x}")).otherwise(F.col(f"best.{x}")))
+    by = F.inline(F.array(*[F.struct(F.lit(x).alias("split"), F.col(f"n_{x}").alias("n"), loss(x).cast("double").alias("nll"), hits(x).alias("top1")) for x in SPLITS]))
+    rows = followed.select(by).filter("n > 0")
+    mean = lambda c: F.sum(c) / F.sum("n")
     return rows.groupBy("split").agg(F.lit(1).alias("epoch"), F.sum("n").alias("tokens"), F.round(mean("nll"), 4).alias("nll"), F.round(F.exp(F.least(mean("nll"), F.lit(50.0))), 2).alias("perplexity"), F.round(mean("top1"), 6).alias("top1"))

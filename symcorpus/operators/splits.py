@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPLITS = ("train", "validation", "test")
@@ -43,19 +43,34 @@ def allocate_splits(n: int, ratios: tuple[float, ...] = (0.8, 0.1, 0.1)) -> list
 def assign_splits(sources: DataFrame, ratios: tuple[float, ...] = (0.8, 0.1, 0.1), seed: str = "0") -> DataFrame:
     """Every source with a split, the same for equal content and for any input order.
 
-    Groups are ranked by a seeded hash in two steps, within prefixes of the hash and over the
-    4,096 prefixes, so no task holds all groups; the driver holds their number alone.
+    Groups are ranked by a seeded hash, so a split is a range of hashes. The sizes of the 4,096
+    prefixes of hashes say in which prefix a split ends, and the hashes of that prefix alone are
+    ordered. The driver holds these sizes and the two ends; each row compares its own hash with
+    the ends, so no row is shuffled. A source without a hash has no split, and its group, the last, counts.
     """
-    groups = sources.select("sha256").distinct().withColumn("mark", F.sha2(F.concat(F.lit(seed), "sha256"), 256)).withColumn("prefix", F.substring("mark", 1, 3))
-    sizes = groups.groupBy("prefix").agg(F.count("*").alias("n"))
-    before = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("prefix", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rank = F.col("base") + F.row_number().over(Window.partitionBy("prefix").orderBy("mark"))
-    counts = allocate_splits(groups.count(), ratios)
-    edges = [sum(counts[: k + 1]) for k in range(len(counts))]
-    split = F.when(F.col("rank") <= edges[0], SPLITS[0]).when(F.col("rank") <= edges[1], SPLITS[1]).otherwise(SPLITS[2])
-    ranked = groups.join(F.broadcast(bases), "prefix").withColumn("rank", rank).select("sha256", split.alias("split"))
-    return sources.join(ranked, "sha256")
+    mark = F.sha2(F.concat(F.lit(seed), "sha256"), 256)
+    groups = sources.select("sha256").distinct().withColumn("mark", mark).withColumn("prefix", F.substring("mark", 1, 3))
+    sizes = {r["prefix"]: r["n"] for r in groups.groupBy("prefix").agg(F.count("*").alias("n")).collect()}
+    counts = allocate_splits(sum(sizes.values()), ratios)
+    places = [_place(sizes, sum(counts[: k + 1])) for k in range(2)]
+    ends = [None, None]
+    if any(places):
+        held = groups.filter(F.col("prefix").isin([p[0] for p in places if p]))
+        nth = lambda prefix, k: F.get(F.sort_array(F.collect_list(F.when(F.col("prefix") == prefix, F.col("mark")))), F.lit(k))
+        ends = list(held.agg(*[nth(*p).alias(f"end_{k}") if p else F.lit(None).alias(f"end_{k}") for k, p in enumerate(places)]).first())
+    split = F.when(mark <= F.lit(ends[0] or ""), SPLITS[0]).when(mark <= F.lit(ends[1] or ""), SPLITS[1]).otherwise(SPLITS[2])
+    return sources.filter("sha256 IS NOT NULL").select("sha256", *[c for c in sources.columns if c != "sha256"], split.alias("split"))
+
+
+def _place(sizes: dict[str | None, int], rank: int) -> tuple[str, int] | None:
+    """The prefix that holds the group of a rank, counted from 1, and its place there, counted from 0; a rank past the last is the last, none is before the first."""
+    known = sorted(p for p in sizes if p is not None)
+    rank = min(rank, sum(sizes[p] for p in known))
+    for p in known if rank > 0 else []:
+        if rank <= sizes[p]:
+            return p, rank - 1
+        rank -= sizes[p]
+    return None
 
 
 def split_leakage(sources: DataFrame) -> DataFrame:
