@@ -30,15 +30,34 @@ def global_rank(rows: DataFrame, order: list[str], keep: Keep, name: str = "rank
     return ranked.select(*rows.columns, (F.col("_base") + F.col("_place") - 1).alias(name))
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, keep: Keep, most: int = 4096) -> DataFrame:
+def frequent(counts: DataFrame, number: str, most: int) -> DataFrame:
+    """Rows of counts whose number is at least the least power of two that leaves `most` rows at most.
+
+    The driver holds a number for each power of two, and no task sorts. As twice a number that is left
+    out would leave over `most` rows, such a number is below 2 in `most` of the sum.
+    """
+    scale = F.floor(F.log2(number))
+    sizes = counts.filter(F.col(number) > 0).groupBy(scale.alias("scale")).agg(F.count("*").alias("n")).orderBy(F.desc("scale")).collect()
+    held, least = 0, None
+    for r in sizes:
+        held += r["n"]
+        if held > most:
+            break
+        least = r["scale"]
+    return counts.limit(0) if least is None else counts.filter(F.col(number) >= 2**least)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, keep: Keep, most: int = 4096, counts: DataFrame | None = None) -> DataFrame:
     """rows joined with a table of unique keys; rows whose key it lacks have nulls.
 
-    The `most` most frequent keys of rows are counted, kept and broadcast with their entries; any
-    other key has at most 1 in `most` rows and is joined by a shuffle. Counts are added up
-    before they are shuffled. Null keys find nothing and are not shuffled.
+    Frequent keys of rows, `most` at most, are kept and broadcast with their entries; any other key
+    has below 2 in `most` rows and is joined by a shuffle. counts (key, _n) says how often each key
+    occurs; without it rows are read once more, and the counts added up before they are shuffled. Null
+    keys find nothing and are not shuffled.
     """
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    often = counts.orderBy(F.desc("_n"), key).limit(most).select(key)
+    if counts is None:
+        counts = keep(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")))
+    often = frequent(counts.filter(F.col(key).isNotNull()), "_n", most).select(key)
     heavy = keep(often.join(table, key, "left").withColumn("_often", F.lit(True)))
     marked = rows.join(F.broadcast(heavy), key, "left")
     columns = [*rows.columns, *[c for c in table.columns if c != key]]

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from .ranks import Keep, global_rank, looked_up
+from .ranks import Keep, frequent, global_rank, looked_up
+
+#: Entries of a look-up that are broadcast, a few MB.
+MOST = 65_536
 
 
 def vocabulary(words: DataFrame, keep: Keep) -> DataFrame:
@@ -14,14 +17,19 @@ def vocabulary(words: DataFrame, keep: Keep) -> DataFrame:
     return global_rank(words.select("token").distinct(), ["token"], keep, "id")
 
 
-def ids_of(words: DataFrame, tokens: DataFrame, keep: Keep) -> DataFrame:
+def token_counts(words: DataFrame) -> DataFrame:
+    """(token, _n): how often each token occurs, which vocabulary, ids_of and texts_of can share."""
+    return words.groupBy("token").agg(F.count("*").alias("_n"))
+
+
+def ids_of(words: DataFrame, tokens: DataFrame, keep: Keep, counts: DataFrame | None = None) -> DataFrame:
     """words with the id of each token in (token, id), null where it is unknown; frequent tokens are not shuffled."""
-    return looked_up(words, tokens, "token", keep)
+    return looked_up(words, tokens, "token", keep, MOST, counts)
 
 
-def texts_of(ids: DataFrame, tokens: DataFrame, keep: Keep) -> DataFrame:
+def texts_of(ids: DataFrame, tokens: DataFrame, keep: Keep, counts: DataFrame | None = None) -> DataFrame:
     """Rows of ids with their tokens, the way back of ids_of."""
-    return looked_up(ids, tokens, "id", keep)
+    return looked_up(ids, tokens, "id", keep, MOST, counts)
 
 
 def pairs_of(sequences: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -41,12 +49,23 @@ def bigram_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("input").alias("prev"), F.col("target").alias("next")).agg(F.count("*").alias("n"))
 
 
-def bigram_scores(sequences: DataFrame, alpha: float = 1.0, tokens: str = "tokens") -> DataFrame:
-    """ln((c + alpha) / (n + alpha V)) of every bigram that occurs in arrays of tokens."""
-    counts = bigram_counts(pairs_of(sequences, tokens))
-    totals = counts.groupBy("prev").agg(F.sum("n").alias("total"))
-    size = sequences.select(F.explode(tokens).alias("token")).agg(F.count_distinct("token").alias("v"))
-    scored = counts.join(totals, "prev").crossJoin(F.broadcast(size))  # size is one row
+def bigram_scores(sequences: DataFrame, alpha: float = 1.0, tokens: str = "tokens", keep: Keep = lambda df: df) -> DataFrame:
+    """ln((c + alpha) / (n + alpha V)) of every bigram that occurs in arrays of tokens.
+
+    Tokens are counted first: how many there are, and how often each is followed by another. Bigrams of
+    the most followed tokens, whose totals are broadcast, are dealt by both tokens and others by their
+    first one, so totals of these are added up where they lie, no part holds a frequent
+    token, and bigrams are dealt once. keep may write the counts of tokens and read them back.
+    """
+    at = sequences.select(F.posexplode(tokens).alias("pos", "token"), F.size(tokens).alias("size"))
+    followed = keep(at.groupBy("token").agg(F.count_if(F.col("pos") < F.col("size") - 1).alias("total")))
+    often = keep(frequent(followed.filter("token IS NOT NULL"), "total", 4096).select(F.col("token").alias("input"), "total"))
+    size = followed.agg(F.count("token").alias("v"))
+    pairs = pairs_of(sequences, tokens).filter("input IS NOT NULL").join(F.broadcast(often), "input", "left")
+    dealt = pairs.withColumn("own", F.when(F.col("total").isNotNull(), F.col("target"))).repartition("input", "own")
+    counts = dealt.groupBy("input", "own", "target", "total").agg(F.count("*").alias("n"))
+    total = F.coalesce("total", F.sum("n").over(Window.partitionBy("input", "own")))
+    scored = counts.select(F.col("input").alias("prev"), F.col("target").alias("next"), "n", total.alias("total")).crossJoin(F.broadcast(size))  # size is one row
     return scored.select("prev", "next", "n", F.round(F.ln((F.col("n") + alpha) / (F.col("total") + alpha * F.col("v"))), 6).alias("log_p"))
 
 

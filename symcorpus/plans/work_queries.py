@@ -243,7 +243,7 @@ def _(d, types):
 WITH p AS (SELECT token AS prev, lead(token) OVER (PARTITION BY sequence_id ORDER BY pos) AS next FROM v_words), c AS (SELECT prev, next, count(*) AS n FROM p WHERE next IS NOT NULL GROUP BY 1, 2)
 SELECT prev, next, n, round(ln((n + 1.0) / (sum(n) OVER (PARTITION BY prev) + 1.0 * (SELECT count(DISTINCT token) FROM v_words))), 6) AS log_p FROM c""")
 def _(d):
-    return q.bigram_scores(d)
+    return q.bigram_scores(d, keep=runs.staged)
 
 
 TRAINED = step(sk="k03_assign_splits") + """, p AS (SELECT sequence_id, token AS prev, lead(token) OVER (PARTITION BY sequence_id ORDER BY pos) AS next FROM v_words),
