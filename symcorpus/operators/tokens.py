@@ -216,12 +216,13 @@ def without_closing_bars(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("last", last).filter("pos <= last").drop("last")
 
 
-def tokenized(tokens: DataFrame, labels: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+def tokenized(tokens: DataFrame, labels: DataFrame, limit: int, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[DataFrame, DataFrame]:
     """The second stage: wrapped sequences that keep the contract, and (PHRASE, rules) of those that break it.
 
-    A caller that wants all or nothing raises where the second table has a row.
+    A caller that wants all or nothing raises where the second table has a row. keep may write the
+    sequences and read them back; without it each reader of the two tables encodes them again.
     """
-    sequences = wrapped(tokens, labels)
+    sequences = keep(wrapped(tokens, labels))
     failures = contract(sequences, limit).groupBy(*PHRASE).agg(F.array_join(F.array_sort(F.collect_set("rule")), "; ").alias("rules"))
     return sequences.join(failures, PHRASE, "left_anti"), failures
 

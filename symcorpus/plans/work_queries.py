@@ -145,13 +145,15 @@ LONGEST = 40
 SELECT split, count(*) FILTER (n <= {LONGEST}) AS sequences, CAST(coalesce(sum(n) FILTER (n <= {LONGEST}), 0) AS BIGINT) AS total_tokens, min(n) FILTER (n <= {LONGEST}) AS min_tokens, max(n) FILTER (n <= {LONGEST}) AS max_tokens, round(avg(n) FILTER (n <= {LONGEST}), 6) AS mean_tokens,
  count(*) FILTER (n > {LONGEST}) AS failures FROM xl JOIN sk USING (source_id) GROUP BY GROUPING SETS ((split), ())""")
 def _(n, b, a, d):
-    sequences, failures = t.tokenized(_encoded(n, b, a), ton.infer(n), LONGEST)
+    n = runs.staged(n)  # the encoding and the tonality read it many times
+    sequences, failures = t.tokenized(_encoded(n, b, a), ton.infer(n), LONGEST, runs.staged)
     return t.tokenize_summary(sequences, failures, _splits(d))
 
 
 @query("x06_failures", "v_lead v_bends v_annot", step(tk="t04_insert_postfix_labels") + f" SELECT source_id, phrase_index, 'too long' AS rules FROM tk GROUP BY 1, 2 HAVING count(*) + 4 > {LONGEST}")
 def _(n, b, a):
-    return t.tokenized(_encoded(n, b, a), ton.infer(n), LONGEST)[1]
+    n = runs.staged(n)
+    return t.tokenized(_encoded(n, b, a), ton.infer(n), LONGEST, runs.staged)[1]
 
 
 X08 = step(tk="t03_encode_events", tr="w15_trim_trailing_bar", dn="t08_decode_tokens", la="a07_score_tonality") + """, ty AS (SELECT *, split_part(token, '_', 1) AS type, substr(token, instr(token, '_') + 1) AS value FROM tk),
