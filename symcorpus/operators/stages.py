@@ -48,11 +48,12 @@ def scaled_wheel(bends: DataFrame, ranges: DataFrame) -> DataFrame:
     return rows.select("source_id", "tick", value.alias("value"), issue.alias("issue"))
 
 
-def normalized(notes: DataFrame, bends: DataFrame, ranges: DataFrame, cell: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def normalized(notes: DataFrame, bends: DataFrame, ranges: DataFrame, cell: int | None = None, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Notes from tick 0 on, their wheel, and (source_id, reason) of sources that must go.
 
     notes are those of chosen tracks. The wheel value at the first onset is carried to tick 0.
     With a cell, onsets and lengths go to its grid; two notes that then are one are a reason.
+    stage is called on what several steps read.
     """
     lead = notes.groupBy("source_id").agg(F.min("onset_tick").alias("lead"))
     moved = notes.join(lead, "source_id").withColumn("source_tick", F.col("onset_tick")).withColumn("source_end", F.col("end_tick"))
@@ -62,9 +63,9 @@ def normalized(notes: DataFrame, bends: DataFrame, ranges: DataFrame, cell: int
         onset, length = steps(F.col("onset_tick")) * cell, F.greatest(steps(F.col("end_tick") - F.col("onset_tick")), F.lit(1)) * cell
         moved = moved.withColumn("length", length).withColumn("onset_tick", onset).withColumn("end_tick", F.col("onset_tick") + F.col("length")).drop("length")
     clash = moved.groupBy("source_id", *NOTE).agg(F.count("*").alias("n")).filter("n > 1").select("source_id", F.lit("notes meet on the grid").alias("reason"))
-    wheel = scaled_wheel(bends, ranges)
+    wheel = stage(scaled_wheel(bends, ranges))
     bad = wheel.filter("issue IS NOT NULL").join(lead, "source_id", "left_semi").groupBy("source_id").agg(F.min("issue").alias("reason"))
-    gone = bad.union(clash).groupBy("source_id").agg(F.min("reason").alias("reason"))
+    gone = stage(bad.union(clash).groupBy("source_id").agg(F.min("reason").alias("reason")))
     at = wheel.filter("issue IS NULL").join(lead, "source_id").withColumn("tick", F.col("tick") - F.col("lead"))
     # of the values up to the first onset the last one counts, and a zero there says nothing
     place = F.greatest("tick", F.lit(0))
@@ -164,9 +165,9 @@ def preprocess(notes: DataFrame, bends: DataFrame, found: Inspection, splits: Da
     found = found._replace(sources=stage(found.sources))
     chosen, splits, coverage = found.sources.select("source_id", "instrument_index", "reason"), stage(splits), stage(coverage)
     wheel, ranges = wheel_of_tracks(bends, found)
-    clean, wheel, gone = normalized(stage(notes_of_tracks(notes, chosen)), wheel, ranges, limits.cell)
-    gone, phrases = stage(gone), stage(phrases_of(clean, limits.least_notes))
-    labels = phrase_labels(phrases, annotations, mutes, coverage)
+    clean, wheel, gone = normalized(stage(notes_of_tracks(notes, chosen)), wheel, ranges, limits.cell, stage)
+    wheel, phrases = stage(wheel), stage(phrases_of(clean, limits.least_notes))
+    labels = stage(phrase_labels(phrases, annotations, mutes, coverage))
     made = fragments(phrases, wheel, labels, splits, limits).join(coverage, "source_id", "left").fillna("UNLABELED", ["coverage"])
     made = stage(made)
     counts = phrases.groupBy("source_id").agg(F.count_distinct("phrase_index").alias("num_base_fragments"))
