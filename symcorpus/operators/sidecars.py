@@ -86,7 +86,7 @@ def first_broken(rules: list[tuple[Column, str]]) -> Column:
 
 
 def heads(sidecars: DataFrame, sources: DataFrame) -> DataFrame:
-    """Sidecars (source_id, kind, text) with `doc`, their JSON, and the first rule that their outermost fields break.
+    """Sidecars (source_id, kind, text) and the first rule that their outermost fields break, `reason`.
 
     sources is (source_id, name, sha256, ppq, instrument_index, n_tracks): what a sidecar has to
     agree with. Sidecars of other sources are left out; orphans() tells them.
@@ -114,7 +114,12 @@ def heads(sidecars: DataFrame, sources: DataFrame) -> DataFrame:
         (~labels | (kind_of(_part(doc, "note_techniques")) == "ARRAY"), "note_techniques"),
         (~labels | (F.size(listing(doc, "note_techniques")) <= MOST_ANNOTATIONS), "too many annotations"),
     ]
-    return rows.select("source_id", "kind", "doc", first_broken(rules).alias("reason"))
+    return rows.select("source_id", "kind", "text", first_broken(rules).alias("reason"))
+
+
+def parsed(read: DataFrame) -> DataFrame:
+    """Judged heads with `doc`, the JSON of those that hold."""
+    return read.withColumn("doc", F.when(F.col("reason").isNull(), F.try_parse_json("text"))).drop("text")
 
 
 def _technique_issue(x: Column, pitch: Column) -> Column:
@@ -209,10 +214,12 @@ def read_sidecars(sidecars: DataFrame, sources: DataFrame, notes: DataFrame, dur
     Reasons come in the order in which the fields are read: the head, labelled notes one by one,
     ranges one by one, ranges beside each other, and the number of all annotations. annotations
     are (source_id, note, type, target_pitch), a PALM_MUTE for each note of a range among them.
-    keep may write rows and read them back, so that texts are parsed once for all four tables.
+    keep may write rows and read them back, so that heads are judged once for all four tables. It is
+    given texts and no VARIANT: Parquet files hold the integers of a field as decimals where one of
+    them has a fraction such as .0, and 12 would no longer differ from 12.0.
     """
     known = keep(notes.select("source_id", *NOTE).distinct())
-    read = keep(heads(sidecars, sources))
+    read = parsed(keep(heads(sidecars, sources)))
     marks, muted = keep(entries(read, known)), keep(muted_ranges(read, known, durations))
     first = lambda rows, c, stage: rows.filter(F.col(c).isNotNull()).groupBy("source_id").agg(F.min(F.struct(F.lit(stage).alias("stage"), "at", F.col(c).alias("reason"))).alias("x"))
     listless = read.filter("kind = 'techniques' AND reason IS NULL").select("source_id", F.size(listing(F.col("doc"), "palm_mute_ranges")).alias("n_ranges"), kind_of(_part(F.col("doc"), "palm_mute_ranges")).alias("is"))
