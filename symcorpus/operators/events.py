@@ -207,13 +207,18 @@ def attach_annotations(notes: DataFrame, annotations: DataFrame) -> DataFrame:
     return notes.select("source_id", "seq", *NOTE).join(types, ["source_id", *NOTE], "left").fillna("", ["types"])
 
 
-def range_label(notes: DataFrame, ranges: DataFrame, cell: int = 1440) -> DataFrame:
-    """Notes whose onset lies in a range of their source; ranges go to each cell of ticks they touch."""
+def in_ranges(notes: DataFrame, ranges: DataFrame, cell: int = 1440) -> DataFrame:
+    """(source_id, seq) of notes whose onset lies in a range of their source, each once; ranges go to each cell of ticks they touch."""
     cells = F.explode(F.sequence(F.floor(F.col("start_tick") / cell), F.floor((F.col("end_tick") - 1) / cell)))
     dealt = ranges.select("source_id", "start_tick", "end_tick", cells.alias("cell"))
     asked = notes.select("source_id", "seq", "onset_tick", F.floor(F.col("onset_tick") / cell).alias("cell"))
-    hits = asked.join(dealt, ["source_id", "cell"]).filter("start_tick <= onset_tick AND onset_tick < end_tick").select("source_id", "seq").distinct()
-    return asked.join(hits.withColumn("muted", F.lit(True)), ["source_id", "seq"], "left").select("source_id", "seq", "onset_tick", F.coalesce("muted", F.lit(False)).alias("muted"))
+    return asked.join(dealt, ["source_id", "cell"]).filter("start_tick <= onset_tick AND onset_tick < end_tick").select("source_id", "seq").distinct()
+
+
+def range_label(notes: DataFrame, ranges: DataFrame, cell: int = 1440) -> DataFrame:
+    """Notes with muted: does their onset lie in a range of their source."""
+    hits = in_ranges(notes, ranges, cell).withColumn("muted", F.lit(True))
+    return notes.select("source_id", "seq", "onset_tick").join(hits, ["source_id", "seq"], "left").select("source_id", "seq", "onset_tick", F.coalesce("muted", F.lit(False)).alias("muted"))
 
 
 def state_transitions(labelled: DataFrame, width: int = PHRASE) -> DataFrame:

@@ -179,7 +179,7 @@ def inspect(notes: DataFrame, bends: DataFrame, controls: DataFrame, messages: D
     parts = [
         tag(headers, "header", F.col("file_type").cast("int").alias("file_type"), F.col("ppq").cast("int").alias("ppq"), F.col("n_tracks").cast("long").alias("n_tracks")),
         tag(misplaced, "misplaced", "kind"),
-        tag(lifetime_issues(messages), "lifetime", "issue"),
+        tag(stage(lifetime_issues(messages)), "lifetime", "issue"),
         tag(tempi, "tempo", "seq", F.col("bpm").cast("double").alias("bpm")),
         tag(meters, "meter", "seq", "numerator", "denominator"),
         tag(tracks, "track", "instrument_index", "n_notes", "compatible", "reason"),

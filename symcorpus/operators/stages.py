@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from .events import NOTE, PHRASE, last_per_tick, phrase_window, range_label, sliced_bends
+from .events import NOTE, PHRASE, in_ranges, last_per_tick, phrase_window, sliced_bends
 from .inspection import Inspection
 from .tokens import TECHNIQUES
 
@@ -88,21 +88,23 @@ def coverage_label(sources: DataFrame, sidecars: DataFrame) -> DataFrame:
     return sources.select("source_id").distinct().join(held, "source_id", "left").select("source_id", F.when(F.col("held"), "COMPLETE").otherwise("UNLABELED").alias("coverage"))
 
 
-def phrase_labels(phrases: DataFrame, annotations: DataFrame, ranges: DataFrame, coverage: DataFrame) -> DataFrame:
+def phrase_labels(phrases: DataFrame, annotations: DataFrame, ranges: DataFrame, coverage: DataFrame, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(source_id, phrase_index, note_index, type, target_pitch) of the notes of labelled sources.
 
     Annotations meet notes by their place in the source (source_tick, source_end, pitch,
     velocity). Muted notes give PALM_MUTE_ON and OFF where the state changes in note order,
-    each phrase beginning unmuted.
+    each phrase beginning unmuted. stage is called on the notes of labelled sources, which
+    several steps read.
     """
-    known = phrases.join(coverage.filter("coverage = 'COMPLETE'").select("source_id"), "source_id", "left_semi")
+    known = stage(phrases.join(coverage.filter("coverage = 'COMPLETE'").select("source_id"), "source_id", "left_semi"))
     at = known.withColumn("onset_tick", F.col("source_tick")).withColumn("end_tick", F.col("source_end"))
     own = annotations.select("source_id", *NOTE, "type", "target_pitch").distinct()
     told = at.join(own, ["source_id", *NOTE]).select("source_id", "phrase_index", "note_index", "type", "target_pitch")
-    muted = range_label(at, ranges).select("source_id", "seq", "muted")
+    hits = in_ranges(at, ranges).withColumn("hit", F.lit(True))
     order = Window.partitionBy("source_id", "phrase_index").orderBy("note_index")
     before = F.coalesce(F.lag("muted").over(order), F.lit(False))
-    state = known.select("source_id", "phrase_index", "note_index", "seq").join(muted, ["source_id", "seq"]).withColumn("before", before).filter("muted <> before")
+    state = known.select("source_id", "phrase_index", "note_index", "seq").join(hits, ["source_id", "seq"], "left").withColumn("muted", F.coalesce("hit", F.lit(False)))
+    state = state.withColumn("before", before).filter("muted <> before")
     toggles = state.select("source_id", "phrase_index", "note_index", F.when(F.col("muted"), "PALM_MUTE_ON").otherwise("PALM_MUTE_OFF").alias("type"), F.lit(None).cast("int").alias("target_pitch"))
     return told.union(toggles)
 
@@ -146,13 +148,14 @@ def wheel_of_tracks(bends: DataFrame, found: Inspection) -> tuple[DataFrame, Dat
 
 
 class Preprocessed(NamedTuple):
-    """sources: a row an inspected file, with its track or the reason to discard it; phrases, wheel and labels: what fragments are made of."""
+    """sources: a row an inspected file, with its track or the reason to discard it; phrases, wheel and labels: what fragments are made of; inspected: the files as the inspection told them, written once."""
 
     sources: DataFrame
     fragments: DataFrame
     phrases: DataFrame
     wheel: DataFrame
     labels: DataFrame
+    inspected: DataFrame
 
 
 def preprocess(notes: DataFrame, bends: DataFrame, found: Inspection, splits: DataFrame, coverage: DataFrame, annotations: DataFrame, mutes: DataFrame, limits: Limits = Limits(), stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> Preprocessed:
@@ -167,7 +170,7 @@ def preprocess(notes: DataFrame, bends: DataFrame, found: Inspection, splits: Da
     wheel, ranges = wheel_of_tracks(bends, found)
     clean, wheel, gone = normalized(stage(notes_of_tracks(notes, chosen)), wheel, ranges, limits.cell, stage)
     wheel, phrases = stage(wheel), stage(phrases_of(clean, limits.least_notes))
-    labels = stage(phrase_labels(phrases, annotations, mutes, coverage))
+    labels = stage(phrase_labels(phrases, annotations, mutes, coverage, stage))
     made = fragments(phrases, wheel, labels, splits, limits).join(coverage, "source_id", "left").fillna("UNLABELED", ["coverage"])
     made = stage(made)
     counts = phrases.groupBy("source_id").agg(F.count_distinct("phrase_index").alias("num_base_fragments"))
@@ -175,7 +178,7 @@ def preprocess(notes: DataFrame, bends: DataFrame, found: Inspection, splits: Da
     rows = chosen.join(gone.withColumnRenamed("reason", "later"), "source_id", "left").join(counts, "source_id", "left").join(total, "source_id", "left").fillna(0, ["num_base_fragments", "num_fragments"])
     why = F.coalesce("reason", "later", F.when(F.col("num_base_fragments") == 0, "no phrase of enough notes"), F.when(F.col("num_fragments") == 0, "no variant inside the pitches"))
     sources = rows.join(splits.select("source_id", "split"), "source_id", "left").select("source_id", "split", "instrument_index", why.isNull().alias("compatible"), why.alias("reason"), "num_base_fragments", "num_fragments")
-    return Preprocessed(sources, made, phrases, wheel, labels)
+    return Preprocessed(sources, made, phrases, wheel, labels, found.sources)
 
 
 def label_summary(rows: DataFrame, names: dict[str, list[str]]) -> DataFrame:

@@ -24,11 +24,11 @@ CONFIGURATION = {"limit": LIMIT, "cell": t.CELL, "vocabulary": sum(n for _, n in
 def _first(spark: SparkSession, sf_dir: str, spoil: bool) -> tuple[runs.Manifest, DataFrame, str]:
     """The first stage as published and read back: its manifest, the contents of its phrases, its root."""
     tables = [view(spark, sf_dir, v) for v in VIEWS.split()]
-    made, inspected = _stage(*tables)
+    made = _stage(*tables)
     rows = declared(made.fragments, _resolved(view(spark, sf_dir, "v_lead")))
     root = f"{runs.shared_root(spark)}/first-{uuid.uuid4().hex}"
     ids = sp.run_id(sp.fingerprint(view(spark, sf_dir, "v_sources"))).first()[0]
-    runs.publish(two.phrase_contents(made.phrases, made.wheel, made.labels, inspected), root, f"phrases-{ids}", [])
+    runs.publish(two.phrase_contents(made.phrases, made.wheel, made.labels, made.inspected), root, f"phrases-{ids}", [])
     runs.write_manifest(root, ids, {"least_notes": LIMITS.least_notes, "spoiled": spoil}, made.sources.withColumn("split", F.coalesce("split", F.lit("none"))), spoiled(rows) if spoil else rows)
     held = runs.read_manifest(spark, root)
     return held, runs.read(spark, root, f"phrases-{held.run_id}", verify=True), root

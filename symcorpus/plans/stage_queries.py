@@ -31,15 +31,14 @@ def _splits(d: DataFrame) -> DataFrame:
     return sp.assign_splits(sp.fingerprint(d)).select("source_id", "split")
 
 
-def _stage(*tables: DataFrame) -> tuple[st.Preprocessed, DataFrame]:
-    """The first stage over the given tables, and its inspected sources."""
+def _stage(*tables: DataFrame) -> st.Preprocessed:
+    """The first stage over the given tables."""
     d, side, a, m = tables[N_FILES:]
-    found = inspected(*tables)
-    return st.preprocess(tables[0], tables[1], found, _splits(d), st.coverage_label(d, side), a, m, LIMITS, runs.staged), found.sources
+    return st.preprocess(tables[0], tables[1], inspected(*tables), _splits(d), st.coverage_label(d, side), a, m, LIMITS, runs.staged)
 
 
 def _preprocessed(*tables: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return _stage(*tables)[0][:2]
+    return _stage(*tables)[:2]
 
 
 def _text(techniques: str = "techniques"):
