@@ -175,9 +175,12 @@ def _declared(tables) -> tuple[DataFrame, DataFrame]:
 
 
 def declared(made: DataFrame, tonality: DataFrame) -> DataFrame:
-    """Fragments as their files are declared, with their own tonic, and a number that says which field will be spoiled."""
+    """Fragments as their files are declared, with their own tonic, and a number that says which field will be spoiled.
+
+    They are joined by sorting, as files of fragments are small and their rows are not: the driver would broadcast them whole.
+    """
     name = F.concat(F.lit("src"), F.col("source_id"), F.lit("_"), F.col("phrase_index"), F.lit("_"), F.col("semitones"))
-    return made.join(tonality.select("source_id", "tonic", "mode"), "source_id").withColumns({
+    return made.join(tonality.select("source_id", "tonic", "mode").hint("merge"), "source_id").withColumns({
         "tonic": s.transpose_tonic(F.col("tonic"), F.col("semitones")), "number": F.expr(NUMBER), "track_number": F.col("instrument_index"), "output_file": F.concat(F.lit(f"{RUN}/"), "split", F.lit("/"), name, F.lit(".mid")), "output_sha256": F.sha2(name, 256),
         "output_size_bytes": F.col("num_notes") * 8 + 40, "nominal_duration": F.lit(7680 / 960.0), "actual_duration": F.col("last_end") / 960.0,
     })
